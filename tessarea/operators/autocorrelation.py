@@ -101,15 +101,15 @@ def moran_test(
     )
 
 
-def _permutation_ranks(areas: DataFrame, nsim: int, seed: int) -> DataFrame:
-    """``_sim, _area, _rank`` for simulations 0..nsim.
+def _permutation_ranks(areas: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+    """``_sim, _area, _rank`` for permutations ``first..last``.
 
-    Simulation s orders the areas by ``md5(seed|s|area)``. The rank is the size of
+    Permutation s orders the areas by ``md5(seed|s|area)``. The rank is the size of
     all lower hash buckets plus the rank within the own bucket, so that no task
     sorts a whole permutation, however many areas there are.
     """
     hashed = areas.select(
-        "_area", F.explode(F.sequence(F.lit(0), F.lit(nsim))).alias("_sim")
+        "_area", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_sim")
     ).withColumn(
         "_hash",
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.col("_area").cast("string"))),
@@ -145,13 +145,10 @@ def moran_mc(
     row per edge, not one per edge and permutation.
     """
     z = _centred(values, area, x)
-    observed = _statistic(values, edges, area, x, adjust_n)
-    ranks = _permutation_ranks(z.select("_area"), nsim, seed)
-    base = (
-        ranks.where("_sim = 0").join(z, "_area").select("_rank", "_z")
-    )
+    areas = z.select("_area")
+    base = _permutation_ranks(areas, 0, 0, seed).join(z, "_area").select("_rank", "_z")
     permuted = (
-        ranks.where("_sim > 0")
+        _permutation_ranks(areas, 1, nsim, seed)
         .join(base, "_rank")
         .groupBy("_area")
         .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
@@ -166,16 +163,18 @@ def moran_mc(
     crosses = products.groupBy("_sim").agg(
         (2.0 * F.sum(F.col("_pair._di") * F.col("_pair._dj"))).alias("_cross")
     )
+    observed = _statistic(values, edges, area, x, adjust_n).select(
+        F.struct("moran_i", "_cross", "_zz")
+    )
     # Sums of the same numbers in another order differ in the last bits only.
-    at_least = (
-        crosses.withColumn("_o", observed.select(F.struct("_cross", "_zz")).scalar())
-        .agg(F.count_if(F.col("_cross") >= F.col("_o._cross") - 1e-10 * F.col("_o._zz")).alias("_n"))
+    reached = F.col("_cross") >= F.col("_o._cross") - 1e-10 * F.col("_o._zz")
+    counted = crosses.withColumn("_o", observed.scalar()).agg(
+        F.max("_o.moran_i").alias("moran_i"), F.count_if(reached).alias("_n")
     )
-    return observed.withColumn("n_at_least", at_least.scalar()).select(
+    known = F.col("moran_i").isNotNull()
+    return counted.select(
         "moran_i",
         F.lit(nsim).alias("nsim"),
-        F.when(F.col("moran_i").isNotNull(), F.col("n_at_least")).alias("n_at_least"),
-        F.when(
-            F.col("moran_i").isNotNull(), (F.col("n_at_least") + 1) / F.lit(nsim + 1.0)
-        ).alias("p_value"),
+        F.when(known, F.col("_n")).alias("n_at_least"),
+        F.when(known, (F.col("_n") + 1) / F.lit(nsim + 1.0)).alias("p_value"),
     )

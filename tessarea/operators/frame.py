@@ -45,17 +45,20 @@ def model_frame(
     expect: str,
     covariate: str | None = None,
     eps: float = 0.001,
-    round_expected: bool = False,
+    round_expected: bool | Column = False,
     keep: Iterable[str] = (),
 ) -> DataFrame:
     """``key, observed, expected[, covariate]`` as the models take them.
 
     Observed counts are rounded half-to-even. Expected counts are rounded only
-    on request (the mesh-block fit without covariate and the SA4 fit with it),
-    and zeros become ``eps`` so that their logarithm is finite.
+    on request (the mesh-block fit without covariate and the SA4 fit with it) or
+    in the rows a condition names, and zeros become ``eps`` so that their
+    logarithm is finite.
     """
     expected: Column = F.col(expect)
-    if round_expected:
+    if isinstance(round_expected, Column):
+        expected = F.when(round_expected, round_half_even(expected)).otherwise(expected)
+    elif round_expected:
         expected = round_half_even(expected)
     columns = [
         F.col(key),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import first_present, is_present, log_positive, ratio
@@ -47,18 +48,16 @@ def poisson_rates(frame: DataFrame, covariate: str | None = None, by: Sequence[s
         .groupBy(*by, covariate)
         .agg(log_positive(ratio(observed, expected)).alias("_rate"))
     )
-    # One small array of levels per model; its head is the reference level.
-    models = levels.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(covariate).alias("q"), F.col("_rate").alias("r")))).alias("_q")
-    )
-    return models.select(*by, "_q", F.posexplode("_q").alias("_i", "_level")).select(
+    # Over the few rows left per model: one per level of the factor.
+    lowest = W.partitionBy(*by).orderBy(covariate)
+    reference = F.first("_rate").over(lowest)
+    is_reference = F.row_number().over(lowest) == 1
+    return levels.select(
         *by,
-        F.when(F.col("_i") == 0, F.lit("(Intercept)"))
-        .otherwise(F.concat(F.lit(covariate), F.col("_level.q").cast("string")))
+        F.when(is_reference, F.lit("(Intercept)"))
+        .otherwise(F.concat(F.lit(covariate), F.col(covariate).cast("string")))
         .alias("term"),
-        F.when(F.col("_i") == 0, F.col("_level.r"))
-        .otherwise(F.col("_level.r") - F.col("_q")[0]["r"])
-        .alias("estimate"),
+        F.when(is_reference, F.col("_rate")).otherwise(F.col("_rate") - reference).alias("estimate"),
     )
 
 

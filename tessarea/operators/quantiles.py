@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import is_present
+from ..session import cut_lineage
 
 # The sketch errs by at most n/ACCURACY ranks. Brackets reach four times as far
 # to either side; groups up to WHOLE rows are bracketed as a whole.
@@ -54,7 +55,9 @@ def _ranked(
     ]
     brackets = sketch.select(*by, F.array(*los).alias("_lo"), F.array(*his).alias("_hi"))
     if by:
-        placed = rows.join(brackets, list(by))
+        # Written, so that its true size decides whether it can be broadcast: an
+        # estimate would shuffle all rows by group, however few groups there are.
+        placed = rows.join(cut_lineage(brackets, "brackets"), list(by))
     else:
         placed = rows.withColumn("_b", brackets.select(F.struct("_lo", "_hi")).scalar()).select(
             "_v", "_b._lo", "_b._hi"

@@ -41,7 +41,7 @@ AREA_KEYS = {
 }
 LEVELS = tuple(AREA_KEYS)
 # The two fits whose expected counts are rounded as well.
-ROUNDED_EXPECTED = {("Mesh", "nc"), ("SA4", "wc")}
+ROUNDED_EXPECTED = (("Mesh", "nc"), ("SA4", "wc"))
 VARIANTS = ("nc", "wc")
 
 # Published posterior medians of the two variances per level and
@@ -63,7 +63,11 @@ MEDIAN_VARIANCES = [
 
 @dataclass(frozen=True)
 class StudyInputs:
-    """Input tables with the columns named in the README."""
+    """Input tables with the columns named in the README.
+
+    The plans read attributes only, so any object with these attributes will do,
+    for instance one that builds each table on first use.
+    """
 
     mesh: DataFrame
     population: DataFrame
@@ -164,26 +168,18 @@ def level_scores(inputs: StudyInputs, level: str) -> DataFrame:
     return drop_missing(scored, ["score"])
 
 
-def level_frame(inputs: StudyInputs, level: str, variant: str, cases: DataFrame) -> DataFrame:
-    """``level, variant, area, observed, expected, quintile`` of one fit."""
-    key = AREA_KEYS[level]
-    counts = level_counts(inputs, level, cases)
-    if variant == "wc":
-        classes = quintile(level_scores(inputs, level), "score", "quintile").select(key, "quintile")
-        counts = counts.join(classes, key)
-    else:
-        counts = counts.withColumn("quintile", F.lit(None).cast("int"))
-    framed = model_frame(
-        counts, key, "count", "expect", "quintile",
-        round_expected=(level, variant) in ROUNDED_EXPECTED,
-    )
-    return framed.select(
-        F.lit(level).alias("level"),
-        F.lit(variant).alias("variant"),
-        F.col(key).cast("bigint").alias("area"),
-        "observed",
-        "expected",
-        "quintile",
+def _stacked(parts: Mapping[str, DataFrame], *columns: str) -> DataFrame:
+    """Tables of several levels under one key: ``level, area`` and the columns."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            part.select(
+                F.lit(level).alias("level"),
+                F.col(AREA_KEYS[level]).cast("bigint").alias("area"),
+                *columns,
+            )
+            for level, part in parts.items()
+        ],
     )
 
 
@@ -191,21 +187,39 @@ def study_frames(
     inputs: StudyInputs, cases: DataFrame, levels: Sequence[str] = LEVELS,
     variants: Sequence[str] = VARIANTS,
 ) -> DataFrame:
-    """The model frames of all levels and variants in one table."""
-    frames = [level_frame(inputs, lv, va, cases) for lv in levels for va in variants]
-    return reduce(DataFrame.unionByName, frames)
+    """Model frames of all levels and variants in one table.
+
+    ``level, variant, area, observed, expected, quintile``; the quintile is NULL
+    without covariate, and an area without a score has no row with covariate.
+    Counts are derived once per level and then serve both variants.
+    """
+    counts = _stacked({lv: level_counts(inputs, lv, cases) for lv in levels}, "count", "expect")
+    if "wc" in variants:
+        scores = _stacked({lv: level_scores(inputs, lv) for lv in levels}, "score")
+        # Read three times: for the sketch, for the exact cuts and for the classes.
+        scores = cut_lineage(scores, "scores")
+        classes = quintile(scores, "score", "quintile", by=["level"])
+        counts = counts.join(classes.drop("score"), ["level", "area"], "left")
+    else:
+        counts = counts.withColumn("quintile", F.lit(None).cast("int"))
+    plain = F.struct(F.lit("nc").alias("variant"), F.lit(None).cast("int").alias("quintile"))
+    classed = F.struct(F.lit("wc").alias("variant"), F.col("quintile"))
+    offered = F.array(*[plain if v == "nc" else classed for v in variants])
+    usable = F.filter(offered, lambda v: (v["variant"] == "nc") | v["quintile"].isNotNull())
+    rows = counts.select("level", "area", "count", "expect", F.inline(usable))
+    rounded = reduce(
+        lambda a, b: a | b,
+        [(F.col("level") == lv) & (F.col("variant") == va) for lv, va in ROUNDED_EXPECTED],
+    )
+    framed = model_frame(
+        rows, "area", "count", "expect", "quintile", round_expected=rounded, keep=["level", "variant"]
+    )
+    return framed.select("level", "variant", "area", "observed", "expected", "quintile")
 
 
 def study_edges(layers: Mapping[str, DataFrame], queen: bool = False) -> DataFrame:
     """``level, src, dst`` of all layers in one job."""
-    stacked = reduce(
-        DataFrame.unionByName,
-        [
-            layer.select(F.lit(lv).alias("level"), F.col(AREA_KEYS[lv]).cast("bigint").alias("area"), "rings")
-            for lv, layer in layers.items()
-        ],
-    )
-    return contiguity(stacked, "area", queen=queen, by=["level"])
+    return contiguity(_stacked(layers, "rings"), "area", queen=queen, by=["level"])
 
 
 @dataclass(frozen=True)

@@ -134,7 +134,7 @@ def site_filter(t: Tables):
     "SELECT MB_CODE16, SA1_MAIN16, SA2_MAIN16, SA3_CODE16, SA4_CODE16, mesh_population FROM t_people",
 )
 def attach_population(t: Tables):
-    return lv.populated_mesh(t.inputs).select(
+    return lv.populated_mesh(t).select(
         "MB_CODE16", "SA1_MAIN16", "SA2_MAIN16", "SA3_CODE16", "SA4_CODE16", "mesh_population"
     )
 
@@ -146,7 +146,7 @@ UNION ALL
 SELECT 'SA2', SA2_MAIN16, CAST(sum(mesh_population) AS BIGINT) FROM t_people GROUP BY SA2_MAIN16""",
 )
 def population_totals(t: Tables):
-    mesh = lv.populated_mesh(t.inputs)
+    mesh = lv.populated_mesh(t)
     parts = [
         hi.population_by(mesh, key, "mesh_population", "persons").select(
             F.lit(level).alias("level"), F.col(key).alias("area"), "persons"
@@ -161,7 +161,7 @@ def population_totals(t: Tables):
     """SELECT MB_CODE16, SA2_MAIN16, mesh_population, mesh_pop_sum FROM t_mesh_shares""",
 )
 def attach_total(t: Tables):
-    mesh = lv.populated_mesh(t.inputs).select("MB_CODE16", "SA2_MAIN16", "mesh_population")
+    mesh = lv.populated_mesh(t).select("MB_CODE16", "SA2_MAIN16", "mesh_population")
     return hi.attach_total(mesh, "SA2_MAIN16", "mesh_population", "mesh_pop_sum")
 
 
@@ -170,7 +170,7 @@ def attach_total(t: Tables):
     f"""SELECT SA1_MAIN16, SA2_MAIN16, SA3_CODE16, SA4_CODE16, sa1_pop, sa2_pop, {r("sa1_prop")} AS sa1_prop FROM t_sa1_shares""",
 )
 def population_share(t: Tables):
-    return lv.sa1_shares(t.inputs)
+    return lv.sa1_shares(t)
 
 
 @query(
@@ -178,7 +178,7 @@ def population_share(t: Tables):
     f"""SELECT MB_CODE16, SA2_MAIN16, {r("mesh_proportion")} AS mesh_proportion FROM t_mesh_shares""",
 )
 def mesh_share(t: Tables):
-    return lv.mesh_shares(t.inputs).select("MB_CODE16", "SA2_MAIN16", "mesh_proportion")
+    return lv.mesh_shares(t).select("MB_CODE16", "SA2_MAIN16", "mesh_proportion")
 
 
 @query(
@@ -188,7 +188,7 @@ def mesh_share(t: Tables):
 FROM t_mesh_shares GROUP BY SA2_MAIN16""",
 )
 def share_check(t: Tables):
-    return hi.share_check(lv.mesh_shares(t.inputs), "SA2_MAIN16", "mesh_proportion")
+    return hi.share_check(lv.mesh_shares(t), "SA2_MAIN16", "mesh_proportion")
 
 
 def _counts_sql(short: str, key: str) -> str:
@@ -230,7 +230,7 @@ FROM t_people JOIN t_sa2 USING (SA2_MAIN16, SA2_NAME16)""",
 )
 def composite_key_join(t: Tables):
     return (
-        lv.populated_mesh(t.inputs)
+        lv.populated_mesh(t)
         .join(t.sa2, ["SA2_MAIN16", "SA2_NAME16"])
         .select("MB_CODE16", "SA2_MAIN16", "SA2_NAME16", "sa2_count")
     )
@@ -289,14 +289,14 @@ def _weighted(t: Tables, key: str, weights: str):
 @query("mesh_score", _score_sql("SELECT * FROM t_mesh_scores", "MB_CODE16"))
 def mesh_score(t: Tables):
     return dep.mesh_score(
-        t.scores, lv.populated_mesh(t.inputs), "SA1_MAIN16", "SA1_irsdscore", "SA1_pop",
+        t.scores, lv.populated_mesh(t), "SA1_MAIN16", "SA1_irsdscore", "SA1_pop",
         "mesh_population", "score",
     ).select("MB_CODE16", "score")
 
 
 @query("score_by_name", _score_sql("SELECT * FROM t_sa2_scores", "SA2_MAIN16"))
 def score_by_name(t: Tables):
-    return lv.level_scores(t.inputs, "SA2")
+    return lv.level_scores(t, "SA2")
 
 
 @query(
@@ -305,17 +305,17 @@ def score_by_name(t: Tables):
 FROM t_mesh_scores, (SELECT range AS p FROM range(0, 6)) x WHERE score IS NOT NULL GROUP BY p""",
 )
 def quantile_cuts(t: Tables):
-    return dep.quantile_cuts(lv.level_scores(t.inputs, "Mesh"), "score")
+    return dep.quantile_cuts(lv.level_scores(t, "Mesh"), "score")
 
 
 @query("quintile", f"SELECT MB_CODE16, {r('score')} AS score, quintile FROM t_mesh_classes")
 def quintile(t: Tables):
-    return dep.quintile(lv.level_scores(t.inputs, "Mesh"), "score", "quintile")
+    return dep.quintile(lv.level_scores(t, "Mesh"), "score", "quintile")
 
 
 @query("quintile_sa1", f"SELECT SA1_MAIN16, {r('score')} AS score, quintile FROM t_sa1_classes")
 def quintile_sa1(t: Tables):
-    return dep.quintile(lv.level_scores(t.inputs, "SA1"), "score", "quintile")
+    return dep.quintile(lv.level_scores(t, "SA1"), "score", "quintile")
 
 
 @query(
@@ -346,7 +346,7 @@ def measure_range(t: Tables):
 FROM (SELECT DISTINCT quintile FROM t_mesh_classes) q""",
 )
 def factor_levels(t: Tables):
-    classes = dep.quintile(lv.level_scores(t.inputs, "Mesh"), "score", "quintile")
+    classes = dep.quintile(lv.level_scores(t, "Mesh"), "score", "quintile")
     return dep.factor_levels(classes, "quintile")
 
 
@@ -364,7 +364,7 @@ def model_frame(t: Tables):
     f"""SELECT level, variant, area, {r("observed")} AS observed, {r("expected")} AS expected, quintile FROM t_frames""",
 )
 def study_frames(t: Tables):
-    return lv.study_frames(t.inputs, lv.stored_cases(t.inputs))
+    return lv.study_frames(t, lv.stored_cases(t))
 
 
 @query(
@@ -372,5 +372,5 @@ def study_frames(t: Tables):
     f"""SELECT MB_CODE16, {r("score")} AS score FROM t_mesh_scores JOIN t_scored USING (MB_CODE16) WHERE score IS NOT NULL""",
 )
 def complete_scores(t: Tables):
-    scored = lv.level_scores(t.inputs, "Mesh").join(t.scored_blocks, "MB_CODE16", "left_semi")
+    scored = lv.level_scores(t, "Mesh").join(t.scored_blocks, "MB_CODE16", "left_semi")
     return scored.where(is_present(F.col("score")))

@@ -45,7 +45,7 @@ def poisson_rates_by_quintile(t: Tables):
 
 @query("poisson_glm", _BY_QUINTILE)
 def poisson_glm(t: Tables):
-    return mo.poisson_glm(cut_lineage(t.mesh_frame, "frame"), ["quintile"])
+    return mo.poisson_glm(t.stored_frame, ["quintile"])
 
 
 def bym_sql(frame: str, edges: str, sweeps: int) -> str:
@@ -100,8 +100,7 @@ _ONE_EDGES = """SELECT 'Mesh' AS level, 'nc' AS variant, src, dst FROM t_mesh_ed
 
 def mesh_bym(t: Tables, covariate: str | None = None) -> mo.BymFit:
     edges = cut_lineage(t.mesh_edges, "edges")
-    frame = cut_lineage(t.mesh_frame, "frame")
-    frame = drop_islands(frame, edges, "MB_CODE16")
+    frame = drop_islands(t.mesh_frame, edges, "MB_CODE16")
     return mo.bym_map(
         frame, edges, TAU2, SIGMA2, sweeps=SWEEPS, area="MB_CODE16", covariate=covariate
     )
@@ -140,7 +139,7 @@ FROM t_frames f JOIN (VALUES {_VARIANCES}) v(level, variant, tau2, sigma2) ON f.
       {r("(o - mu) / sqrt(mu)")} AS residual FROM fitted""",
 )
 def fit_all_levels(t: Tables):
-    return run_study(t.inputs, sweeps=SWEEPS).fitted().drop("quintile")
+    return run_study(t, sweeps=SWEEPS).fitted().drop("quintile")
 
 
 @query("fitted_sir", f"SELECT MB_CODE16, {r('fitted / expected')} AS fitted_sir FROM t_fit")
@@ -162,7 +161,7 @@ def residuals(t: Tables):
     f"""SELECT MB_CODE16, {r("f.observed")} AS observed, {r("fitted")} AS fitted FROM t_mesh_frame f JOIN t_fit USING (MB_CODE16)""",
 )
 def observed_fitted(t: Tables):
-    return mo.observed_fitted(t.mesh_frame, t.fit, "MB_CODE16")
+    return mo.observed_fitted(t.stored_frame, t.fit, "MB_CODE16")
 
 
 @query(
@@ -274,7 +273,7 @@ SELECT {r("2 * dbar - dhat")} AS dic, {r("dbar - dhat")} AS p_dic, {r("-2 * (lpp
   {r("lmpl")} AS lmpl FROM s""",
 )
 def fit_criteria(t: Tables):
-    return dr.fit_criteria(t.draw_fits, t.mesh_frame, "MB_CODE16")
+    return dr.fit_criteria(t.draw_fits, t.stored_frame, "MB_CODE16")
 
 
 @query(

@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 from .tables import Tables
 
 DIGITS = 6
+# Rounded to this first, so that noise in the last bits cannot split an exact tie.
+GUARD = 9
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,12 @@ def rounded(df: DataFrame) -> DataFrame:
     columns = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, DoubleType):
-            r = F.round(F.col(f"`{f.name}`"), DIGITS)
+            r = F.round(F.round(F.col(f"`{f.name}`"), GUARD), DIGITS)
             columns[f.name] = F.when(r == 0, F.lit(0.0)).otherwise(r)
     return df.withColumns(columns) if columns else df
 
 
 def r(expression: str) -> str:
     """The SQL twin of :func:`rounded` for one expression."""
-    value = f"round(CAST({expression} AS DOUBLE), {DIGITS})"
+    value = f"round(round(CAST({expression} AS DOUBLE), {GUARD}), {DIGITS})"
     return f"(CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END)"

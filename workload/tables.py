@@ -9,14 +9,15 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessarea.functions import ratio, round_half_even
 from tessarea.operators.deprivation import quintile
 from tessarea.operators.frame import model_frame
 from tessarea.operators.graph import contiguity
 from tessarea.operators.model import rates_fit
-from tessarea.plans.levels import StudyInputs, level_counts, level_scores, sa2_cases
-from tessarea.session import tune
+from tessarea.plans.levels import level_counts, level_scores, sa2_cases
+from tessarea.session import cut_lineage, tune
 
 # Fixed values of the driver's customer table, in order of the SA1 digit.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -36,15 +37,22 @@ def rectangle(x0: Column, y0: Column, width: float, height: float) -> Column:
     )
 
 
+# Schemas by path: footers are read once, not by every query.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
-    """Lazy inputs of one scale-factor folder."""
+    """Lazy inputs of one scale-factor folder; serves as study inputs for the plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def mesh(self) -> DataFrame:
@@ -226,37 +234,41 @@ class Tables:
         )
 
     @cached_property
-    def inputs(self) -> StudyInputs:
-        return StudyInputs(
-            mesh=self.mesh,
-            population=self.population,
-            cases=self.cases,
-            concordance=self.concordance,
-            scores=self.scores,
-            layers={
-                "Mesh": self.mesh_layer,
-                "SA1": self.sa1_layer,
-                "SA2": self.sa2_layer,
-                "SA3": self.sa3_layer,
-                "SA4": self.sa4_layer,
-            },
-        )
+    def layers(self) -> dict[str, DataFrame]:
+        return {
+            "Mesh": self.mesh_layer,
+            "SA1": self.sa1_layer,
+            "SA2": self.sa2_layer,
+            "SA3": self.sa3_layer,
+            "SA4": self.sa4_layer,
+        }
 
     @cached_property
     def sa2(self) -> DataFrame:
         """Cases on the new boundaries."""
-        return sa2_cases(self.inputs)
+        return sa2_cases(self)
 
     def counts(self, level: str) -> DataFrame:
-        return level_counts(self.inputs, level, self.sa2)
+        return level_counts(self, level, self.sa2)
 
     @cached_property
     def mesh_frame(self) -> DataFrame:
         """Mesh-block model frame with deprivation classes."""
-        classes = quintile(level_scores(self.inputs, "Mesh"), "score", "quintile")
+        scores = cut_lineage(level_scores(self, "Mesh"), "scores")
+        classes = quintile(scores, "score", "quintile")
         joined = self.counts("Mesh").join(classes.select("MB_CODE16", "quintile"), "MB_CODE16")
         return model_frame(joined, "MB_CODE16", "count", "expect", "quintile")
 
+    @cached_property
+    def stored_frame(self) -> DataFrame:
+        """The mesh-block frame, written once for queries that read it several times."""
+        return cut_lineage(self.mesh_frame, "frame")
+
+    def store_cases(self) -> Tables:
+        """Write the SA2 case table once, for queries with several uses of it."""
+        self.__dict__["sa2"] = cut_lineage(self.sa2, "sa2-cases")
+        return self
+
     @cached_property
     def mesh_edges(self) -> DataFrame:
         return contiguity(self.mesh_layer, "MB_CODE16")
@@ -272,7 +284,7 @@ class Tables:
     def fit(self) -> DataFrame:
         """Fitted counts of the quintile rate model, for scored mesh blocks only."""
         return rates_fit(
-            self.mesh_frame.join(self.scored_blocks, "MB_CODE16", "left_semi"), "quintile"
+            self.stored_frame.join(self.scored_blocks, "MB_CODE16", "left_semi"), "quintile"
         )
 
     @cached_property
@@ -291,7 +303,7 @@ class Tables:
     def draw_fits(self) -> DataFrame:
         """Fifty wobbling draws of every mesh block's fitted count."""
         wobble = (F.col("iter") * 7 + F.col("MB_CODE16") * 3) % 11 - 5
-        return self.mesh_frame.select(
+        return self.stored_frame.select(
             "MB_CODE16", "expected", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("iter")
         ).select(
             "MB_CODE16", "iter", (F.col("expected") * F.exp(0.01 * wobble)).alias("fitted")
