@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import LambertConic
+from ..session import cut_lineage
 
 # A point shared by more areas than this is treated apart. In a proper polygon
 # coverage only a handful of areas meet at one point.
@@ -60,7 +61,9 @@ def contiguity(
     Points shared by many areas are kept out of the vertex self-join under rook,
     as nearly all pairs it would emit there are no neighbours. They are met by
     two exact joins instead: pairs that agree on two such points, and pairs that
-    share one ordinary point and have such a point in common.
+    share one ordinary point and have such a point in common. The vertex table
+    and the (normally empty) table of such points are written to the shared
+    folder, so that these joins enter the plan only where there are any.
     """
     by = list(by)
     point = [*by, "_px", "_py"]
@@ -79,22 +82,23 @@ def contiguity(
         undirected = _pairs(members, point).select(*by, "a", "b").distinct()
         return _both_ways(undirected, by)
 
-    hot = (
-        members.groupBy(*point)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_point)
-        .select(*point)
-    )
+    members = cut_lineage(members, "vertices")
+    crowds = members.groupBy(*point).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(crowds.where(F.col("_n") > hot_point).select(*point), "hot-points")
+    crowded = not hot.isEmpty()
     shared = (
-        _pairs(members.join(hot, point, "left_anti"), point)
+        _pairs(members.join(hot, point, "left_anti") if crowded else members, point)
         .groupBy(*by, "a", "b")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     plain = shared.where("_n >= 2").select(*by, "a", "b")
+    if not crowded:
+        return _both_ways(plain, by)
 
-    hot_members = members.join(hot, point, "left_semi")
-    sets = hot_members.groupBy(*by, "_area").agg(
-        F.array_sort(F.collect_set(F.struct("_px", "_py"))).alias("_points")
+    sets = (
+        members.join(hot, point, "left_semi")
+        .groupBy(*by, "_area")
+        .agg(F.array_sort(F.collect_set(F.struct("_px", "_py"))).alias("_points"))
     )
     # Two hot points of one area, so that agreeing rows are neighbours already.
     doubles = sets.select(
