@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from ..functions import ratio
 from .quantiles import quantiles
 
 KEYS = ("level", "variant", "param", "idx")
+# Width of a band of log densities; exp(BAND) times any number of draws is finite.
+BAND = 300.0
 # Reported quantiles, with their column names.
 SUMMARY = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
 
@@ -134,27 +136,58 @@ def density_bins(draws: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFr
 def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """DIC, WAIC and LMPL per model from ``by..., key, iter, fitted``.
 
-    One pass reduces every area's draws to a few sums before the areas are added
-    up; with thousands of draws per area this is the only large shuffle, and the
-    sums are combined map-side. Log densities are shifted by the density at the
-    area's own observed count, so their exponentials cannot overflow.
+    Every area's draws are reduced to a few sums before the areas are added up.
+    Log densities are shifted by the density at the area's own observed count and
+    summed as exponentials per band of ``BAND`` log units, relative to the band;
+    the few bands of an area are put together last. So neither a poor draw nor a
+    large count can overflow or vanish.
     """
     by = list(by)
+    area = [*by, key, "observed"]
     mu, o = F.col("fitted"), F.col("observed")
     # Shifted log density: log p(o | mu) - log p(o | o), never above zero.
     at_peak = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0)
-    shifted = o * F.ln(mu) - mu - at_peak
-    per_area = (
-        draw_fits.select(*by, key, "fitted")
-        .join(frame.select(*by, key, "observed"), [*by, key])
-        .groupBy(*by, key, "observed")
-        .agg(
-            F.avg(shifted).alias("_mean"),
-            F.var_samp(shifted).alias("_var"),
-            F.ln(F.avg(F.exp(shifted))).alias("_lppd"),
-            F.ln(F.avg(F.exp(-shifted))).alias("_inverse"),
-            F.avg(mu).alias("_mu"),
-        )
+    draws = draw_fits.select(*by, key, "fitted").join(frame.select(*by, key, "observed"), [*by, key])
+    shifted = draws.withColumn("_l", o * F.ln(mu) - mu - at_peak).withColumn(
+        "_band", F.floor(F.col("_l") / BAND)
+    )
+    inside = F.col("_l") - F.col("_band") * BAND
+    bands = shifted.groupBy(*area, "_band").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(mu).alias("mu"),
+        F.avg("_l").alias("mean"),
+        F.var_pop("_l").alias("var"),
+        F.sum(F.exp(inside)).alias("up"),
+        F.sum(F.exp(-inside)).alias("down"),
+    )
+    packed = bands.groupBy(*area).agg(
+        F.sum("n").alias("_n"),
+        F.sum("mu").alias("_mu"),
+        F.sum(F.col("n") * F.col("mean")).alias("_sum"),
+        F.max("_band").alias("_top"),
+        F.min("_band").alias("_low"),
+        F.collect_list(F.struct("_band", "n", "mean", "var", "up", "down")).alias("_bands"),
+    )
+
+    def total(term: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_bands", F.lit(0.0), lambda acc, band: acc + term(band))
+
+    n = F.col("_n")
+    per_area = packed.withColumn("_mean", F.col("_sum") / n).select(
+        *area,
+        "_mean",
+        (F.col("_mu") / n).alias("_mu"),
+        ratio(
+            total(lambda b: b["n"] * (b["var"] + F.pow(b["mean"] - F.col("_mean"), F.lit(2)))), n - 1
+        ).alias("_var"),
+        (
+            F.ln(total(lambda b: b["up"] * F.exp((b["_band"] - F.col("_top")) * BAND)) / n)
+            + F.col("_top") * BAND
+        ).alias("_lppd"),
+        (
+            F.ln(total(lambda b: b["down"] * F.exp((F.col("_low") - b["_band"]) * BAND)) / n)
+            - F.col("_low") * BAND
+        ).alias("_inverse"),
     )
     log_factorial = log_gamma_plus_one(o)
     base = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0) - log_factorial
