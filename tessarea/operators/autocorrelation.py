@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normal_upper_tail, ratio
+from ..session import cut_lineage
 
 # Hash prefixes that split one permutation's ordering into 16**3 buckets.
 BUCKET_DIGITS = 3
@@ -154,6 +155,8 @@ def moran_mc(
         .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
         .select("_area", F.transform("_packed", lambda p: p["_z"]).alias("_draws"))
     )
+    # Joined at both ends of an edge, and an area may have very many edges.
+    permuted = cut_lineage(permuted, "permuted")
     half = edges.where("src < dst").select("src", "dst")
     products = (
         half.join(permuted.select(F.col("_area").alias("src"), F.col("_draws").alias("_di")), "src")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio, round_half_even
+from ..session import cut_lineage
 from .quantiles import quantiles
 
 FIFTHS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
@@ -78,7 +79,8 @@ def quintile(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> Dat
     inner = FIFTHS[1:-1]
     cuts = quantiles(df, value, inner, by)
     if by:
-        with_cuts = df.join(cuts.select(*by, F.col("values").alias("_cuts")), list(by), "left")
+        stored = cut_lineage(cuts.select(*by, F.col("values").alias("_cuts")), "cuts")
+        with_cuts = df.join(stored, list(by), "left")
     else:
         with_cuts = df.withColumn("_cuts", cuts.select("values").scalar())
     v = F.col(value)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..session import cut_lineage
 from .quantiles import quantiles
 
 KEYS = ("level", "variant", "param", "idx")
@@ -52,6 +53,7 @@ def mixing(draws: DataFrame, batches: int = 20, keys: Sequence[str] = KEYS) -> D
     """
     keys = list(keys)
     span = draws.groupBy(*keys).agg(F.min("iter").alias("_from"), F.max("iter").alias("_to"))
+    span = cut_lineage(span, "span")
     position = ratio(F.col("iter") - F.col("_from"), F.col("_to") - F.col("_from") + 1)
     # Partial sums per batch: a parameter of any length shuffles `batches` rows per task.
     per_batch = (
@@ -111,6 +113,7 @@ def density_bins(draws: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFr
     ends = draws.groupBy(*keys).agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("value").alias("_all")
     )
+    ends = cut_lineage(ends, "ends")
     width = (F.col("_hi") - F.col("_lo")) / n
     place = F.floor(ratio(F.col("value") - F.col("_lo"), width)) + 1
     return (

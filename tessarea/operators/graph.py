@@ -146,10 +146,14 @@ def degree(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ())
     )
 
 
+def _linked(edges: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """Areas with an edge, one row each, reduced map-side."""
+    return edges.select(*by, F.col("src").alias(key)).distinct()
+
+
 def islands(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Areas without neighbours."""
-    linked = edges.select(*by, F.col("src").alias(key))
-    return areas.join(linked, [*by, key], "left_anti")
+    return areas.join(_linked(edges, key, by), [*by, key], "left_anti")
 
 
 def drop_islands(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -157,5 +161,4 @@ def drop_islands(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str]
 
     The weights and the data must lose the same areas, or they no longer match.
     """
-    linked = edges.select(*by, F.col("src").alias(key))
-    return areas.join(linked, [*by, key], "left_semi")
+    return areas.join(_linked(edges, key, by), [*by, key], "left_semi")

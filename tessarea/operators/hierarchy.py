@@ -1,9 +1,9 @@
 """Nested areas: populations, shares, roll-up and apportionment.
 
-Totals are aggregated (combined map-side) and joined back. A window over the
-parent would put all members of one large parent into a single task; the join
-can be broadcast once the totals prove small, and otherwise a hot parent is
-split by adaptive skew handling.
+Totals are aggregated (combined map-side), stored and joined back. A window over
+the parent would put all members of one large parent into a single task. Stored
+totals of known size are broadcast if small, so the members are not shuffled;
+otherwise a hot parent is split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..session import cut_lineage
 
 
 def attach_population(
@@ -30,7 +31,8 @@ def population_by(mesh: DataFrame, area: str, population: str, name: str) -> Dat
 
 def attach_total(members: DataFrame, area: str, measure: str, name: str) -> DataFrame:
     """Every member row with the total of its area."""
-    return members.join(population_by(members, area, measure, name), area)
+    totals = cut_lineage(population_by(members, area, measure, name), "totals")
+    return members.join(totals, area)
 
 
 def population_share(

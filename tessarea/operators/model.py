@@ -180,6 +180,7 @@ def bym_map(
     state = cut_lineage(start, "bym", f"{root}/start")
 
     slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
+    slots = cut_lineage(slots, "bym", f"{root}/slots")
     slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn(
         "slot", F.when(F.col("slots") == 1, 0).otherwise(F.pmod(F.xxhash64("src"), F.col("slots")).cast("int"))
     ).drop("slots")
@@ -327,7 +328,7 @@ def rates_fit(frame: DataFrame, covariate: str, by: Sequence[str] = ()) -> DataF
         ratio(F.sum("observed"), F.sum("expected")).alias("_rate")
     )
     return (
-        frame.join(rates, [*by, covariate])
+        frame.join(cut_lineage(rates, "rates"), [*by, covariate])
         .withColumn("fitted", F.col("expected") * F.col("_rate"))
         .drop("_rate")
     )

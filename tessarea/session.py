@@ -59,6 +59,10 @@ def cut_lineage(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     The copy survives the loss of executors, later plans do not repeat the work
     behind it, and its true size is known to the planner, so that Spark's own
     broadcast threshold decides on facts and not on an estimate.
+
+    It also matters for totals that are joined back to their members. Adaptive
+    execution splits a hot key only where both join inputs come straight from a
+    shuffle, not where one is aggregated in the same stage; a stored total does.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)

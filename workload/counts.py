@@ -29,7 +29,7 @@ FROM (SELECT SA2_MAIN16, SA2_NAME16, round_even(sa2_count, 0) AS observed,
              CASE WHEN sa2_expect = 0 THEN CAST(0.001 AS DOUBLE) ELSE sa2_expect END AS expected FROM t_sa2) x""",
 )
 def sir_by_area(t: Tables):
-    framed = fr.model_frame(t.sa2, "SA2_MAIN16", "sa2_count", "sa2_expect", keep=["SA2_NAME16"])
+    framed = fr.model_frame(lv.sa2_cases(t), "SA2_MAIN16", "sa2_count", "sa2_expect", keep=["SA2_NAME16"])
     return sir(framed, "observed", "expected")
 
 
@@ -56,7 +56,7 @@ def collapse_strata_scored(t: Tables):
     f"""SELECT SA2_MAIN16, SA2_NAME16, {r("sa2_count")} AS sa2_count, {r("sa2_expect")} AS sa2_expect FROM t_sa2""",
 )
 def concordance(t: Tables):
-    return t.sa2
+    return lv.sa2_cases(t)
 
 
 @query(
@@ -364,7 +364,7 @@ def model_frame(t: Tables):
     f"""SELECT level, variant, area, {r("observed")} AS observed, {r("expected")} AS expected, quintile FROM t_frames""",
 )
 def study_frames(t: Tables):
-    return lv.study_frames(t, lv.stored_cases(t))
+    return lv.study_frames(t, t.sa2)
 
 
 @query(

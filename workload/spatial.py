@@ -327,7 +327,6 @@ def fit_sir(t: Tables) -> DataFrame:
 FROM ({_RAW}) a LEFT JOIN ({_FITTED}) b ON a.MB_CODE16 = b.MB_CODE16""",
 )
 def left_merge(t: Tables):
-    t.store_cases()
     return ml.left_merge(raw_sir(t).select("MB_CODE16", "sir"), fit_sir(t), "MB_CODE16")
 
 
@@ -337,7 +336,6 @@ def left_merge(t: Tables):
 FROM ({_RAW}) a JOIN ({_FITTED}) b ON a.MB_CODE16 = b.MB_CODE16""",
 )
 def join_suffixed(t: Tables):
-    t.store_cases()
     return ml.join_suffixed(
         raw_sir(t).select("MB_CODE16", "sir"), fit_sir(t), ["MB_CODE16"], ("_raw", "_fit")
     )
@@ -379,7 +377,6 @@ def appended(t: Tables):
 FROM ({_RAW}) a LEFT JOIN ({_FITTED}) b ON a.MB_CODE16 = b.MB_CODE16""",
 )
 def with_fallback(t: Tables):
-    t.store_cases()
     shown = sir_with_fallback(
         raw_sir(t).select("MB_CODE16", "sir"),
         fit_sir(t).withColumnRenamed("sir", "fitted_sir"),

@@ -16,7 +16,7 @@ from tessarea.operators.deprivation import quintile
 from tessarea.operators.frame import model_frame
 from tessarea.operators.graph import contiguity
 from tessarea.operators.model import rates_fit
-from tessarea.plans.levels import level_counts, level_scores, sa2_cases
+from tessarea.plans.levels import level_counts, level_scores, stored_cases
 from tessarea.session import cut_lineage, tune
 
 # Fixed values of the driver's customer table, in order of the SA1 digit.
@@ -185,7 +185,8 @@ class Tables:
             .groupBy("SA1_MAIN16")
             .agg(round_half_even(mean).alias("SA1_irsdscore"), F.sum("Person").alias("SA1_pop"))
         )
-        return score
+        # An input file of the real study, so a stored table here as well.
+        return cut_lineage(score, "sa1-scores")
 
     @cached_property
     def mesh_layer(self) -> DataFrame:
@@ -245,8 +246,8 @@ class Tables:
 
     @cached_property
     def sa2(self) -> DataFrame:
-        """Cases on the new boundaries."""
-        return sa2_cases(self)
+        """Cases on the new boundaries, one row per area, stored for the joins below it."""
+        return stored_cases(self)
 
     def counts(self, level: str) -> DataFrame:
         return level_counts(self, level, self.sa2)
@@ -264,11 +265,6 @@ class Tables:
         """The mesh-block frame, written once for queries that read it several times."""
         return cut_lineage(self.mesh_frame, "frame")
 
-    def store_cases(self) -> Tables:
-        """Write the SA2 case table once, for queries with several uses of it."""
-        self.__dict__["sa2"] = cut_lineage(self.sa2, "sa2-cases")
-        return self
-
     @cached_property
     def mesh_edges(self) -> DataFrame:
         return contiguity(self.mesh_layer, "MB_CODE16")
