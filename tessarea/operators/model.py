@@ -118,6 +118,21 @@ class BymFit:
     sweeps: int
 
 
+def bucketed_copy(
+    df: DataFrame, keys: Sequence[str], path: str, buckets: int
+) -> tuple[DataFrame, str]:
+    """A copy in the shared folder that joins on ``keys`` read without a shuffle, and its table name."""
+    table = f"tessarea_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table), table
+
+
 def bym_map(
     frame: DataFrame,
     edges: DataFrame,
@@ -185,15 +200,7 @@ def bym_map(
         "slot", F.when(F.col("slots") == 1, 0).otherwise(F.pmod(F.xxhash64("src"), F.col("slots")).cast("int"))
     ).drop("slots")
     bucket_key = [*edge_by, "dst", "slot"]
-    table = f"tessarea_edges_{uuid.uuid4().hex}"
-    (
-        slotted.repartition(buckets, *bucket_key)
-        .write.bucketBy(buckets, *bucket_key)
-        .sortBy(*bucket_key)
-        .option("path", f"{root}/edges")
-        .saveAsTable(table)
-    )
-    bucketed = spark.table(table)
+    bucketed, table = bucketed_copy(slotted, bucket_key, f"{root}/edges", buckets)
 
     def rate() -> Column:
         return F.col("e") * F.exp(F.col("beta") + F.col("phi") + F.col("theta"))
@@ -277,6 +284,8 @@ def bym_map(
     trace = traces[0]
     for more in traces[1:]:
         trace = trace.unionByName(more)
+    trace = cut_lineage(trace, "bym", f"{root}/trace")
+    spark.sql(f"DROP TABLE {table}")
     areas = state.select(
         *by,
         F.col("area").alias(area),

@@ -65,6 +65,9 @@ MEDIAN_VARIANCES = [
 class StudyInputs:
     """Input tables with the columns named in the README.
 
+    ``area_scores`` (``sa2_name, irsdscore``) may be left out if the cases carry
+    the score.
+
     The plans read attributes only, so any object with these attributes will do,
     for instance one that builds each table on first use.
     """
@@ -75,6 +78,7 @@ class StudyInputs:
     concordance: DataFrame
     scores: DataFrame
     layers: Mapping[str, DataFrame] = field(default_factory=dict)
+    area_scores: DataFrame | None = None
 
 
 def sa2_cases(inputs: StudyInputs) -> DataFrame:
@@ -155,9 +159,12 @@ def level_scores(inputs: StudyInputs, level: str) -> DataFrame:
         )
         return drop_missing(scored.select(key, "score"), ["score"])
     if level == "SA2":
-        # The score comes with the cases and is matched new name to old name, so
-        # a renamed area has none.
-        by_name = inputs.cases.select(F.col("sa2_name").alias("SA2_NAME_2016"), F.col("irsdscore").alias("score")).distinct()
+        # The score belongs to the old areas and is matched new name to old name,
+        # so a renamed area has none.
+        source = inputs.cases if inputs.area_scores is None else inputs.area_scores
+        by_name = source.select(
+            F.col("sa2_name").alias("SA2_NAME_2016"), F.col("irsdscore").alias("score")
+        ).distinct()
         codes = inputs.concordance.select(
             F.col("SA2_MAINCODE_2016").alias(key), "SA2_NAME_2016"
         ).distinct()

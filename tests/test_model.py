@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessarea.operators import model as mo
+from tessarea.session import scratch_path
 
 FRAME = "area long, observed double, expected double, quintile int"
 
@@ -96,18 +97,21 @@ def test_smoothing_stops_at_tolerance(spark, grid):
     assert early.sweeps == 2
 
 
-def test_smoothing_reads_edges_without_shuffle(spark, grid):
-    """The bucketed edge table is joined in place; only messages are exchanged."""
+def test_bucketed_edges_are_joined_without_shuffle(spark, grid):
+    """Only the messages are exchanged, not the edges."""
     frame, edges = grid
-    fit = mo.bym_map(
-        spark.createDataFrame(frame, FRAME), spark.createDataFrame(edges, "src long, dst long"), 0.3, 0.05, sweeps=1
-    )
+    graph = spark.createDataFrame([(a, b, 0) for a, b in edges], "src long, dst long, slot int")
+    copy, table = mo.bucketed_copy(graph, ["dst", "slot"], scratch_path(spark, "test"), 4)
+    sent = spark.createDataFrame([(f[0], 0, f[2]) for f in frame], "dst long, slot int, phi double")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = fit.trace._jdf.queryExecution().executedPlan().toString()
+        joined = copy.join(sent, ["dst", "slot"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == len(edges)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Bucketed: true" in plan
+        spark.sql(f"DROP TABLE {table}")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_two_models_in_one_job(spark, grid):

@@ -12,6 +12,7 @@ from tessarea.operators import hierarchy as hi
 from tessarea.operators import summary as su
 from tessarea.operators.model import sir
 from tessarea.plans import levels as lv
+from tessarea.session import cut_lineage
 
 from .oracle import weighted_sql
 from .registry import query, r
@@ -48,7 +49,7 @@ def collapse_strata(t: Tables):
 FROM t_cases GROUP BY sa2_name, irsdscore""",
 )
 def collapse_strata_scored(t: Tables):
-    return cc.collapse_strata(t.cases, ["sa2_name", "irsdscore"], SUMS)
+    return cc.collapse_strata(t.scored_cases, ["sa2_name", "irsdscore"], SUMS)
 
 
 @query(
@@ -327,7 +328,8 @@ def quintile_sa1(t: Tables):
 FROM t_mesh_counts""",
 )
 def describe_measure(t: Tables):
-    return su.describe_measure(t.counts("Mesh"), "count")
+    # Read three times: for the sketch, for the exact cuts and for the moments.
+    return su.describe_measure(cut_lineage(t.counts("Mesh"), "counts"), "count")
 
 
 @query("measure_sd", f"""SELECT {r('stddev_samp("count")')} AS sd FROM t_mesh_counts""")

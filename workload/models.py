@@ -187,7 +187,7 @@ def fit_roundtrip(t: Tables):
 def text_roundtrip(t: Tables):
     """The cases written as text and scanned with an explicit schema."""
     path = scratch_path(t.spark, "cases")
-    write_text_table(t.cases.drop("irsdscore"), path)
+    write_text_table(t.cases, path)
     schema = "sa2 bigint, sa2_name string, sex string, site10group int, count double, expect double"
     return read_table(t.spark, path, schema, sep=" ")
 

@@ -37,6 +37,12 @@ def rectangle(x0: Column, y0: Column, width: float, height: float) -> Column:
     )
 
 
+def mean_balance() -> Column:
+    """Rounded mean balance; summed in whole cents, so free of summation order."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
+    return round_half_even(ratio(F.sum(cents), F.count(F.lit(1)) * F.lit(100.0)))
+
+
 # Schemas by path: footers are read once, not by every query.
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -116,20 +122,17 @@ class Tables:
 
     @cached_property
     def area_scores(self) -> DataFrame:
-        """``sa2, irsdscore`` per nation."""
-        return self._score("c_nationkey").select(
-            F.col("c_nationkey").cast("bigint").alias("sa2"), F.col("_score").alias("irsdscore")
+        """``sa2_name, irsdscore`` per nation."""
+        score = self.scan("customer").groupBy("c_nationkey").agg(
+            mean_balance().alias("irsdscore")
         )
-
-    def _score(self, *keys: str) -> DataFrame:
-        """Rounded mean balance; summed in whole cents, so free of summation order."""
-        cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
-        mean = ratio(F.sum(cents), F.count(F.lit(1)) * F.lit(100.0))
-        return self.scan("customer").groupBy(*keys).agg(round_half_even(mean).alias("_score"))
+        return score.join(
+            self.scan("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+        ).select(F.col("n_name").alias("sa2_name"), "irsdscore")
 
     @cached_property
     def cases(self) -> DataFrame:
-        """Observed and expected cases per SA2, sex and site, with the SA2 score."""
+        """Observed and expected cases per SA2, sex and site."""
         overall = (
             self.scan("lineitem")
             .agg(ratio(F.count_if(F.col("l_returnflag") == "R"), F.count(F.lit(1))).alias("_s"))
@@ -142,7 +145,12 @@ class Tables:
             F.col("l_linenumber").alias("site10group"),
             F.col("n_returned").cast("double").alias("count"),
             (F.col("n_lines") * overall).alias("expect"),
-        ).join(self.area_scores, "sa2")
+        )
+
+    @cached_property
+    def scored_cases(self) -> DataFrame:
+        """The cases with the score of their SA2."""
+        return self.cases.join(self.area_scores, "sa2_name")
 
     @cached_property
     def concordance(self) -> DataFrame:
@@ -172,8 +180,6 @@ class Tables:
     @cached_property
     def scores(self) -> DataFrame:
         """``SA1_MAIN16, SA1_irsdscore, SA1_pop``."""
-        cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
-        mean = ratio(F.sum(cents), F.count(F.lit(1)) * F.lit(100.0))
         score = (
             self.mesh.join(
                 self.scan("customer").select(F.col("c_custkey").alias("MB_CODE16"), "c_acctbal"),
@@ -183,7 +189,7 @@ class Tables:
                 self.population.withColumnRenamed("MB_CODE_2016", "MB_CODE16"), "MB_CODE16"
             )
             .groupBy("SA1_MAIN16")
-            .agg(round_half_even(mean).alias("SA1_irsdscore"), F.sum("Person").alias("SA1_pop"))
+            .agg(mean_balance().alias("SA1_irsdscore"), F.sum("Person").alias("SA1_pop"))
         )
         # An input file of the real study, so a stored table here as well.
         return cut_lineage(score, "sa1-scores")
