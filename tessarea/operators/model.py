@@ -194,11 +194,13 @@ def bym_map(
     )
     state = cut_lineage(start, "bym", f"{root}/start")
 
-    slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
-    slots = cut_lineage(slots, "bym", f"{root}/slots")
-    slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn(
-        "slot", F.when(F.col("slots") == 1, 0).otherwise(F.pmod(F.xxhash64("src"), F.col("slots")).cast("int"))
-    ).drop("slots")
+    if state.where("slots > 1").isEmpty():
+        slotted = used_edges.withColumn("slot", F.lit(0))
+    else:
+        slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
+        slots = cut_lineage(slots, "bym", f"{root}/slots")
+        slot = F.pmod(F.xxhash64("src"), F.col("slots")).cast("int")
+        slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn("slot", slot).drop("slots")
     bucket_key = [*edge_by, "dst", "slot"]
     bucketed, table = bucketed_copy(slotted, bucket_key, f"{root}/edges", buckets)
 

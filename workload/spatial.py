@@ -323,11 +323,12 @@ def fit_sir(t: Tables) -> DataFrame:
 
 @query(
     "left_merge",
-    f"""SELECT a.MB_CODE16, {r("a.sir")} AS "sir.x", {r("b.sir")} AS "sir.y"
+    f"""SELECT a.MB_CODE16, {r("a.sir")} AS sir_raw, {r("b.sir")} AS sir_fit
 FROM ({_RAW}) a LEFT JOIN ({_FITTED}) b ON a.MB_CODE16 = b.MB_CODE16""",
 )
 def left_merge(t: Tables):
-    return ml.left_merge(raw_sir(t).select("MB_CODE16", "sir"), fit_sir(t), "MB_CODE16")
+    raw = raw_sir(t).select("MB_CODE16", "sir")
+    return ml.left_merge(raw, fit_sir(t), "MB_CODE16", ("_raw", "_fit"))
 
 
 @query(

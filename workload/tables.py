@@ -63,6 +63,11 @@ class Tables:
     @cached_property
     def mesh(self) -> DataFrame:
         """One mesh block per customer; nation is SA2, region SA3, its parity SA4."""
+        return self.mesh_balances.drop("c_acctbal")
+
+    @cached_property
+    def mesh_balances(self) -> DataFrame:
+        """The mesh blocks with the balance that scores are made of."""
         segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
         code = F.col("n_nationkey").cast("bigint")
         queensland = F.col("n_nationkey") < 20
@@ -78,6 +83,7 @@ class Tables:
                 (F.col("n_regionkey") % 2).cast("bigint").alias("SA4_CODE16"),
                 F.when(queensland, "3").otherwise("1").alias("STE_CODE16"),
                 F.when(queensland, "Queensland").otherwise("Other").alias("STE_NAME16"),
+                "c_acctbal",
             )
         )
 
@@ -181,11 +187,7 @@ class Tables:
     def scores(self) -> DataFrame:
         """``SA1_MAIN16, SA1_irsdscore, SA1_pop``."""
         score = (
-            self.mesh.join(
-                self.scan("customer").select(F.col("c_custkey").alias("MB_CODE16"), "c_acctbal"),
-                "MB_CODE16",
-            )
-            .join(
+            self.mesh_balances.join(
                 self.population.withColumnRenamed("MB_CODE_2016", "MB_CODE16"), "MB_CODE16"
             )
             .groupBy("SA1_MAIN16")
