@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import normal_upper_tail, ratio
 from ..session import cut_lineage
 
-# Hash prefixes that split one permutation's ordering into 16**3 buckets.
+# Up to this many areas one task may sort a permutation; beyond, hash prefixes
+# split each permutation's ordering into 16**3 buckets.
+ONE_SORT = 2_000_000
 BUCKET_DIGITS = 3
 
 
@@ -102,19 +104,25 @@ def moran_test(
     )
 
 
-def _permutation_ranks(areas: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+def _permutation_ranks(
+    areas: DataFrame, first: int, last: int, seed: int, n_areas: int
+) -> DataFrame:
     """``_sim, _area, _rank`` for permutations ``first..last``.
 
-    Permutation s orders the areas by ``md5(seed|s|area)``. The rank is the size of
-    all lower hash buckets plus the rank within the own bucket, so that no task
-    sorts a whole permutation, however many areas there are.
+    Permutation s orders the areas by ``md5(seed|s|area)``. With very many areas the
+    rank is the size of all lower hash buckets plus the rank within the own bucket,
+    which is the same number, but no task then sorts a whole permutation.
     """
     hashed = areas.select(
         "_area", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_sim")
     ).withColumn(
         "_hash",
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.col("_area").cast("string"))),
-    ).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    )
+    if n_areas <= ONE_SORT:
+        whole = W.partitionBy("_sim").orderBy("_hash")
+        return hashed.select("_sim", "_area", F.row_number().over(whole).cast("bigint").alias("_rank"))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     sizes = hashed.groupBy("_sim", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy("_sim").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -147,9 +155,12 @@ def moran_mc(
     """
     z = _centred(values, area, x)
     areas = z.select("_area")
-    base = _permutation_ranks(areas, 0, 0, seed).join(z, "_area").select("_rank", "_z")
+    n_areas = values.count()
+    base = _permutation_ranks(areas, 0, 0, seed, n_areas).join(z, "_area").select("_rank", "_z")
+    # One row per area: stored, so that its size decides about a broadcast.
+    base = cut_lineage(base, "base")
     permuted = (
-        _permutation_ranks(areas, 1, nsim, seed)
+        _permutation_ranks(areas, 1, nsim, seed, n_areas)
         .join(base, "_rank")
         .groupBy("_area")
         .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
@@ -161,11 +172,9 @@ def moran_mc(
     products = (
         half.join(permuted.select(F.col("_area").alias("src"), F.col("_draws").alias("_di")), "src")
         .join(permuted.select(F.col("_area").alias("dst"), F.col("_draws").alias("_dj")), "dst")
-        .select(F.posexplode(F.arrays_zip("_di", "_dj")).alias("_sim", "_pair"))
-    )
-    crosses = products.groupBy("_sim").agg(
-        (2.0 * F.sum(F.col("_pair._di") * F.col("_pair._dj"))).alias("_cross")
+        .select(F.posexplode(F.zip_with("_di", "_dj", lambda a, b: a * b)).alias("_sim", "_product"))
     )
+    crosses = products.groupBy("_sim").agg((2.0 * F.sum("_product")).alias("_cross"))
     observed = _statistic(values, edges, area, x, adjust_n).select(
         F.struct("moran_i", "_cross", "_zz")
     )

@@ -151,7 +151,9 @@ def test_graph_without_edges(spark, measured):
     assert ac.moran_mc(values, graph.where("src < 0"), 9).first().p_value is None
 
 
-def test_moran_mc_against_brute_force(measured):
+@pytest.mark.parametrize("one_sort", [2_000_000, 0])
+def test_moran_mc_against_brute_force(measured, monkeypatch, one_sort):
+    monkeypatch.setattr(ac, "ONE_SORT", one_sort)
     x, edges, values, graph = measured
     w, z, n = moran_parts(x, edges)
     keys = sorted(x)
