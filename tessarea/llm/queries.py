@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import exact_dedup, mixing, packing, simhash, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,61 @@ def query(name: str, sql: str | None = None):
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MIX_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         'd' || ((strpos('0123456789abcdef', substr(md5(coalesce(source, '{mixing.NONE}')), 1, 1)) - 1) // 4) AS domain,
+         coalesce(lang, '{mixing.NONE}') AS lang, coalesce(source, '{mixing.NONE}') AS source,
+         CAST(len(regexp_split_to_array(regexp_replace(coalesce(text, ''),
+              '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM words GROUP BY ALL),
+d0 AS (SELECT domain, sum(supply) * {mixing.EPOCHS} AS capacity,
+              CASE WHEN domain = 'd0' THEN 2e0 ELSE 1e0 END AS weight FROM leaves GROUP BY domain),
+d1 AS (SELECT *, (SELECT CAST(sum(supply) AS DOUBLE) * CAST({mixing.SHARE} AS DOUBLE) FROM leaves) AS given,
+              coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+              sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wide FROM d0),
+domains AS (SELECT domain, least(CAST(capacity AS DOUBLE), max((given - CAST(used AS DOUBLE)) / wide) OVER () * weight) AS budget FROM d1),
+l0 AS (SELECT domain, lang, sum(supply) * {mixing.EPOCHS} AS capacity FROM leaves GROUP BY ALL),
+l1 AS (SELECT l0.*, budget AS given,
+              coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+              count(*) OVER (PARTITION BY domain ORDER BY capacity, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wide
+       FROM l0 JOIN domains USING (domain)),
+langs AS (SELECT domain, lang, least(CAST(capacity AS DOUBLE), max((given - CAST(used AS DOUBLE)) / wide) OVER (PARTITION BY domain)) AS budget FROM l1),
+s0 AS (SELECT leaves.*, supply * {mixing.EPOCHS} AS capacity, budget AS given FROM leaves JOIN langs USING (domain, lang)),
+s1 AS (SELECT *,
+              coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+              count(*) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wide FROM s0),
+plan AS (SELECT domain, lang, source, supply,
+                CAST(floor(least(CAST(capacity AS DOUBLE), max((given - CAST(used AS DOUBLE)) / wide) OVER (PARTITION BY domain, lang)) + 0.5e0) AS BIGINT) AS budget FROM s1),
+wanted AS (SELECT plan.*, e.epoch, least(supply, budget - e.epoch * supply) AS remaining
+           FROM plan, (SELECT unnest(range({mixing.EPOCHS}))::INTEGER AS epoch) e),
+ranked AS (SELECT words.*, epoch, remaining,
+                  coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch
+                    ORDER BY md5('{mixing.SEED}:' || epoch || ':' || doc_id)
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           FROM words JOIN wanted USING (domain, lang, source) WHERE remaining > 0)
+SELECT doc_id, epoch, domain, lang, source, tokens FROM ranked WHERE before < remaining
+"""
+
+
+@query("op6_source_mixing", MIX_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")
+
+
+@query("op8_exact_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("file", "row")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
