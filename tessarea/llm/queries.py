@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
-from .common import prepare, table
+from . import ann, exact_dedup, language, line_dedup, mixing, packing, simhash, token_output, toxicity
+from .common import prepare, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +88,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op1_token_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "shards")
+    token_output.write_shards(table(spark, sf_dir, "documents"), out)
+    return token_output.read_slots(spark, out).withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+LINES_SQL = f"""
+WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+cut AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
+common AS (SELECT trim(line) AS line FROM cut WHERE trim(line) <> '' GROUP BY 1
+           HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+marked AS (SELECT cut.*, common.line IS NOT NULL AS gone FROM cut LEFT JOIN common ON trim(cut.line) = common.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
