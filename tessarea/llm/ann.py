@@ -29,7 +29,7 @@ EVERY = 20
 # Vectors that the centroids are fitted on, and most lists.
 SAMPLE, LISTS = 16_384, 1024
 # Share of the lists that a query probes, and its least number.
-PROBED, LEAST_PROBED = 0.25, 8
+PROBED, LEAST_PROBED = 0.75, 8
 COLUMNS = 16
 # Width of the hypothesis test: larger abandons later.
 EPSILON = 2.1
@@ -218,7 +218,7 @@ def search(
     )
     taught = distinct.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("v").toArrow()
     x = lifted(matrix(taught.column("v"), dimension), longest)
-    count = max(1, min(lists, int(math.sqrt(shape.n)), len(x)))
+    count = max(1, min(lists, int(math.sqrt(shape.n) / 3), len(x)))
     centre = centroids(x, count)
     probes = min(count, max(LEAST_PROBED, math.ceil(probed * count)))
     placed = cut_lineage(

@@ -53,10 +53,25 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def cells(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to ones of about ``rows`` rows; none is empty."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, count = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def cells(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 32_768) -> Iterator[pa.Table]:
     """Regroup batches that are sorted by ``keys``, so that no key is cut in two.
 
-    Holds one batch and the rows of one key; a table yields many whole keys.
+    Holds about ``rows`` rows and those of one key; a table yields many whole keys.
     """
     import numpy as np
 
@@ -73,9 +88,7 @@ def cells(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
     def key_at(batch: pa.RecordBatch, i: int) -> tuple:
         return tuple(batch.column(k)[i].as_py() for k in keys)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in gathered(batches, rows):
         if waiting and key_at(waiting[-1], waiting[-1].num_rows - 1) != key_at(batch, 0):
             yield pa.Table.from_batches(waiting)
             waiting = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language, line_dedup, mixing, packing, simhash, token_output, toxicity
+from . import ann, exact_dedup, language, line_dedup, mixing, packing, simhash, suffix_dedup, token_output, toxicity
 from .common import prepare, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ FROM marked GROUP BY doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return found.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
