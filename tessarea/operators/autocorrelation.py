@@ -1,89 +1,138 @@
-"""Moran's I with binary symmetric weights.
+"""Moran's I with binary symmetric weights, for one graph or many at once.
 
-Islands: the mean and the sum of squares run over all areas, while ``n`` counts
-only areas that have neighbours (``adjust_n``, the usual zero-policy rule).
+Edges count only between areas that have a value: an edge to an area without one
+is left out of the degrees as well as of the sum. Islands: the mean and the sum of
+squares run over all areas, while ``n`` counts only areas that have neighbours
+(``adjust_n``, the usual zero-policy rule).
+
+With ``by`` (e.g. level and variant) values and edges carry these columns, and
+every combination is tested by itself, all in one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normal_upper_tail, ratio
 from ..session import cut_lineage
 
-# Up to this many areas one task may sort a permutation; beyond, the leading bits
-# of the sort key split each permutation's ordering into 2**BUCKET_BITS buckets.
-ONE_SORT = 2_000_000
+# The leading bits of the sort key split each permutation's ordering into
+# 2**BUCKET_BITS buckets, so that no task sorts a whole permutation.
 BUCKET_BITS = 12
 # The key is the number in the first 15 hex digits of the hash: 60 bits.
 KEY_DIGITS = 15
+# Permutations that travel together in one array along the edges.
+BLOCK = 256
+
+
+def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds the columns of ``stats``, one row per ``by``, to every row."""
+    if by:
+        return df.join(stats, list(by))
+    return df.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
+
+
+def _centred(values: DataFrame, by: Sequence[str], area: str, x: str) -> DataFrame:
+    means = values.groupBy(*by).agg(F.avg(x).alias("_mean"))
+    if by:
+        means = cut_lineage(means, "means")  # one row per test
+    return _attach(values, means, by).select(
+        *by, F.col(area).alias("_area"), (F.col(x).cast("double") - F.col("_mean")).alias("_z")
+    )
 
 
-def _centred(values: DataFrame, area: str, x: str) -> DataFrame:
-    mean = values.agg(F.avg(x)).scalar()
-    return values.select(F.col(area).alias("_area"), (F.col(x).cast("double") - mean).alias("_z"))
+def value_edges(edges: DataFrame, areas: DataFrame, by: Sequence[str] = (), area: str = "_area") -> DataFrame:
+    """Edges ``by..., src, dst`` between areas that both have a row in ``areas``."""
+    ends = areas.select(*by, area)
+    src = ends.withColumnRenamed(area, "src")
+    dst = ends.withColumnRenamed(area, "dst")
+    kept = edges.select(*by, "src", "dst").join(src, [*by, "src"], "left_semi")
+    return kept.join(dst, [*by, "dst"], "left_semi")
 
 
-def _cross_sum(z: DataFrame, edges: DataFrame) -> DataFrame:
+def _cross_sum(z: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum of z_i z_j over directed edges, from each undirected edge once."""
-    half = edges.where("src < dst").select("src", "dst")
+    half = edges.where("src < dst").select(*by, "src", "dst")
     return (
-        half.join(z.select(F.col("_area").alias("src"), F.col("_z").alias("_zi")), "src")
-        .join(z.select(F.col("_area").alias("dst"), F.col("_z").alias("_zj")), "dst")
-        .agg(F.coalesce(2.0 * F.sum(F.col("_zi") * F.col("_zj")), F.lit(0.0)).alias("_cross"))
+        half.join(z.select(*by, F.col("_area").alias("src"), F.col("_z").alias("_zi")), [*by, "src"])
+        .join(z.select(*by, F.col("_area").alias("dst"), F.col("_z").alias("_zj")), [*by, "dst"])
+        .groupBy(*by)
+        .agg((2.0 * F.sum(F.col("_zi") * F.col("_zj"))).alias("_cross"))
     )
 
 
-def _constants(z: DataFrame, edges: DataFrame, adjust_n: bool) -> DataFrame:
-    """One row: ``n, _zz, _z4, _s0, _s2`` of the values and the graph."""
-    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
-    graph = degrees.agg(
-        F.coalesce(F.sum("_d"), F.lit(0)).cast("double").alias("_s0"),
-        F.coalesce(4.0 * F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("_s2"),
+def _beside(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join of one row per ``by``; without ``by`` both have one row."""
+    if by:
+        return df.join(other, list(by), "left")
+    return _attach(df, other, by)
+
+
+def _parts(z: DataFrame, edges: DataFrame, by: Sequence[str], adjust_n: bool) -> DataFrame:
+    """One row per ``by``: ``n, _zz, _z4, _s0, _s2, _cross, moran_i``."""
+    degrees = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_d"))
+    graph = degrees.groupBy(*by).agg(
+        F.sum("_d").cast("double").alias("_s0"),
+        (4.0 * F.sum(F.col("_d") * F.col("_d"))).alias("_s2"),
         F.count(F.lit(1)).alias("_linked"),
-    ).select(F.struct("*"))
-    moments = z.agg(
+    )
+    moments = z.groupBy(*by).agg(
         F.count("_z").alias("_all"),
         F.sum(F.pow("_z", F.lit(2))).alias("_zz"),
         F.sum(F.pow("_z", F.lit(4))).alias("_z4"),
     )
-    return moments.withColumn("_g", graph.scalar()).select(
-        F.col("_g._linked" if adjust_n else "_all").cast("double").alias("n"),
+    joined = _beside(_beside(moments, graph, by), _cross_sum(z, edges, by), by)
+    zero = F.lit(0.0)
+    return joined.select(
+        *by,
+        F.coalesce(F.col("_linked" if adjust_n else "_all"), F.lit(0)).cast("double").alias("n"),
         "_zz",
         "_z4",
-        "_g._s0",
-        "_g._s2",
-    )
+        F.coalesce("_s0", zero).alias("_s0"),
+        F.coalesce("_s2", zero).alias("_s2"),
+        F.coalesce("_cross", zero).alias("_cross"),
+    ).withColumn("moran_i", ratio(F.col("n") * F.col("_cross"), F.col("_s0") * F.col("_zz")))
 
 
-def _statistic(values, edges, area, x, adjust_n) -> DataFrame:
-    z = _centred(values, area, x)
-    cross = _cross_sum(z, edges)
-    return _constants(z, edges, adjust_n).withColumn("_cross", cross.scalar()).withColumn(
-        "moran_i", ratio(F.col("n") * F.col("_cross"), F.col("_s0") * F.col("_zz"))
-    )
+def _statistic(
+    values: DataFrame, edges: DataFrame, area: str, x: str, adjust_n: bool, by: Sequence[str]
+) -> DataFrame:
+    z = _centred(values, by, area, x)
+    return _parts(z, value_edges(edges, z, by), by, adjust_n)
 
 
 def morans_i(
-    values: DataFrame, edges: DataFrame, area: str = "area", x: str = "x", adjust_n: bool = True
+    values: DataFrame,
+    edges: DataFrame,
+    area: str = "area",
+    x: str = "x",
+    adjust_n: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row ``n, moran_i``; NULL for a constant measure or a graph without edges.
+    """One row ``by..., n, moran_i``; NULL for a constant measure or a graph without edges.
 
     ``values`` holds one row per area without missing measures.
     """
-    return _statistic(values, edges, area, x, adjust_n).select(
-        F.col("n").cast("bigint").alias("n"), "moran_i"
+    return _statistic(values, edges, area, x, adjust_n, list(by)).select(
+        *by, F.col("n").cast("bigint").alias("n"), "moran_i"
     )
 
 
 def moran_test(
-    values: DataFrame, edges: DataFrame, area: str = "area", x: str = "x", adjust_n: bool = True
+    values: DataFrame,
+    edges: DataFrame,
+    area: str = "area",
+    x: str = "x",
+    adjust_n: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Analytic test under randomisation, alternative "greater".
 
-    One row ``moran_i, expectation, variance, z, p_value``.
+    One row ``by..., moran_i, expectation, variance, z, p_value``.
     """
     n, s0, s2 = F.col("n"), F.col("_s0"), F.col("_s2")
     s1 = 2.0 * s0
@@ -94,49 +143,46 @@ def moran_test(
     )
     second_moment = ratio(top, (n - 1) * (n - 2) * (n - 3) * s0 * s0)
     return (
-        _statistic(values, edges, area, x, adjust_n)
+        _statistic(values, edges, area, x, adjust_n, list(by))
         .withColumn("expectation", expectation)
         .withColumn("variance", second_moment - F.col("expectation") * F.col("expectation"))
         .withColumn(
             "z", ratio(F.col("moran_i") - F.col("expectation"), F.when(F.col("variance") > 0, F.sqrt("variance")))
         )
         .select(
-            "moran_i", "expectation", "variance", "z", normal_upper_tail(F.col("z")).alias("p_value")
+            *by, "moran_i", "expectation", "variance", "z", normal_upper_tail(F.col("z")).alias("p_value")
         )
     )
 
 
 def _permutation_ranks(
-    areas: DataFrame, first: int, last: int, seed: int, n_areas: int
+    areas: DataFrame, by: Sequence[str], first: int, last: int, seed: int, bucket_bits: int
 ) -> DataFrame:
-    """``_sim, _area, _rank`` for permutations ``first..last``.
+    """``by..., _sim, _area, _rank`` for permutations ``first..last``.
 
-    Permutation s orders the areas by the first 60 bits of ``md5(seed|s|area)``. With very many areas the
-    rank is the size of all lower hash buckets plus the rank within the own bucket,
-    which is the same number, but no task then sorts a whole permutation.
+    Permutation s orders the areas by the first 60 bits of ``md5(seed|s|area)``. The
+    rank is the size of all lower hash buckets plus the rank within the own bucket.
     """
     digest = F.md5(
         F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.col("_area").cast("string"))
     )
     # Sorted as a number: shorter rows and cheaper comparisons than the text.
     key = F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("bigint")
-    hashed = areas.select(
-        "_area", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_sim")
-    ).select("_sim", "_area", key.alias("_key"))
-    if n_areas <= ONE_SORT:
-        whole = W.partitionBy("_sim").orderBy("_key", "_area")
-        return hashed.select("_sim", "_area", F.row_number().over(whole).cast("bigint").alias("_rank"))
-    hashed = hashed.withColumn("_bucket", F.shiftright("_key", 4 * KEY_DIGITS - BUCKET_BITS))
-    sizes = hashed.groupBy("_sim", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy("_sim").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    hashed = (
+        areas.select(*by, "_area", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_sim"))
+        .select(*by, "_sim", "_area", key.alias("_key"))
+        .withColumn("_bucket", F.shiftright("_key", 4 * KEY_DIGITS - bucket_bits))
+    )
+    sizes = hashed.groupBy(*by, "_sim", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*by, "_sim").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_sim", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        *by, "_sim", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    within = W.partitionBy("_sim", "_bucket").orderBy("_key", "_area")
+    within = W.partitionBy(*by, "_sim", "_bucket").orderBy("_key", "_area")
     return (
         hashed.withColumn("_place", F.row_number().over(within))
-        .join(offsets, ["_sim", "_bucket"])
-        .select("_sim", "_area", (F.col("_offset") + F.col("_place")).alias("_rank"))
+        .join(offsets, [*by, "_sim", "_bucket"])
+        .select(*by, "_sim", "_area", (F.col("_offset") + F.col("_place")).alias("_rank"))
     )
 
 
@@ -148,47 +194,54 @@ def moran_mc(
     area: str = "area",
     x: str = "x",
     adjust_n: bool = True,
+    by: Sequence[str] = (),
+    block: int = BLOCK,
+    bucket_bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """Permutation test: one row ``moran_i, nsim, n_at_least, p_value``.
+    """Permutation test: one row ``by..., moran_i, nsim, n_at_least, p_value``.
 
     ``p = (#{permuted I >= observed I} + 1) / (nsim + 1)``. Permutations follow
     from ``seed`` alone and do not depend on partitioning: the area ranked r by
     permutation s takes the value of the area ranked r by permutation 0. An
-    area's permuted values travel as one array, so the two edge joins move one
-    row per edge, not one per edge and permutation.
+    area's permuted values travel in arrays of ``block`` permutations, so a row has
+    the same size for any ``nsim``, and sums leave an edge once per block.
     """
-    z = _centred(values, area, x)
-    areas = z.select("_area")
-    n_areas = values.count()
-    base = _permutation_ranks(areas, 0, 0, seed, n_areas).join(z, "_area").select("_rank", "_z")
+    by = list(by)
+    z = cut_lineage(_centred(values, by, area, x), "centred")
+    areas = z.select(*by, "_area")
+    linked = cut_lineage(value_edges(edges, z, by), "value-edges")
+    base = _permutation_ranks(areas, by, 0, 0, seed, bucket_bits).join(z, [*by, "_area"])
     # One row per area: stored, so that its size decides about a broadcast.
-    base = cut_lineage(base, "base")
+    base = cut_lineage(base.select(*by, "_rank", "_z"), "base")
     permuted = (
-        _permutation_ranks(areas, 1, nsim, seed, n_areas)
-        .join(base, "_rank")
-        .groupBy("_area")
+        _permutation_ranks(areas, by, 1, nsim, seed, bucket_bits)
+        .join(base, [*by, "_rank"])
+        .groupBy(*by, "_area", F.floor((F.col("_sim") - 1) / block).alias("_block"))
         .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
-        .select("_area", F.transform("_packed", lambda p: p["_z"]).alias("_draws"))
+        .select(*by, "_area", "_block", F.transform("_packed", lambda p: p["_z"]).alias("_draws"))
     )
     # Joined at both ends of an edge, and an area may have very many edges.
     permuted = cut_lineage(permuted, "permuted")
-    half = edges.where("src < dst").select("src", "dst")
+    half = linked.where("src < dst").select(*by, "src", "dst")
+
+    def end(name: str, draws: str) -> DataFrame:
+        return permuted.select(*by, F.col("_area").alias(name), "_block", F.col("_draws").alias(draws))
+
     products = (
-        half.join(permuted.select(F.col("_area").alias("src"), F.col("_draws").alias("_di")), "src")
-        .join(permuted.select(F.col("_area").alias("dst"), F.col("_draws").alias("_dj")), "dst")
-        .select(F.posexplode(F.zip_with("_di", "_dj", lambda a, b: a * b)).alias("_sim", "_product"))
+        half.join(end("src", "_di"), [*by, "src"])
+        .join(end("dst", "_dj"), [*by, "dst", "_block"])
+        .select(*by, "_block", F.posexplode(F.zip_with("_di", "_dj", lambda a, b: a * b)).alias("_at", "_product"))
     )
-    crosses = products.groupBy("_sim").agg((2.0 * F.sum("_product")).alias("_cross"))
-    observed = _statistic(values, edges, area, x, adjust_n).select(
-        F.struct("moran_i", "_cross", "_zz")
+    crosses = products.groupBy(*by, "_block", "_at").agg((2.0 * F.sum("_product")).alias("_permuted"))
+    observed = cut_lineage(
+        _parts(z, linked, by, adjust_n).select(*by, "moran_i", "_cross", "_zz"), "observed"
     )
     # Sums of the same numbers in another order differ in the last bits only.
-    reached = F.col("_cross") >= F.col("_o._cross") - 1e-10 * F.col("_o._zz")
-    counted = crosses.withColumn("_o", observed.scalar()).agg(
-        F.max("_o.moran_i").alias("moran_i"), F.count_if(reached).alias("_n")
-    )
+    reached: Column = F.col("_permuted") >= F.col("_cross") - 1e-10 * F.col("_zz")
+    counted = _attach(crosses, observed, by).groupBy(*by).agg(F.count_if(reached).alias("_n"))
     known = F.col("moran_i").isNotNull()
-    return counted.select(
+    return _beside(observed, counted, by).select(
+        *by,
         "moran_i",
         F.lit(nsim).alias("nsim"),
         F.when(known, F.col("_n")).alias("n_at_least"),

@@ -27,18 +27,13 @@ def thin_draws(draws: DataFrame, burnin: int, thin: int) -> DataFrame:
 def posterior_summary(draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per parameter: ``n_draws, mean, sd, naive_se`` and five quantiles."""
     keys = list(keys)
-    moments = draws.groupBy(*keys).agg(
-        F.count("value").alias("n_draws"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-    )
-    cuts = quantiles(draws, "value", list(SUMMARY.values()), keys)
-    return moments.join(cuts.select(*keys, "values"), keys).select(
+    moments = (F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    return quantiles(draws, "value", list(SUMMARY.values()), keys, moments).select(
         *keys,
-        "n_draws",
+        F.col("n").alias("n_draws"),
         "mean",
         "sd",
-        (F.col("sd") / F.sqrt("n_draws")).alias("naive_se"),
+        (F.col("sd") / F.sqrt("n")).alias("naive_se"),
         *[F.col("values")[i].alias(name) for i, name in enumerate(SUMMARY)],
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code_number, code_text, is_present, round_half_even, zero_replaced
-from .quantiles import order_statistics
+from .quantiles import keys_at
 
 
 def normalise_codes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -71,22 +71,20 @@ def model_frame(
 
 
 def row_slice(df: DataFrame, order_by: str, lo: int, hi: int) -> DataFrame:
-    """Rows ``lo..hi`` (from 1, both included) in the order of a unique numeric key.
+    """Rows ``lo..hi`` (from 1, both included) in the order of a unique key of any type.
 
-    The two bounding keys are found as order statistics, and the slice is then a
-    key-range filter: no task ever sorts or holds the whole table.
+    Rows with a NULL key have no position and are never in a slice. The two bounding
+    keys are found first, and the slice is then a key-range filter: no task ever
+    sorts or holds the whole table.
     """
     if not 1 <= lo <= hi:
         raise ValueError("need 1 <= lo <= hi")
-    total = df.count()
-    if lo > total:
+    first, last = keys_at(df, order_by, [lo, hi])
+    if first is None:
         return df.limit(0)
-    bounds = order_statistics(df, order_by, [lo, min(hi, total)], total)
-    return (
-        df.withColumn("_bounds", bounds.select("values").scalar())
-        .where(F.col(order_by).between(F.col("_bounds")[0], F.col("_bounds")[1]))
-        .drop("_bounds")
-    )
+    kind = df.schema[order_by].dataType
+    kept = df.where(F.col(order_by) >= F.lit(first).cast(kind))
+    return kept if last is None else kept.where(F.col(order_by) <= F.lit(last).cast(kind))
 
 
 def append_rows(df: DataFrame, *others: DataFrame, fill: Mapping[str, object] | None = None) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Exact quantiles and order statistics of groups of any size.
+"""Exact quantiles and positions of groups of any size.
 
-A group is never gathered into one task. A mergeable sketch (one bounded object
-per group and task) brackets every wanted rank; values outside all brackets are
-counted per gap and only values inside a bracket keep their identity. One
-aggregation, combined map-side, then yields the exact ranks.
+A group is never gathered or sorted in one task. Its range of values is cut into
+equal cells that are counted map-side; the cells that hold the wanted ranks are cut
+again, until they are small, and only what lies in those is ordered. Every pass
+reads a stored copy of the two columns it needs, and returns a bounded number of
+counts per group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,116 +18,164 @@ from pyspark.sql import functions as F
 from ..functions import is_present
 from ..session import cut_lineage
 
-# The sketch errs by at most n/ACCURACY ranks. Brackets reach four times as far
-# to either side; groups up to WHOLE rows are bracketed as a whole.
-ACCURACY = 100_000
-MARGIN = 4.0 / ACCURACY
-WHOLE = 100_000
+# Cells per range and pass, and the size of a cell that is ordered by value.
+CELLS = 256
+SMALL = 4096
+
+
+def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    if by:
+        return df.join(stats, list(by))
+    return df.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
+
+
+def _finite(v: Column) -> Column:
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
+def _cell(v: Column, low: Column, high: Column, cells: int) -> Column:
+    """Number of the cell of a value; rises with the value, infinite ones have their own."""
+    quarter = F.lit(0.25)  # the width of the range stays finite
+    share = (v * quarter - low * quarter) / F.nullif(high * quarter - low * quarter, F.lit(0.0))
+    inside = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells).cast("int"), F.lit(cells - 1))
+    return (
+        F.when(v == float("-inf"), -1).when(v == float("inf"), cells).otherwise(F.greatest(inside, F.lit(0)))
+    )
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, by: Sequence[str], cells: int | None) -> DataFrame:
+    """Wanted ranks with the cell of their range that holds them; ``cells`` None: one per value."""
+    ranges = wanted.groupBy(*by).agg(F.collect_set(F.struct("_lo", "_hi", "_flo", "_fhi")).alias("_ranges"))
+    if by:
+        ranges = cut_lineage(ranges, "ranges")
+    v = F.col("_v")
+    # Ranges are apart or equal: a value lies in one at most.
+    at = _attach(rows, ranges, by).select(
+        *by, "_v", F.inline(F.filter("_ranges", lambda r: v.between(r["_lo"], r["_hi"])))
+    )
+    cell = v if cells is None else _cell(v, F.col("_flo"), F.col("_fhi"), cells)
+    counted = (
+        at.withColumn("_cell", cell)
+        .groupBy(*by, "_lo", "_hi", "_cell")
+        .agg(
+            F.count(F.lit(1)).alias("_c"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.min(_finite(v)).alias("_fmin"),
+            F.max(_finite(v)).alias("_fmax"),
+        )
+    )
+    order = W.partitionBy(*by, "_lo", "_hi").orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = counted.withColumn("_end", F.sum("_c").over(order))
+    key = [*by, "_lo", "_hi"]
+    met = wanted.join(ends, key).where(
+        (F.col("_rank") < F.col("_below") + F.col("_end"))
+        & (F.col("_rank") >= F.col("_below") + F.col("_end") - F.col("_c"))
+    )
+    return met.select(
+        *by,
+        "_t",
+        "_rank",
+        F.col("_min").alias("_lo"),
+        F.col("_max").alias("_hi"),
+        F.col("_fmin").alias("_flo"),
+        F.col("_fmax").alias("_fhi"),
+        (F.col("_below") + F.col("_end") - F.col("_c")).alias("_below"),
+        F.col("_c").alias("_n"),
+    )
 
 
 def _ranked(
     df: DataFrame,
     value: str,
     by: Sequence[str],
-    probs: Sequence[float],
-    position: Callable[[int, Column], Column],
+    positions: Sequence[Callable[[Column], Column]],
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Per group: ``n`` and the exact value at each (fractional) 0-based position."""
-    rows = df.where(is_present(F.col(value))).select(*by, F.col(value).cast("double").alias("_v"))
-    k = len(probs)
-    low = [max(0.0, p - MARGIN) for p in probs]
-    high = [min(1.0, p + MARGIN) for p in probs]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low + high, ACCURACY).alias("_s"),
+    """Per group: ``n``, the exact values at (fractional) 0-based positions, and ``extra``."""
+    by = list(by)
+    rows = cut_lineage(
+        df.where(is_present(F.col(value))).select(*by, F.col(value).cast("double").alias("_v")), "values"
     )
-    whole = F.col("_n") <= WHOLE
-    # An end of the range is taken from min/max, a whole group from min to max.
-    los = [
-        F.when(whole | F.lit(low[i] <= 0.0), F.col("_min")).otherwise(F.col("_s")[i])
-        for i in range(k)
-    ]
-    his = [
-        F.when(whole | F.lit(high[i] >= 1.0), F.col("_max")).otherwise(F.col("_s")[k + i])
-        for i in range(k)
+    stats = cut_lineage(
+        rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.min(_finite(F.col("_v"))).alias("_flo"),
+            F.max(_finite(F.col("_v"))).alias("_fhi"),
+            *extra,
+        ),
+        "ranges",
+    )
+    ranks = [
+        F.struct(F.lit(2 * i + j).alias("_t"), edge(position(F.col("n"))).cast("bigint").alias("_rank"))
+        for i, position in enumerate(positions)
+        for j, edge in enumerate((F.floor, F.ceil))
     ]
-    brackets = sketch.select(*by, F.array(*los).alias("_lo"), F.array(*his).alias("_hi"))
+    wanted = stats.where("n > 0").select(
+        *by, F.inline(F.array(*ranks)), "_lo", "_hi", "_flo", "_fhi", F.lit(0).cast("bigint").alias("_below"),
+        F.col("n").alias("_n"),
+    )
+    wanted = cut_lineage(wanted, "wanted")
+    while (wanted.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0) > SMALL:
+        wanted = cut_lineage(_narrowed(rows, wanted, by, CELLS), "wanted")
+    found = _narrowed(rows, wanted, by, None).groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("_t", "_lo"))).alias("_found")
+    )
+    named = [c for c in stats.columns if c not in ("_lo", "_hi", "_flo", "_fhi")]
     if by:
-        # Written, so that its true size decides whether it can be broadcast: an
-        # estimate would shuffle all rows by group, however few groups there are.
-        placed = rows.join(cut_lineage(brackets, "brackets"), list(by))
+        joined = stats.select(*named).join(found, by, "left")
     else:
-        placed = rows.withColumn("_b", brackets.select(F.struct("_lo", "_hi")).scalar()).select(
-            "_v", "_b._lo", "_b._hi"
-        )
-    v = F.col("_v")
-    inside = reduce(
-        lambda a, b: a | b, [v.between(F.col("_lo")[i], F.col("_hi")[i]) for i in range(k)]
-    )
-    below = [F.when(F.col("_hi")[i] < v, F.col("_hi")[i]) for i in range(k)]
-    floor = F.greatest(F.lit(float("-inf")), *below)
-    cells = (
-        placed.select(*by, F.when(inside, v).otherwise(floor).alias("_cell"), (~inside).alias("_gap"))
-        .groupBy(*by, "_cell", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # Bounded: at most WHOLE, or a fixed small share of n, distinct candidates.
-    order = W.partitionBy(*by).orderBy("_cell", "_gap")
-    everything = W.partitionBy(*by)
-    ranked = cells.select(
-        *by,
-        "_cell",
-        "_gap",
-        "_c",
-        F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_end"),
-        F.sum("_c").over(everything).alias("_n"),
-    )
-    n = F.col("_n")
-    picks = []
-    for i in range(k):
-        pos = position(i, n)
-        for name, rank in (("l", F.floor(pos)), ("h", F.ceil(pos))):
-            hit = (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")) & ~F.col("_gap")
-            picks.append(F.max(F.when(hit, F.col("_cell"))).alias(f"_{name}{i}"))
-    found = ranked.groupBy(*by).agg(F.first("_n").alias("n"), *picks)
+        joined = stats.select(*named).withColumn("_found", found.select("_found").scalar())
     values = []
-    for i in range(k):
-        pos = position(i, F.col("n"))
-        share = pos - F.floor(pos)
-        lo, hi = F.col(f"_l{i}"), F.col(f"_h{i}")
-        exact = F.when(share == 0, lo).otherwise(lo + (hi - lo) * share)
-        values.append(
-            F.when(
-                lo.isNull() | hi.isNull(), F.raise_error(F.lit("rank outside its bracket"))
-            ).otherwise(exact)
-        )
-    return found.select(
-        *by,
-        "n",
-        F.when(F.col("n") > 0, F.array(*[x.cast("double") for x in values])).alias("values"),
-    )
+    for i, position in enumerate(positions):
+        at = position(F.col("n"))
+        share = at - F.floor(at)
+        lo, hi = F.col("_found")[2 * i], F.col("_found")[2 * i + 1]
+        values.append(F.when(share == 0, lo).otherwise(lo + (hi - lo) * share))
+    return joined.withColumn("values", F.when(F.col("n") > 0, F.array(*values))).drop("_found")
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Exact quantiles, linear interpolation at ``(n - 1) * p``; ``by..., n, values``.
 
-    Missing values are ignored. Without rows the result is ``n`` NULL, values NULL.
+    Missing values are ignored. Without rows ``n`` is 0 and values are NULL.
+    ``extra`` are aggregates over the present values ``_v``, from the same pass.
     """
 
+    def at(p: float) -> Callable[[Column], Column]:
+        def position(n: Column) -> Column:
+            exact = (n - 1) * F.lit(float(p))
+            # 0.2 and the like are not exact in binary: do not miss a whole rank.
+            return F.when(F.abs(exact - F.rint(exact)) < 1e-9, F.rint(exact)).otherwise(exact)
 
-    def position(i: int, n: Column) -> Column:
-        exact = (n - 1) * F.lit(float(probs[i]))
-        # 0.2 and the like are not exact in binary: do not miss a whole rank.
-        return F.when(F.abs(exact - F.rint(exact)) < 1e-9, F.rint(exact)).otherwise(exact)
+        return position
 
-    return _ranked(df, value, list(by), list(probs), position)
+    return _ranked(df, value, by, [at(p) for p in probs], extra)
 
 
-def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], total: int) -> DataFrame:
-    """The values at the given ranks (from 1) of ``total`` rows, as one row ``n, values``."""
-    probs = [(r - 1) / max(total - 1, 1) for r in ranks]
-    return _ranked(df, value, [], probs, lambda i, n: F.lit(float(ranks[i] - 1)))
+def keys_at(df: DataFrame, key: str, ranks: Sequence[int]) -> list:
+    """The keys at the given ranks (from 1) among those present; None beyond the last.
+
+    Works for keys of any type that can be ordered, in that type. The keys are
+    range-partitioned, and only the partitions that hold the ranks are numbered.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"))
+    parted = cut_lineage(
+        keys.repartitionByRange("_k").withColumn("_part", F.spark_partition_id()), "keys"
+    )
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition.
+    starts = sizes.withColumn(
+        "_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    )
+    hit = F.lit(False)
+    for rank in ranks:
+        hit = hit | ((F.col("_start") < rank) & (F.col("_start") + F.col("_n") >= rank))
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_k")) + F.col("_start")
+    numbered = parted.join(starts.where(hit), "_part").select("_k", place.alias("_rank"))
+    found = {r["_rank"]: r["_k"] for r in numbered.where(F.col("_rank").isin(list(ranks))).collect()}
+    return [found.get(rank) for rank in ranks]

@@ -151,9 +151,8 @@ def test_graph_without_edges(spark, measured):
     assert ac.moran_mc(values, graph.where("src < 0"), 9).first().p_value is None
 
 
-@pytest.mark.parametrize("one_sort", [2_000_000, 0])
-def test_moran_mc_against_brute_force(measured, monkeypatch, one_sort):
-    monkeypatch.setattr(ac, "ONE_SORT", one_sort)
+@pytest.mark.parametrize("block, bits", [(256, 12), (7, 2)])
+def test_moran_mc_against_brute_force(measured, block, bits):
     x, edges, values, graph = measured
     w, z, n = moran_parts(x, edges)
     keys = sorted(x)
@@ -171,7 +170,7 @@ def test_moran_mc_against_brute_force(measured, monkeypatch, one_sort):
         p = np.array([moved[k] for k in keys])
         at_least += p @ w @ p >= observed - 1e-10 * (z @ z)
     for parts in (1, 7):
-        got = ac.moran_mc(values.repartition(parts), graph.repartition(parts), nsim, seed).first()
+        got = ac.moran_mc(values.repartition(parts), graph.repartition(parts), nsim, seed, block=block, bucket_bits=bits).first()
         assert got.n_at_least == at_least
         assert got.p_value == pytest.approx((at_least + 1) / (nsim + 1))
 
@@ -183,3 +182,23 @@ def test_clustered_measure_is_significant(spark):
     got = ac.moran_mc(drop_missing(values, ["x"]), g.contiguity(layer, "k"), 99).first()
     assert got.n_at_least == 0 and got.p_value == pytest.approx(0.01)
     assert ac.moran_test(values, g.contiguity(layer, "k")).first().p_value < 1e-6
+
+
+def test_edges_to_areas_without_a_value(spark, measured):
+    x, edges, values, graph = measured
+    more = graph.unionAll(spark.createDataFrame([(1, 999), (999, 1), (998, 999)], "src long, dst long"))
+    assert ac.morans_i(values, more).first() == ac.morans_i(values, graph).first()
+    assert ac.moran_test(values, more).first() == ac.moran_test(values, graph).first()
+    assert ac.moran_mc(values, more, 19).first() == ac.moran_mc(values, graph, 19).first()
+
+
+def test_many_graphs_in_one_job(spark, rows, measured):
+    x, edges, values, graph = measured
+    half = values.where("area % 2 = 0")
+    both = values.withColumn("g", F.lit("all")).unionByName(half.withColumn("g", F.lit("half")))
+    graphs = graph.withColumn("g", F.lit("all")).unionByName(graph.withColumn("g", F.lit("half")))
+    for op in (ac.morans_i, ac.moran_test, lambda *a, **k: ac.moran_mc(*a, nsim=29, **k)):
+        got = {r.g: r[1:] for r in op(both, graphs, by=["g"]).collect()}
+        assert got["all"] == pytest.approx(tuple(op(values, graph).first()), nan_ok=True)
+        alone = op(half, graph).first()
+        assert [v for v in got["half"]] == [pytest.approx(v) if v is not None else None for v in alone]

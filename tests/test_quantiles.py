@@ -12,10 +12,9 @@ PROBS = (0.0, 0.025, 0.2, 0.25, 0.5, 0.8, 0.975, 1.0)
 
 @pytest.fixture
 def small_brackets(monkeypatch):
-    """Make a few hundred rows a large group, so that the sketch path is taken."""
-    monkeypatch.setattr(q, "ACCURACY", 200)
-    monkeypatch.setattr(q, "MARGIN", 4 / 200)
-    monkeypatch.setattr(q, "WHOLE", 50)
+    """Several passes also for a few hundred rows."""
+    monkeypatch.setattr(q, "CELLS", 16)
+    monkeypatch.setattr(q, "SMALL", 20)
 
 
 def values_of(df, key=None):
@@ -29,7 +28,7 @@ def test_against_numpy_whole_group(spark):
     assert got == pytest.approx(list(np.quantile(data, PROBS)), abs=1e-12)
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "one_heavy_value", "heavy_tail"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "one_heavy_value", "heavy_tail", "extremes"])
 def test_against_numpy_bracketed(spark, small_brackets, kind):
     rng = np.random.default_rng(7)
     data = {
@@ -37,6 +36,7 @@ def test_against_numpy_bracketed(spark, small_brackets, kind):
         "ties": rng.integers(0, 9, size=5000).astype(float),
         "one_heavy_value": np.where(rng.random(5000) < 0.5, 3.0, rng.normal(size=5000)),
         "heavy_tail": np.exp(rng.normal(size=5000) * 8),
+        "extremes": np.concatenate([[-1.7e308, 1.7e308], rng.normal(size=500)]),
     }[kind]
     df = spark.createDataFrame([(float(x),) for x in data], "x double").repartition(6)
     got = values_of(q.quantiles(df, "x", PROBS))[None]
@@ -109,6 +109,31 @@ def test_row_slice(spark, lo, hi, want):
     assert sorted(r.k for r in row_slice(df, "k", lo, hi).collect()) == [10 * w for w in want]
 
 
+def test_infinite_values(spark, small_brackets):
+    df = spark.createDataFrame([(x,) for x in [float("-inf")] * 30 + [float(i) for i in range(41)] + [float("inf")] * 30], "x double")
+    assert values_of(q.quantiles(df, "x", [0.0, 0.5, 1.0]))[None] == [float("-inf"), 20.0, float("inf")]
+
+
+@pytest.mark.parametrize("kind", ["null", "text", "large"])
+def test_row_slice_keys_of_any_kind(spark, kind):
+    keys = {
+        "null": [None, None, *range(40)],
+        "text": [f"k{i:03}" for i in range(40)],
+        "large": [2**53 + i for i in range(40)],
+    }[kind]
+    df = spark.createDataFrame([(k,) for k in keys], "k string" if kind == "text" else "k long").repartition(5)
+    present = sorted(k for k in keys if k is not None)
+    assert sorted(r.k for r in row_slice(df, "k", 7, 7).collect()) == present[6:7]
+    assert sorted(r.k for r in row_slice(df, "k", 30, 90).collect()) == present[29:]
+
+
+def test_describe_by_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, x double")
+    got = {r.g: r for r in describe_measure(df, "x", ["g"]).collect()}
+    assert got["a"].median == 2.0 and got["a"].n_missing == 0 and got["b"].median is None and got["b"].n_missing == 1
+    assert {r.g: r.hi for r in measure_range(df, "x", ["g"]).collect()} == {"a": 3.0, "b": None}
+
+
 def test_row_slice_bracketed(spark, small_brackets):
     df = spark.range(3000).select((F.col("id") * 3).alias("k")).repartition(7)
     got = sorted(r.k for r in row_slice(df, "k", 1609, 2000).collect())
