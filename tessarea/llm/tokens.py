@@ -9,7 +9,10 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 # Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
+# What closes the last token of a word in the vocabulary, and words encoded together.
+WORD_END = "</w>"
+TOGETHER = 50
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -18,6 +21,20 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def _core(word: str) -> tuple[str, str]:
+    """A word in lower case without a final full stop or comma, and that sign.
+
+    The tokenizer lowers case itself and splits the sign off when a letter or
+    digit stands before it. Words beyond Latin-1, whose case or composition may
+    depend on neighbours, and special tokens stay as they are.
+    """
+    if "<" in word or max(word) > "\xff":
+        return word, ""
+    if len(word) > 1 and word[-1] in ".," and word[-2].isalnum():
+        return word[:-1].lower(), word[-1]
+    return word.lower(), ""
+
+
 class WordEncoder:
     """Ids of whole texts for tokenizers that never join across white space.
 
@@ -30,27 +47,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closes[number] = token.endswith(WORD_END)
         self.known: dict[str, bytes] = {"": b""}
 
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Ids of each word. Words of letters alone close one token each: many go in one text."""
+        plain = [w for w in words if w.isalpha()]
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for group, ids in zip(groups, self._batch([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                found.update(zip(group, (data[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (ids.tobytes() for ids in self._batch(rest))))
+        return [found[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {"": b""}
-            new = [w for w in set().union(*split) if w]
+            new = set().union(*split)
         known, passing = self.known, {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, ids in zip(part, self._encode(part)):
-                (known if len(word) <= LONGEST else passing)[word] = ids
-        if passing:
-            known = known | passing
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        parts = {w: _core(w) for w in new if w}
+        wanted = {c for pair in parts.values() for c in pair}.difference(known)
+        for store, words in (
+            (known, [w for w in wanted if len(w) <= LONGEST]),
+            (passing, [w for w in wanted if len(w) > LONGEST]),
+        ):
+            store.update(zip(words, self._encode(words)))
+        for word, (core, sign) in parts.items():
+            ids = passing[core] if core in passing else known[core]
+            (known if len(word) <= LONGEST else passing)[word] = ids + known[sign]
+        known.update(passing)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in passing:
+            del known[word]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
