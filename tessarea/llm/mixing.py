@@ -13,6 +13,8 @@ found by buckets of that digest first, so no window spans a leaf.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,7 @@ def budgets(leaves: DataFrame, total: Column | float, levels=LEVELS, weight=node
 
 
 def _order(seed: int, ident: Column) -> Column:
+    """Place of a row in the order of its ``epoch``."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), ident).cast("binary"))
 
 
@@ -133,13 +136,20 @@ def select_prefixes(
     return whole.unionByName(edge.where("before < left").drop("before")).drop("low", "cut", "bucket", "left", "supply", "budget")
 
 
+def _levels() -> dict[str, Column]:
+    """The levels of a row of documents; null is a node of its own."""
+    return {
+        "domain": domain_of(),
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
+        "source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
+    }
+
+
 def described(docs: DataFrame) -> DataFrame:
     """``doc_id, domain, lang, source, tokens, tie``: what the mixture needs to know of each row."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        domain_of().alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
-        F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
+        *[value.alias(c) for c, value in _levels().items()],
         token_count().alias("tokens"),
         F.xxhash64("text").alias("tie"),
     )
@@ -153,25 +163,32 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int =
     rows count each; of rows with equal order the one with the smaller text hash
     comes first. An empty table gives no rows.
     """
+    return _chosen(docs, share, epochs, seed, weight).select("doc_id", "epoch", *LEVELS, "tokens", "tie")
+
+
+def _chosen(docs: DataFrame, share: float, epochs: int, seed: int, weight) -> DataFrame:
     prepare(docs.sparkSession)
     rows = cut_lineage(described(docs), "mix-rows")
     leaves = cut_lineage(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), "mix-leaves")
     total = (leaves.agg(F.sum("supply")).first()[0] or 0) * share
     plan = budgets(leaves, total, weight=weight, epochs=epochs)
-    chosen = select_prefixes(rows, plan, epochs=epochs, seed=seed)
-    return chosen.select("doc_id", "epoch", *LEVELS, "tokens", "tie")
+    return select_prefixes(rows, plan, epochs=epochs, seed=seed)
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weight=node_weight) -> DataFrame:
     """The rows of ``docs``, once for each epoch that chose them, with all columns.
 
-    Rows that agree in identifier and text are chosen together.
+    A prefix ends at one place of an epoch's order, so that each row is held against
+    the last place of its leaf: a small table, and no text is moved. Rows that agree
+    in identifier and text share their place and are chosen together.
     """
-    times = mix(docs, **options).groupBy("doc_id", "tie").agg(F.countDistinct("epoch").alias("__times"))
-    chosen = cut_lineage(times.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "__times"), "mix-chosen")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie"))
-    return (
-        docs.join(chosen, same)
-        .withColumn("__copy", F.explode(F.expr("sequence(1L, __times)")))
-        .drop("__times", "__copy", "__id", "__tie")
-    )
+    chosen = _chosen(docs, share, epochs, seed, weight)
+    last = chosen.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("mix_order", "tie")).alias("__last"))
+    last = cut_lineage(last, "mix-last").withColumnsRenamed({c: f"__{c}" for c in LEVELS})
+    leaf = {f"__own_{c}": value for c, value in _levels().items()}
+    rows = docs.withColumns(leaf | {"__tie": F.xxhash64("text")})
+    own = [F.col(f"__own_{c}") == F.col(f"__{c}") for c in LEVELS]
+    ident = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(NONE))
+    place = F.struct(_order(seed, ident).alias("mix_order"), F.col("__tie").alias("tie"))
+    taken = rows.join(last, reduce(lambda x, y: x & y, own)).where(place <= F.col("__last"))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,3 +86,13 @@ def test_no_window_spans_a_leaf(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'a b c' AS text", "'en' AS lang", "'s' AS source")
     got = mixing.mix(docs, share=0.5, epochs=1)
     assert got.count() == 10_000
+
+
+def test_apply_is_the_selection(spark, rows):
+    rnd = random.Random(8)
+    docs = spark.createDataFrame(
+        [(i, "w " * rnd.randrange(1, 50), rnd.choice(["en", None]), f"s{i % 3}", i, "x") for i in range(500)], DOCS
+    )
+    for share in (0.3, 1.2):
+        want = rows(mixing.mix(docs, share=share), "doc_id")
+        assert rows(mixing.apply_mix(docs, share=share), "doc_id") == want
