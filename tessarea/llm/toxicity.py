@@ -17,17 +17,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, prepare, texts_of
+from .common import crc_of_id, cut_lineage, prepare, texts_of
 
 # Rows of the training sample: the bound on what the driver sees.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
@@ -136,18 +135,18 @@ class Model:
 
     def margins(self, words: list[str], kernel: Kernel) -> np.ndarray:
         """Margin of every word; words under three letters have the bias alone."""
-        whole = [letters(w) for w in words]
-        parts, owner = [], []
-        for i, w in enumerate(whole):
-            for piece in _pieces(w):
-                parts.append(piece)
-                owner.append(i)
-        margin = np.full(len(parts), self.bias)
-        for n, at in by_length(parts).items():
-            if n >= 3:
-                margin[at] += kernel.values([parts[i] for i in at]) @ self.weights
         out = np.full(len(words), -np.inf)
-        np.maximum.at(out, np.array(owner, np.int64), margin)
+        for k in range(0, len(words), 50_000):
+            parts, owner = [], []
+            for i, w in enumerate(words[k : k + 50_000], k):
+                for piece in _pieces(letters(w)):
+                    parts.append(piece)
+                    owner.append(i)
+            margin = np.full(len(parts), self.bias)
+            for n, at in by_length(parts).items():
+                if n >= 3:
+                    margin[at] += kernel.values([parts[i] for i in at]) @ self.weights
+            np.maximum.at(out, np.array(owner, np.int64), margin)
         return out
 
     def probability(self, margin: float) -> float:
@@ -191,27 +190,32 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     if not toxic.any() or toxic.all():
         return empty
     rnd = np.random.default_rng(seed)
-    held: list[set[str]] = []
-    # The words of the sentences of each text.
+    number: dict[str, int] = {}
+    held: list[np.ndarray] = []
+    # The words of the sentences of each text, by number.
     for text in texts:
-        words: set[str] = set()
+        found: set[int] = set()
         for sentence in _SENTENCE.split(text):
-            words.update(w for t in instances(sentence) if 3 <= len(w := letters(t)) <= LONGEST)
-        held.append(words)
-    bad, good = Counter(), Counter()
-    for words, y in zip(held, toxic):
-        (bad if y else good).update(words)
-    often = [w for w, n in bad.items() if n >= 3]
-    need = math.log(max(2, len(often))) + 3
-    guilt = {
-        w: -bad[w] * math.log(prior)
-        for w in often
-        if good[w] <= 0.02 * bad[w] and -bad[w] * math.log(prior) >= need
-    }
-    if not guilt:
+            for token in instances(sentence):
+                if 3 <= len(w := letters(token)) <= LONGEST:
+                    found.add(number.setdefault(w, len(number)))
+        held.append(np.fromiter(found, np.int32, len(found)))
+    words = list(number)
+    del number
+    bad, good = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for found, y in zip(held, toxic):
+        (bad if y else good)[found] += 1
+    need = math.log(max(2, int((bad >= 3).sum()))) + 3
+    weight = -bad * math.log(prior)
+    guilty = (bad >= 3) & (good <= 0.02 * bad) & (weight >= need)
+    if not guilty.any():
         return empty
-    seeds = sorted(guilt, key=lambda w: (-guilt[w], w))
-    common = sorted((w for w in good if w not in guilt), key=lambda w: (-good[w], w))
+    at = sorted(np.flatnonzero(guilty).tolist(), key=lambda i: (-weight[i], words[i]))
+    seeds = [words[i] for i in at]
+    seed_texts = bad[at]
+    clean_at = np.flatnonzero((good > 0) & ~guilty)
+    clean = [words[i] for i in clean_at]
+    common = [words[i] for i in sorted(clean_at.tolist(), key=lambda i: (-good[i], words[i]))[:2000]]
     landmarks = seeds[: LANDMARKS * 3 // 4]
     landmarks += common[: LANDMARKS - len(landmarks)]
     kernel = Kernel(landmarks)
@@ -232,24 +236,21 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         k = int(rnd.integers(1, len(word)))
         return word[:k] + chr(97 + int(rnd.integers(26))) + word[k:]
 
-    strange = [w for w in seeds for _ in range(2) if len(w) >= 5]
-    positive = seeds + [disturbed(w) for w in strange]
+    strange = [(w, n) for w, n in zip(seeds, seed_texts) for _ in range(2) if len(w) >= 5]
+    positive = seeds + [disturbed(w) for w, _ in strange]
     # A word counts by the square root of its texts, a disturbed copy for a quarter.
-    count = [math.sqrt(bad[w]) for w in seeds] + [math.sqrt(bad[w]) / 4 for w in strange]
-    clean = sorted(w for w in good if w not in guilt)
-    negative = common[:2000] + [clean[i] for i in rnd.permutation(len(clean))[:4000]]
+    count = [math.sqrt(n) for n in seed_texts] + [math.sqrt(n) / 4 for _, n in strange]
+    negative = common + [clean[i] for i in rnd.permutation(len(clean))[:4000]]
     for _ in range(MINING):
         x = np.vstack([vectors(positive), vectors(negative)])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         w, bias = _svm(x, y, np.concatenate([count, np.ones(len(negative))]))
         model = Model(landmarks, root @ w, bias, 1.0, 0.0, prior)
-        score = dict(zip(clean, model.margins(clean, kernel)))
-        hard = sorted(clean, key=lambda v: (-score[v], v))[:1500]
+        hard = np.argsort(-model.margins(clean, kernel), kind="stable")[:1500]
         known = set(negative)
-        negative += [v for v in hard if v not in known]
-    every = sorted(set().union(*held) if held else set())
-    score = dict(zip(every, model.margins(every, kernel)))
-    worst = np.array([max((score[v] for v in words), default=model.bias) for words in held])
+        negative += [clean[i] for i in hard if clean[i] not in known]
+    score = model.margins(words, kernel)
+    worst = np.array([score[found].max() if len(found) else model.bias for found in held])
     model.slope, model.shift = _platt(worst, toxic)
     return model
 
@@ -269,14 +270,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
         .where("toxic = most")
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        marks.join(ids, "doc_id", "left_semi")
-        .withColumn("rank", F.row_number().over(order))
-        .where(f"rank <= CASE WHEN toxic = 1 THEN {SAMPLE_TOXIC} ELSE {SAMPLE_CLEAN} END")
-        .select("doc_id", "toxic")
-        .collect()
-    )
+    known = cut_lineage(marks.join(ids, "doc_id", "left_semi").select("doc_id", "toxic"), "toxic-labels")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = [
+        row
+        for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
+        for row in known.where(F.col("toxic") == kind).orderBy(*order).limit(most).collect()
+    ]
     toxic = {r.doc_id: bool(r.toxic) for r in chosen}
     if not toxic:
         return [], np.zeros(0, bool)
