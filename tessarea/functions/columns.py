@@ -50,8 +50,12 @@ def first_present(*values: Column) -> Column:
 
 
 def code_number(value: Column) -> Column:
-    """Text or factor code to BIGINT; text that is no number becomes NULL."""
-    return F.trim(value.cast("string")).try_cast("bigint")
+    """Text, factor or number to a BIGINT code; what is no whole number becomes NULL.
+
+    ``305011105.0``, ``3e4`` and a DOUBLE are read as the whole numbers they are.
+    """
+    number = F.trim(value.cast("string")).try_cast("decimal(38,10)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def code_text(value: Column) -> Column:

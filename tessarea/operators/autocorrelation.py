@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal_upper_tail, ratio
 from ..session import cut_lineage
+from .graph import edges_between
 
 # The leading bits of the sort key split each permutation's ordering into
 # 2**BUCKET_BITS buckets, so that no task sorts a whole permutation.
@@ -45,15 +46,6 @@ def _centred(values: DataFrame, by: Sequence[str], area: str, x: str) -> DataFra
     )
 
 
-def value_edges(edges: DataFrame, areas: DataFrame, by: Sequence[str] = (), area: str = "_area") -> DataFrame:
-    """Edges ``by..., src, dst`` between areas that both have a row in ``areas``."""
-    ends = areas.select(*by, area)
-    src = ends.withColumnRenamed(area, "src")
-    dst = ends.withColumnRenamed(area, "dst")
-    kept = edges.select(*by, "src", "dst").join(src, [*by, "src"], "left_semi")
-    return kept.join(dst, [*by, "dst"], "left_semi")
-
-
 def _cross_sum(z: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum of z_i z_j over directed edges, from each undirected edge once."""
     half = edges.where("src < dst").select(*by, "src", "dst")
@@ -102,7 +94,7 @@ def _statistic(
     values: DataFrame, edges: DataFrame, area: str, x: str, adjust_n: bool, by: Sequence[str]
 ) -> DataFrame:
     z = _centred(values, by, area, x)
-    return _parts(z, value_edges(edges, z, by), by, adjust_n)
+    return _parts(z, edges_between(z, edges, "_area", by), by, adjust_n)
 
 
 def morans_i(
@@ -209,7 +201,7 @@ def moran_mc(
     by = list(by)
     z = cut_lineage(_centred(values, by, area, x), "centred")
     areas = z.select(*by, "_area")
-    linked = cut_lineage(value_edges(edges, z, by), "value-edges")
+    linked = cut_lineage(edges_between(z, edges, "_area", by), "value-edges")
     base = _permutation_ranks(areas, by, 0, 0, seed, bucket_bits).join(z, [*by, "_area"])
     # One row per area: stored, so that its size decides about a broadcast.
     base = cut_lineage(base.select(*by, "_rank", "_z"), "base")

@@ -14,6 +14,8 @@ from .quantiles import quantiles
 KEYS = ("level", "variant", "param", "idx")
 # Width of a band of log densities; exp(BAND) times any number of draws is finite.
 BAND = 300.0
+# The band of draws under which the observed count is impossible.
+LOWEST_BAND = -(10**12)
 # Reported quantiles, with their column names.
 SUMMARY = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
 
@@ -138,7 +140,9 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
     Log densities are shifted by the density at the area's own observed count and
     summed as exponentials per band of ``BAND`` log units, relative to the band;
     the few bands of an area are put together last. So neither a poor draw nor a
-    large count can overflow or vanish.
+    large count can overflow or vanish. A draw of zero is certain where nothing was
+    observed and impossible elsewhere; one impossible draw makes DIC and WAIC
+    infinite and the LMPL minus infinity.
     """
     by = list(by)
     area = [*by, key, "observed"]
@@ -146,9 +150,10 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
     # Shifted log density: log p(o | mu) - log p(o | o), never above zero.
     at_peak = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0)
     draws = draw_fits.select(*by, key, "fitted").join(frame.select(*by, key, "observed"), [*by, key])
-    shifted = draws.withColumn("_l", o * F.ln(mu) - mu - at_peak).withColumn(
-        "_band", F.floor(F.col("_l") / BAND)
-    )
+    impossible = F.lit(float("-inf"))
+    density = F.when(o == 0, -mu).when(mu > 0, o * F.ln(mu) - mu - at_peak).otherwise(impossible)
+    band = F.when(F.col("_l") == impossible, F.lit(LOWEST_BAND)).otherwise(F.floor(F.col("_l") / BAND))
+    shifted = draws.withColumn("_l", density).withColumn("_band", band)
     inside = F.col("_l") - F.col("_band") * BAND
     bands = shifted.groupBy(*area, "_band").agg(
         F.count(F.lit(1)).alias("n"),
@@ -175,9 +180,13 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
         *area,
         "_mean",
         (F.col("_mu") / n).alias("_mu"),
-        ratio(
-            total(lambda b: b["n"] * (b["var"] + F.pow(b["mean"] - F.col("_mean"), F.lit(2)))), n - 1
-        ).alias("_var"),
+        F.when(F.col("_mean") == impossible, F.lit(float("inf")))
+        .otherwise(
+            ratio(
+                total(lambda b: b["n"] * (b["var"] + F.pow(b["mean"] - F.col("_mean"), F.lit(2)))), n - 1
+            )
+        )
+        .alias("_var"),
         (
             F.ln(total(lambda b: b["up"] * F.exp((b["_band"] - F.col("_top")) * BAND)) / n)
             + F.col("_top") * BAND
@@ -189,7 +198,11 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
     )
     log_factorial = log_gamma_plus_one(o)
     base = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0) - log_factorial
-    at_mean = o * F.ln("_mu") - F.col("_mu") - log_factorial
+    at_mean = (
+        F.when(o == 0, -F.col("_mu"))
+        .when(F.col("_mu") > 0, o * F.ln("_mu") - F.col("_mu") - log_factorial)
+        .otherwise(impossible)
+    )
     sums = per_area.groupBy(*by).agg(
         (-2 * F.sum(F.col("_mean") + base)).alias("_dbar"),
         (-2 * F.sum(at_mean)).alias("_dhat"),

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import code_number, code_text, is_present, round_half_even, zero_replaced
 from .quantiles import keys_at
@@ -27,10 +28,11 @@ def keep_equal(df: DataFrame, column: str, value: object) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Drop rows where any of the measures is NULL or NaN."""
+    """Drop rows where any of the columns is NULL or, in a measure, NaN."""
     kept = df
     for c in columns:
-        kept = kept.where(is_present(F.col(c)))
+        is_measure = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
+        kept = kept.where(is_present(F.col(c)) if is_measure else F.col(c).isNotNull())
     return kept
 
 

@@ -63,7 +63,8 @@ def contiguity(
     two exact joins instead: pairs that agree on two such points, and pairs that
     share one ordinary point and have such a point in common. The vertex table
     and the (normally empty) table of such points are written to the shared
-    folder, so that these joins enter the plan only where there are any.
+    folder: the same plan serves every layer, and its joins end at once where
+    there are no such points.
     """
     by = list(by)
     point = [*by, "_px", "_py"]
@@ -85,16 +86,12 @@ def contiguity(
     members = cut_lineage(members, "vertices")
     crowds = members.groupBy(*point).agg(F.count(F.lit(1)).alias("_n"))
     hot = cut_lineage(crowds.where(F.col("_n") > hot_point).select(*point), "hot-points")
-    crowded = not hot.isEmpty()
     shared = (
-        _pairs(members.join(hot, point, "left_anti") if crowded else members, point)
+        _pairs(members.join(hot, point, "left_anti"), point)
         .groupBy(*by, "a", "b")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     plain = shared.where("_n >= 2").select(*by, "a", "b")
-    if not crowded:
-        return _both_ways(plain, by)
-
     sets = (
         members.join(hot, point, "left_semi")
         .groupBy(*by, "_area")
@@ -146,19 +143,34 @@ def degree(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ())
     )
 
 
-def _linked(edges: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
-    """Areas with an edge, one row each, reduced map-side."""
-    return edges.select(*by, F.col("src").alias(key)).distinct()
+def edges_between(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Edges ``by..., src, dst`` whose ends both have a row in ``areas(by..., key)``."""
+    kept = edges.select(*by, "src", "dst")
+    for end in ("src", "dst"):
+        rows = areas.select(*by, F.col(key).alias(end))
+        kept = kept.join(rows, [*by, end], "left_semi")
+    return kept
+
+
+def _linked(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """Areas with an edge to another area of the table, one row each, reduced map-side."""
+    other = areas.select(*by, F.col(key).alias("dst"))
+    return (
+        edges.select(*by, "src", "dst")
+        .join(other, [*by, "dst"], "left_semi")
+        .select(*by, F.col("src").alias(key))
+        .distinct()
+    )
 
 
 def islands(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Areas without neighbours."""
-    return areas.join(_linked(edges, key, by), [*by, key], "left_anti")
+    """Areas without a neighbour among the areas."""
+    return areas.join(_linked(areas, edges, key, by), [*by, key], "left_anti")
 
 
 def drop_islands(areas: DataFrame, edges: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Areas that have neighbours.
+    """Areas that have a neighbour among the areas.
 
     The weights and the data must lose the same areas, or they no longer match.
     """
-    return areas.join(_linked(edges, key, by), [*by, key], "left_semi")
+    return areas.join(_linked(areas, edges, key, by), [*by, key], "left_semi")

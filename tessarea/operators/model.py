@@ -11,13 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import first_present, is_present, log_positive, ratio
+from ..functions import first_present, log_positive, ratio
 from ..session import cut_lineage, scratch_path
+from .graph import edges_between
 
 ZERO_CASES = 0.001
 # Edges of one area beyond this number are spread over several join keys.
@@ -64,25 +66,28 @@ def poisson_rates(frame: DataFrame, covariate: str | None = None, by: Sequence[s
 def poisson_glm(frame: DataFrame, features: Sequence[str], max_iter: int = 25, tol: float = 1e-10) -> DataFrame:
     """The same model for any factor covariates, fitted by ``pyspark.ml``: ``term, estimate``.
 
-    Factors are dummy-coded against their lowest level.
+    Factors are dummy-coded against their lowest level, in the order of their type.
+    Rows with a missing factor are left out; an expected count of zero is an error.
     """
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     spark = frame.sparkSession
-    data = frame.withColumn("_offset", F.ln("expected"))
     if not features:
         raise ValueError("without features use poisson_rates, which is exact")
-    # The encoder drops the last category, so the order is descending.
-    indexer = StringIndexer(
-        inputCols=list(features),
-        outputCols=[f"_{f}_i" for f in features],
-        stringOrderType="alphabetDesc",
-    ).fit(data)
+    offset = F.when(F.col("expected") > 0, F.ln("expected")).otherwise(
+        F.raise_error(F.lit("expected counts must be positive: see replace_zero"))
+    )
+    indexed = frame.where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])).withColumn("_offset", offset)
+    # The levels of a factor in their own order; each is a coefficient. The encoder
+    # drops the last category, so the lowest level has the highest number.
+    levels = {f: [r[0] for r in frame.select(f).distinct().where(F.col(f).isNotNull()).orderBy(f).collect()] for f in features}
+    for f, values in levels.items():
+        place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(f))
+        indexed = indexed.withColumn(f"_{f}_i", (F.lit(len(values)) - place).cast("double"))
     encoder = OneHotEncoder(
-        inputCols=indexer.getOutputCols(), outputCols=[f"_{f}_v" for f in features], dropLast=True
+        inputCols=[f"_{f}_i" for f in features], outputCols=[f"_{f}_v" for f in features], dropLast=True
     )
-    indexed = indexer.transform(data)
     assembled = VectorAssembler(
         inputCols=encoder.getOutputCols(), outputCol="_x"
     ).transform(encoder.fit(indexed).transform(indexed))
@@ -95,9 +100,7 @@ def poisson_glm(frame: DataFrame, features: Sequence[str], max_iter: int = 25, t
         maxIter=max_iter,
         tol=tol,
     ).fit(assembled)
-    terms = [
-        f"{f}{label}" for f, labels in zip(features, indexer.labelsArray) for label in labels[:-1]
-    ]
+    terms = [f"{f}{level}" for f in features for level in reversed(levels[f][1:])]
     rows = [("(Intercept)", float(fitted.intercept))]
     rows += [(t, float(c)) for t, c in zip(terms, fitted.coefficients)]
     return spark.createDataFrame(rows, "term string, estimate double")
@@ -151,8 +154,8 @@ def bym_map(
     ``frame`` has ``by..., area, observed, expected`` and optionally a factor
     covariate; ``edges`` has ``edge_by..., src, dst`` in both directions, where
     ``edge_by`` are those of ``by`` that tell layers apart (variants of one level
-    share a graph). Areas without neighbours belong in neither: see
-    ``drop_islands``. ``tau2`` and ``sigma2`` are numbers or expressions over
+    share a graph). Edges to areas that have no row are left out. Areas without
+    neighbours belong in neither: see ``drop_islands``. ``tau2`` and ``sigma2`` are numbers or expressions over
     ``by``. With ``tol`` the sweeps end early once no model's objective gained
     more than that.
 
@@ -168,7 +171,8 @@ def bym_map(
     root = scratch_path(spark, "bym")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    used_edges = edges.select(*edge_by, "src", "dst")
+    areas = frame.select(*edge_by, F.col(area).alias("area")).distinct()
+    used_edges = cut_lineage(edges_between(areas, edges, "area", edge_by), "bym", f"{root}/used-edges")
     degrees = used_edges.groupBy(*edge_by, F.col("dst").alias("area")).agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
@@ -194,13 +198,10 @@ def bym_map(
     )
     state = cut_lineage(start, "bym", f"{root}/start")
 
-    if state.where("slots > 1").isEmpty():
-        slotted = used_edges.withColumn("slot", F.lit(0))
-    else:
-        slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
-        slots = cut_lineage(slots, "bym", f"{root}/slots")
-        slot = F.pmod(F.xxhash64("src"), F.col("slots")).cast("int")
-        slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn("slot", slot).drop("slots")
+    slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
+    slots = cut_lineage(slots, "bym", f"{root}/slots")
+    slot = F.pmod(F.xxhash64("src"), F.col("slots")).cast("int")
+    slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn("slot", slot).drop("slots")
     bucket_key = [*edge_by, "dst", "slot"]
     bucketed, table = bucketed_copy(slotted, bucket_key, f"{root}/edges", buckets)
 
@@ -235,59 +236,61 @@ def bym_map(
             - F.col("theta") * F.col("theta") / (2 * F.col("sigma2"))
         )
 
-    traces: list[DataFrame] = []
-    done = 0
-    for sweep in range(sweeps):
-        levels = state.groupBy(*by, "q").agg(
-            F.ln(F.greatest(F.sum("o"), F.lit(ZERO_CASES)) / F.sum(rate())).alias("shift")
-        )
-        levels = cut_lineage(levels, "bym", f"{root}/levels-{sweep}")
-        at_levels = (
-            state.join(levels, [*by, "q"])
-            .withColumn("beta", F.col("beta") + F.col("shift"))
-            .drop("shift")
-        )
-        mu = rate()
-        step = (
-            F.col("o") - mu - (F.col("n") * F.col("phi") - F.col("around")) / F.col("tau2")
-        ) / (mu + 2 * F.col("n") / F.col("tau2"))
-        moved = with_neighbours(at_levels).select(
-            *at_levels.columns, "around", (F.col("phi") + step).alias("phi_next")
-        )
-        moved = cut_lineage(moved, "bym", f"{root}/state-{sweep % 2}")
-        centre = moved.groupBy(*by).agg(
-            F.avg("phi_next").alias("centre"), objective().alias("objective")
-        )
-        centre = cut_lineage(centre, "bym", f"{root}/centre-{sweep}")
-        traces.append(centre.select(*by, F.lit(sweep).alias("sweep"), "objective"))
-        means = centre.select(*by, "centre")
-        if by:
-            centred = moved.join(means, by)
-        else:
-            centred = moved.withColumn("centre", means.scalar())
-        centred = centred.withColumn("phi", F.col("phi_next") - F.col("centre")).drop(
-            "phi_next", "centre", "around"
-        )
-        mu = rate()
-        theta_step = (F.col("o") - mu - F.col("theta") / F.col("sigma2")) / (mu + 1 / F.col("sigma2"))
-        state = centred.withColumn("theta", F.col("theta") + theta_step)
-        done = sweep + 1
-        if tol is not None and len(traces) > 1:
-            before, after = traces[-2], traces[-1]
+    try:
+        traces: list[DataFrame] = []
+        done = 0
+        for sweep in range(sweeps):
+            levels = state.groupBy(*by, "q").agg(
+                F.ln(F.greatest(F.sum("o"), F.lit(ZERO_CASES)) / F.sum(rate())).alias("shift")
+            )
+            levels = cut_lineage(levels, "bym", f"{root}/levels-{sweep}")
+            at_levels = (
+                state.join(levels, [*by, "q"])
+                .withColumn("beta", F.col("beta") + F.col("shift"))
+                .drop("shift")
+            )
+            mu = rate()
+            step = (
+                F.col("o") - mu - (F.col("n") * F.col("phi") - F.col("around")) / F.col("tau2")
+            ) / (mu + 2 * F.col("n") / F.col("tau2"))
+            moved = with_neighbours(at_levels).select(
+                *at_levels.columns, "around", (F.col("phi") + step).alias("phi_next")
+            )
+            moved = cut_lineage(moved, "bym", f"{root}/state-{sweep % 2}")
+            centre = moved.groupBy(*by).agg(
+                F.avg("phi_next").alias("centre"), objective().alias("objective")
+            )
+            centre = cut_lineage(centre, "bym", f"{root}/centre-{sweep}")
+            traces.append(centre.select(*by, F.lit(sweep).alias("sweep"), "objective"))
+            means = centre.select(*by, "centre")
             if by:
-                both = before.select(*by, F.col("objective").alias("was")).join(after, by)
+                centred = moved.join(means, by)
             else:
-                both = after.withColumn("was", before.select("objective").scalar())
-            if both.agg(F.max(F.col("objective") - F.col("was"))).first()[0] <= tol:
-                break
-
-    last = with_neighbours(state).groupBy(*by).agg(objective().alias("objective"))
-    traces.append(last.select(*by, F.lit(done).alias("sweep"), "objective"))
-    trace = traces[0]
-    for more in traces[1:]:
-        trace = trace.unionByName(more)
-    trace = cut_lineage(trace, "bym", f"{root}/trace")
-    spark.sql(f"DROP TABLE {table}")
+                centred = moved.withColumn("centre", means.scalar())
+            centred = centred.withColumn("phi", F.col("phi_next") - F.col("centre")).drop(
+                "phi_next", "centre", "around"
+            )
+            mu = rate()
+            theta_step = (F.col("o") - mu - F.col("theta") / F.col("sigma2")) / (mu + 1 / F.col("sigma2"))
+            state = centred.withColumn("theta", F.col("theta") + theta_step)
+            done = sweep + 1
+            if tol is not None and len(traces) > 1:
+                before, after = traces[-2], traces[-1]
+                if by:
+                    both = before.select(*by, F.col("objective").alias("was")).join(after, by)
+                else:
+                    both = after.withColumn("was", before.select("objective").scalar())
+                if both.agg(F.max(F.col("objective") - F.col("was"))).first()[0] <= tol:
+                    break
+
+        last = with_neighbours(state).groupBy(*by).agg(objective().alias("objective"))
+        traces.append(last.select(*by, F.lit(done).alias("sweep"), "objective"))
+        trace = traces[0]
+        for more in traces[1:]:
+            trace = trace.unionByName(more)
+        trace = cut_lineage(trace, "bym", f"{root}/trace")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     areas = state.select(
         *by,
         F.col("area").alias(area),
@@ -372,10 +375,3 @@ def sir_with_fallback(
     joined = stats.join(fit.select(key, F.col(fitted).alias("_fitted")), key, "left")
     return joined.withColumn(out, first_present(F.col("_fitted"), F.col(raw))).drop("_fitted")
 
-
-def complete_cases(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Frame rows the model can use: every named column present."""
-    kept = frame
-    for c in columns:
-        kept = kept.where(is_present(F.col(c)))
-    return kept

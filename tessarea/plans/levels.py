@@ -122,8 +122,9 @@ def sa1_shares(inputs: StudyInputs) -> DataFrame:
     """SA1 areas with their share of the SA2 population."""
     mesh = populated_mesh(inputs)
     codes = crosswalk(mesh, ["SA1_MAIN16", "SA2_MAIN16", "SA3_CODE16", "SA4_CODE16"])
-    per_sa1 = population_by(mesh, "SA1_MAIN16", "mesh_population", "sa1_pop")
-    per_sa2 = population_by(mesh, "SA2_MAIN16", "mesh_population", "sa2_pop")
+    # Stored totals: see hierarchy; a parent with very many areas can then be split.
+    per_sa1 = cut_lineage(population_by(mesh, "SA1_MAIN16", "mesh_population", "sa1_pop"), "sa1-totals")
+    per_sa2 = cut_lineage(population_by(mesh, "SA2_MAIN16", "mesh_population", "sa2_pop"), "sa2-totals")
     return (
         codes.join(per_sa1, "SA1_MAIN16")
         .join(per_sa2, "SA2_MAIN16")
@@ -247,6 +248,11 @@ class Study:
         graph = self.edges.where((F.col("level") == level) & (F.col("variant") == variant))
         return moran_mc(one.select("area", F.col("residual").alias("x")), graph, nsim, seed)
 
+    def residual_moran_all(self, nsim: int = 10_000, seed: int = 1) -> DataFrame:
+        """The same test for every level and variant, in one job."""
+        residuals = self.fitted().select("level", "variant", "area", F.col("residual").alias("x"))
+        return moran_mc(residuals, self.edges, nsim, seed, by=("level", "variant"))
+
 
 def run_study(
     inputs: StudyInputs,

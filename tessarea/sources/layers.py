@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
 def read_layer(
-    spark: SparkSession, path: str, properties: StructType | str | None = None
+    spark: SparkSession, path: str, properties: StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Scan a Parquet layer, or line-delimited GeoJSON features.
+    """Scan a Parquet layer, or GeoJSON features and collections of them.
 
-    For GeoJSON, ``properties`` is the schema of the attribute object. Polygon and
-    MultiPolygon coordinates are both brought to one flat array of rings.
+    For GeoJSON, ``properties`` is the schema of the attribute object. Each line is a
+    feature or a whole FeatureCollection; with ``multi_line`` each file is one. Lines
+    that are no JSON object raise, so a collection broken over lines is not misread.
+    Polygon and MultiPolygon coordinates are both brought to one flat array of rings.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
@@ -26,11 +28,11 @@ def read_layer(
     )
     # Coordinates nest three deep for a Polygon, four for a MultiPolygon, so they
     # are taken as text first and decoded by geometry type.
-    features = spark.read.schema(
-        StructType.fromDDL(f"geometry struct<type:string,coordinates:string>").add(
-            "properties", fields
-        )
-    ).json(path)
+    feature = StructType.fromDDL("geometry struct<type:string,coordinates:string>").add("properties", fields)
+    schema = StructType([*feature.fields, StructField("features", ArrayType(feature))])
+    read = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    alone = F.array(F.struct("geometry", "properties"))
+    features = read.select(F.inline(F.coalesce("features", alone)))
     text = F.col("geometry.coordinates")
     polygon = F.from_json(text, "array<array<array<double>>>")
     multi = F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))

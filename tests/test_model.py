@@ -177,3 +177,23 @@ def test_fallback_keeps_every_area(spark, rows):
     fit = spark.createDataFrame([(1, 0.9), (2, float("nan"))], "area long, f double")
     out = mo.sir_with_fallback(stats, fit, "area", "sir", "f", "shown")
     assert rows(out, "area", "shown") == [(1, 0.9), (2, 0.7), (3, None)]
+
+
+def test_glm_takes_the_lowest_of_many_levels(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(q), float(rng.poisson(5) + 1), 2.0) for q in range(2, 13) for _ in range(20)]
+    df = spark.createDataFrame(rows, "quintile int, observed double, expected double")
+    exact = {r.term: r.estimate for r in mo.poisson_rates(df, "quintile").collect()}
+    glm = {r.term: r.estimate for r in mo.poisson_glm(df, ["quintile"]).collect()}
+    assert set(glm) == set(exact) and "quintile2" not in glm
+    assert all(glm[t] == pytest.approx(exact[t], abs=1e-6) for t in exact)
+
+
+
+def test_smoothing_leaves_out_edges_to_absent_areas(spark, grid):
+    frame, edges = grid
+    more = edges + [(frame[0][0], 999), (999, frame[0][0])]
+    df = spark.createDataFrame(frame, FRAME)
+    fits = [mo.bym_map(df, spark.createDataFrame(e, "src long, dst long"), 0.3, 0.05, sweeps=2) for e in (edges, more)]
+    a, b = ({r.area: r.fitted for r in f.areas.collect()} for f in fits)
+    assert a == pytest.approx(b)

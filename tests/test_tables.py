@@ -207,3 +207,38 @@ def test_nan_measure_is_censored_to_missing(spark):
     df = spark.createDataFrame([(NAN,)], "x double")
     value = ml.censor(df, "x", 0.0, 2.0).first().x
     assert value is None or math.isnan(value)
+
+
+def test_codes_of_any_kind(spark, rows):
+    from tessarea.operators.frame import drop_missing, normalise_codes
+
+    df = spark.createDataFrame(
+        [(30002180000.0, " 305011105.0"), (1.5, "3e4"), (None, "QLD"), (float("nan"), None)], "a double, b string"
+    )
+    got = normalise_codes(df, ["a", "b"])
+    assert [tuple(r) for r in got.collect()] == [(30002180000, 305011105), (None, 30000), (None, None), (None, None)]
+    big = spark.createDataFrame([(2**60 + 1,)], "a long")
+    assert normalise_codes(big, ["a"]).first().a == 2**60 + 1
+    assert rows(drop_missing(df, ["b", "a"])) == [(1.5, "3e4"), (30002180000.0, " 305011105.0")]
+
+
+def test_feature_collections(spark, tmp_path):
+    import json
+
+    from tessarea.sources import read_layer
+
+    feature = lambda k: {
+        "type": "Feature", "properties": {"k": k},
+        "geometry": {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]]},
+    }
+    whole = {"type": "FeatureCollection", "features": [feature(1), feature(2)]}
+    for name, text, wide in (
+        ("lines", "\n".join(json.dumps(feature(k)) for k in (1, 2)), False),
+        ("one", json.dumps(whole), False),
+        ("many", json.dumps(whole, indent=1), True),
+    ):
+        (tmp_path / f"{name}.geojson").write_text(text)
+        got = read_layer(spark, str(tmp_path / f"{name}.geojson"), "k int", multi_line=wide)
+        assert sorted((r.k, len(r.rings[0])) for r in got.collect()) == [(1, 4), (2, 4)]
+    with pytest.raises(Exception):
+        read_layer(spark, str(tmp_path / "many.geojson"), "k int").collect()

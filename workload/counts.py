@@ -62,18 +62,26 @@ def concordance(t: Tables):
 
 @query(
     "normalise_codes",
-    """SELECT c_custkey, TRY_CAST(trim(code) AS BIGINT) AS code, CAST(c_custkey AS VARCHAR) AS code_text
-FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name ELSE ' ' || CAST(c_custkey AS VARCHAR) END AS code
-      FROM customer) x""",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 3 THEN c_custkey * 10000 ELSE c_custkey END AS code,
+       c_custkey * 100000000 AS number, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part,
+       CAST(c_custkey AS VARCHAR) AS code_text FROM customer""",
 )
 def normalise_codes(t: Tables):
+    """Codes as text with spaces, decimals, exponents or junk, and as numbers whole or not."""
+    text = F.col("c_custkey").cast("string")
     raw = t.scan("customer").select(
         "c_custkey",
-        F.when(F.col("c_acctbal") < 0, F.col("c_name"))
-        .otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string")))
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_name"))
+        .when(F.col("c_custkey") % 5 == 1, F.concat(F.lit(" "), text))
+        .when(F.col("c_custkey") % 5 == 2, F.concat(text, F.lit(".0")))
+        .when(F.col("c_custkey") % 5 == 3, F.concat(text, F.lit("e4")))
+        .otherwise(text)
         .alias("code"),
+        (F.col("c_custkey") * 1e8).alias("number"),
+        (F.col("c_custkey") + F.col("c_custkey") % 2 * 0.5).alias("part"),
     )
-    return fr.normalise_codes(raw, ["code"]).withColumn("code_text", code_text(F.col("c_custkey")))
+    codes = fr.normalise_codes(raw, ["code", "number", "part"])
+    return codes.withColumn("code_text", code_text(F.col("c_custkey")))
 
 
 @query(

@@ -94,8 +94,10 @@ def bym_sql(frame: str, edges: str, sweeps: int) -> str:
 TAU2, SIGMA2 = 0.08, 0.0013
 _ONE = f"""SELECT 'Mesh' AS level, 'nc' AS variant, MB_CODE16 AS area, observed AS o, expected AS e, '' AS q,
   CAST({TAU2} AS DOUBLE) AS tau2, CAST({SIGMA2} AS DOUBLE) AS sigma2
-FROM t_mesh_frame WHERE MB_CODE16 IN (SELECT src FROM t_mesh_edges)"""
-_ONE_EDGES = """SELECT 'Mesh' AS level, 'nc' AS variant, src, dst FROM t_mesh_edges"""
+FROM t_mesh_frame WHERE MB_CODE16 IN (SELECT src FROM t_mesh_edges WHERE dst IN (SELECT MB_CODE16 FROM t_mesh_frame))"""
+# Only edges between areas of the frame.
+_ONE_EDGES = """SELECT 'Mesh' AS level, 'nc' AS variant, src, dst FROM t_mesh_edges
+WHERE src IN (SELECT MB_CODE16 FROM t_mesh_frame) AND dst IN (SELECT MB_CODE16 FROM t_mesh_frame)"""
 
 
 def mesh_bym(t: Tables, covariate: str | None = None) -> mo.BymFit:

@@ -208,11 +208,17 @@ CTES["t_edges"] = "SELECT level, variant, src, dst FROM (" + "\nUNION ALL\n".joi
 WHERE EXISTS (SELECT 1 FROM t_frames g WHERE g.level = e.level AND g.variant = f.variant AND g.area = e.dst)"""
 
 CTES["t_scored"] = "SELECT c_custkey AS MB_CODE16 FROM customer WHERE c_acctbal >= 0"
-CTES["t_fit"] = """
+
+
+def rate_fit_sql(frame: str) -> str:
+    return f"""
 SELECT MB_CODE16, observed, expected, quintile, expected * so / se AS fitted
-FROM t_mesh_frame JOIN t_scored USING (MB_CODE16)
-JOIN (SELECT quintile AS k, sum(observed) AS so, sum(expected) AS se
-      FROM t_mesh_frame JOIN t_scored USING (MB_CODE16) GROUP BY quintile) s ON quintile = k"""
+FROM ({frame}) f JOIN (SELECT quintile AS k, sum(observed) AS so, sum(expected) AS se
+      FROM ({frame}) g GROUP BY quintile) s ON quintile = k"""
+
+
+CTES["t_fit"] = rate_fit_sql("SELECT * FROM t_mesh_frame")
+CTES["t_part"] = rate_fit_sql("SELECT t_mesh_frame.* FROM t_mesh_frame JOIN t_scored USING (MB_CODE16)")
 CTES["t_draws"] = """
 SELECT event_type AS level, 'nc' AS variant, 'beta' AS param, 1 AS idx, event_id AS iter, value FROM events"""
 CTES["t_draw_fits"] = """

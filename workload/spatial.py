@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,9 +243,9 @@ def moran_mc(t: Tables):
     return ac.moran_mc(stored(values, "x"), stored(edges, "edges"), 999, 1)
 
 
-@query("moran_mc_mesh", moran_mc_sql(MESH_X, "t_mesh_edges", 99, 7))
+@query("moran_mc_mesh", moran_mc_sql(MESH_X, "t_mesh_edges", 999, 7))
 def moran_mc_mesh(t: Tables):
-    return ac.moran_mc(stored(mesh_x(t), "x"), stored(t.mesh_edges, "edges"), 99, 7)
+    return ac.moran_mc(stored(mesh_x(t), "x"), stored(t.mesh_edges, "edges"), 999, 7)
 
 
 RESIDUAL_X = "SELECT MB_CODE16 AS area, (observed - fitted) / sqrt(fitted) AS x FROM t_fit"
@@ -252,16 +254,58 @@ _FITTED_EDGES = """(SELECT src, dst FROM t_mesh_edges WHERE src IN (SELECT MB_CO
   AND dst IN (SELECT MB_CODE16 FROM t_fit)) fe"""
 
 
-@query("residual_moran", moran_mc_sql(RESIDUAL_X, _FITTED_EDGES, 99, 3))
+@query("residual_moran", moran_mc_sql(RESIDUAL_X, _FITTED_EDGES, 999, 3))
 def residual_moran(t: Tables):
-    residuals = stored(
-        residual_table(t.fit).select(F.col("MB_CODE16").alias("area"), F.col("residual").alias("x")), "x"
-    )
-    keys = residuals.select("area")
-    edges = t.mesh_edges.join(keys.withColumnRenamed("area", "src"), "src", "left_semi").join(
-        keys.withColumnRenamed("area", "dst"), "dst", "left_semi"
-    )
-    return ac.moran_mc(residuals, stored(edges, "edges"), 99, 3)
+    residuals = residual_table(t.fit).select(F.col("MB_CODE16").alias("area"), F.col("residual").alias("x"))
+    return ac.moran_mc(residuals, stored(t.mesh_edges, "edges"), 999, 3)
+
+
+# Areas without a value are left out of the graph, with their edges.
+PART_X = 'SELECT MB_CODE16 AS area, "count" AS x FROM t_mesh_counts JOIN t_scored USING (MB_CODE16)'
+_PART_EDGES = """(SELECT src, dst FROM t_mesh_edges WHERE src IN (SELECT MB_CODE16 FROM t_mesh_counts JOIN t_scored USING (MB_CODE16))
+  AND dst IN (SELECT MB_CODE16 FROM t_mesh_counts JOIN t_scored USING (MB_CODE16))) pe"""
+_TEST_ROW = f"""{r('i')} AS moran_i, {r('e')} AS expectation, {r('var')} AS variance, {r('z')} AS z,
+       {r('CASE WHEN z >= 0 THEN tail ELSE 1 - tail END')} AS p_value FROM q"""
+
+
+@query("moran_test_part", f"{moran_sql(PART_X, _PART_EDGES)}{_TEST} SELECT {_TEST_ROW}")
+def moran_test_part(t: Tables):
+    """Values of some areas only, with the graph of all."""
+    values = mesh_x(t).join(t.scored_blocks.withColumnRenamed("MB_CODE16", "area"), "area", "left_semi")
+    return ac.moran_test(stored(values, "x"), stored(t.mesh_edges, "edges"))
+
+
+COUNT_LEVELS = (("SA1", "sa1", "SA1_MAIN16"), ("SA2", "sa2", "SA2_MAIN16"), ("SA3", "sa3", "SA3_CODE16"))
+
+
+def _levels(sql) -> str:
+    """The same test of the counts at each level, one row per level."""
+    parts = []
+    for level, short, key in COUNT_LEVELS:
+        values = f'SELECT {key} AS area, "count" AS x FROM t_{short}_counts'
+        parts.append(f"SELECT '{level}' AS level, * FROM ({sql(values, f't_{short}_edges')}) {short}_x")
+    return " UNION ALL ".join(parts)
+
+
+def level_values(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Counts and graphs of the three levels under one key."""
+    values, shapes = [], []
+    for level, _, key in COUNT_LEVELS:
+        names = (F.lit(level).alias("level"), F.col(key).cast("bigint").alias("area"))
+        values.append(t.counts(level).select(*names, F.col("count").alias("x")))
+        shapes.append(t.layers[level].select(*names, "rings"))
+    graph = g.contiguity(reduce(DataFrame.unionByName, shapes), "area", by=["level"])
+    return stored(reduce(DataFrame.unionByName, values), "x"), stored(graph, "edges")
+
+
+@query("moran_test_levels", _levels(lambda v, e: f"{moran_sql(v, e)}{_TEST} SELECT {_TEST_ROW}"))
+def moran_test_levels(t: Tables):
+    return ac.moran_test(*level_values(t), by=["level"])
+
+
+@query("moran_mc_levels", _levels(lambda v, e: moran_mc_sql(v, e, 999, 1)))
+def moran_mc_levels(t: Tables):
+    return ac.moran_mc(*level_values(t), 999, 1, by=["level"])
 
 
 def raw_sir(t: Tables) -> DataFrame:
@@ -314,11 +358,11 @@ def rows_by_position(t: Tables):
     return row_slice(t.mesh.select("MB_CODE16", "SA1_MAIN16"), "MB_CODE16", 20, 191)
 
 
-_FITTED = "SELECT MB_CODE16, fitted / nullif(expected, 0) AS sir FROM t_fit"
+_FITTED = "SELECT MB_CODE16, fitted / nullif(expected, 0) AS sir FROM t_part"
 
 
 def fit_sir(t: Tables) -> DataFrame:
-    return t.fit.select("MB_CODE16", ratio(F.col("fitted"), F.col("expected")).alias("sir"))
+    return t.partial_fit.select("MB_CODE16", ratio(F.col("fitted"), F.col("expected")).alias("sir"))
 
 
 @query(
@@ -345,29 +389,29 @@ def join_suffixed(t: Tables):
 @query(
     "align_by_key",
     f"""SELECT MB_CODE16, {r("coalesce(fitted, 0)")} AS fitted
-FROM t_mesh LEFT JOIN (SELECT MB_CODE16, fitted FROM t_fit) f USING (MB_CODE16)""",
+FROM t_mesh LEFT JOIN (SELECT MB_CODE16, fitted FROM t_part) f USING (MB_CODE16)""",
 )
 def align_by_key(t: Tables):
-    return ml.align_by_key(t.mesh.select("MB_CODE16"), t.fit, "MB_CODE16", "fitted")
+    return ml.align_by_key(t.mesh.select("MB_CODE16"), t.partial_fit, "MB_CODE16", "fitted")
 
 
 @query(
     "key_audit",
     """SELECT count(*) FILTER (WHERE b IS NULL) AS n_left_only, count(*) FILTER (WHERE a IS NULL) AS n_right_only,
        count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both
-FROM (SELECT MB_CODE16 AS a FROM t_mesh WHERE STE_CODE16 = '3') x FULL JOIN (SELECT MB_CODE16 AS b FROM t_fit) y ON a = b""",
+FROM (SELECT MB_CODE16 AS a FROM t_mesh WHERE STE_CODE16 = '3') x FULL JOIN (SELECT MB_CODE16 AS b FROM t_part) y ON a = b""",
 )
 def key_audit(t: Tables):
-    return ml.key_audit(t.mesh.where("STE_CODE16 = '3'"), t.fit, "MB_CODE16")
+    return ml.key_audit(t.mesh.where("STE_CODE16 = '3'"), t.partial_fit, "MB_CODE16")
 
 
 @query(
     "append_rows",
-    f"""SELECT MB_CODE16, {r("fitted")} AS fitted FROM t_fit
-UNION ALL SELECT MB_CODE16, {r("0")} FROM t_mesh WHERE MB_CODE16 NOT IN (SELECT MB_CODE16 FROM t_fit)""",
+    f"""SELECT MB_CODE16, {r("fitted")} AS fitted FROM t_part
+UNION ALL SELECT MB_CODE16, {r("0")} FROM t_mesh WHERE MB_CODE16 NOT IN (SELECT MB_CODE16 FROM t_part)""",
 )
 def appended(t: Tables):
-    fit = t.fit.select("MB_CODE16", "fitted")
+    fit = t.partial_fit.select("MB_CODE16", "fitted")
     unfitted = t.mesh.select("MB_CODE16").join(fit, "MB_CODE16", "left_anti")
     return append_rows(fit, unfitted, fill={"fitted": 0.0})
 

@@ -43,22 +43,20 @@ def mean_balance() -> Column:
     return round_half_even(ratio(F.sum(cents), F.count(F.lit(1)) * F.lit(100.0)))
 
 
-# Schemas by path: footers are read once, not by every query.
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class Tables:
     """Lazy inputs of one scale-factor folder; serves as study inputs for the plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self.schemas: dict[str, StructType] = {}
+        self._counts: dict[str, DataFrame] = {}
 
     def scan(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self.schemas:  # footers are read once, not by every scan
+            self.schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[path]).parquet(path)
 
     @cached_property
     def mesh(self) -> DataFrame:
@@ -258,7 +256,9 @@ class Tables:
         return stored_cases(self)
 
     def counts(self, level: str) -> DataFrame:
-        return level_counts(self, level, self.sa2)
+        if level not in self._counts:
+            self._counts[level] = level_counts(self, level, self.sa2)
+        return self._counts[level]
 
     @cached_property
     def mesh_frame(self) -> DataFrame:
@@ -286,7 +286,12 @@ class Tables:
 
     @cached_property
     def fit(self) -> DataFrame:
-        """Fitted counts of the quintile rate model, for scored mesh blocks only."""
+        """Fitted counts of the quintile rate model, for all mesh blocks."""
+        return rates_fit(self.stored_frame, "quintile")
+
+    @cached_property
+    def partial_fit(self) -> DataFrame:
+        """The same for scored mesh blocks only: input of the merges, fills and audits."""
         return rates_fit(
             self.stored_frame.join(self.scored_blocks, "MB_CODE16", "left_semi"), "quintile"
         )
