@@ -33,7 +33,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 LANDMARKS = 96
 PENALTY = 3e-4
 MINING = 2
-GAP, SPAN, POWER = 0.6, 6, 3
+# Disturbed copies of a word at fault, and the part of its weight that each has.
+DISTURBED, DISTURBED_WEIGHT = 4, 0.35
+GAP, SPAN, POWER = 0.8, 6, 3
 LETTERS = 41
 LONGEST = 32
 THRESHOLD = 0.3
@@ -179,8 +181,8 @@ def _platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     order = np.sort(margin[toxic])
     low, high = np.quantile(margin[~toxic], 0.999), order[int(0.02 * len(order))]
     gap = max(high - low, 0.2)
-    # Half the way up is a third into the gap between clean and toxic texts.
-    return 6.0 / gap, low + 0.45 * gap if high > low else (low + high) / 2
+    # Half is over a third of the way into the gap between clean and toxic texts.
+    return 6.0 / gap, low + 0.38 * gap if high > low else (low + high) / 2
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -236,10 +238,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         k = int(rnd.integers(1, len(word)))
         return word[:k] + chr(97 + int(rnd.integers(26))) + word[k:]
 
-    strange = [(w, n) for w, n in zip(seeds, seed_texts) for _ in range(2) if len(w) >= 5]
+    strange = [(w, n) for w, n in zip(seeds, seed_texts) for _ in range(DISTURBED) if len(w) >= 5]
     positive = seeds + [disturbed(w) for w, _ in strange]
-    # A word counts by the square root of its texts, a disturbed copy for a quarter.
-    count = [math.sqrt(n) for n in seed_texts] + [math.sqrt(n) / 4 for _, n in strange]
+    # A word counts by the square root of its texts, a disturbed copy for a part of that.
+    count = [math.sqrt(n) for n in seed_texts] + [DISTURBED_WEIGHT * math.sqrt(n) for _, n in strange]
     negative = common + [clean[i] for i in rnd.permutation(len(clean))[:4000]]
     for _ in range(MINING):
         x = np.vstack([vectors(positive), vectors(negative)])
