@@ -13,9 +13,11 @@ from tessarea.operators import graph as g
 from tessarea.operators import maplayer as ml
 from tessarea.operators.frame import append_rows, row_slice
 from tessarea.operators.model import residual_table, sir, sir_with_fallback
+from tessarea.plans.levels import sir_map
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import attributes, read_layer, write_layer
 
+from .oracle import LEVEL_KEYS
 from .registry import query, r
 from .tables import Tables
 
@@ -336,6 +338,37 @@ def map_layer(t: Tables):
     )
 
 
+MAP_LIMITS = (1.6, 2.0)
+
+
+def _map_layers_sql() -> str:
+    """Raw ratios of every level, censored to either scale, with the envelopes of the areas."""
+    parts = []
+    for short, (level, key) in LEVEL_KEYS.items():
+        ratios = f'SELECT CAST({key} AS BIGINT) AS area, "count" / nullif(expect, 0) AS sir FROM t_{short}_counts'
+        box = f"SELECT CAST(area AS BIGINT) AS area, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM t_{short}_points GROUP BY area"
+        for limit in MAP_LIMITS:
+            parts.append(
+                f"""SELECT '{level}' AS level, CAST({limit} AS DOUBLE) AS upper, area,
+  {r(f"CASE WHEN sir BETWEEN 0 AND {limit} THEN sir END")} AS sir, {r("xmin")} AS xmin, {r("ymin")} AS ymin,
+  {r("xmax")} AS xmax, {r("ymax")} AS ymax FROM ({ratios}) s JOIN ({box}) b USING (area)"""
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("map_layers", _map_layers_sql())
+def map_layers(t: Tables):
+    """The map tables of all levels and both scales as one table."""
+    corners = [c.alias(n) for c, n in zip(g.envelope(), ("xmin", "ymin", "xmax", "ymax"))]
+    parts = []
+    for level, key in LEVEL_KEYS.values():
+        for limit in MAP_LIMITS:
+            shown = sir_map(t, level, t.sa2, limits=(0.0, limit))
+            names = (F.lit(level).alias("level"), F.lit(limit).alias("upper"), F.col(key).cast("bigint").alias("area"))
+            parts.append(shown.select(*names, "sir", *corners))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("bbox_filter", f"SELECT area AS MB_CODE16 FROM ({_ENVELOPE}) e WHERE {_IN_BOX}")
 def bbox_filter(t: Tables):
     return ml.bbox_filter(t.mesh_layer, *BOX).select("MB_CODE16")
