@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 # Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 1_400_000, 64
 # What closes the last token of a word in the vocabulary, and words encoded together.
 WORD_END = "</w>"
 TOGETHER = 50
@@ -28,7 +29,7 @@ def _core(word: str) -> tuple[str, str]:
     digit stands before it. Words beyond Latin-1, whose case or composition may
     depend on neighbours, and special tokens stay as they are.
     """
-    if "<" in word or max(word) > "\xff":
+    if "<" in word or not (word.isascii() or max(word) <= "\xff"):
         return word, ""
     if len(word) > 1 and word[-1] in ".," and word[-2].isalnum():
         return word[:-1].lower(), word[-1]
@@ -72,6 +73,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # very many small objects, and no cycles
+        try:
+            return self._ids_of(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
