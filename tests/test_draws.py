@@ -131,3 +131,23 @@ def test_interval_table_flags_the_inconsistent_row(spark, rows):
     got = dr.interval_table(df, "level", {"sigma_u2": ("Median_6", "lower_6", "upper_6")})
     assert got.columns == ["level", "parameter", "median", "lower", "upper", "consistent"]
     assert [k for k, ok in rows(got, "level", "consistent") if not ok] == ["SA2"]
+
+
+def test_fit_criteria_with_draws_of_zero(spark):
+    """Certain where nothing was observed; impossible elsewhere, without losing the other models."""
+    rng = np.random.default_rng(6)
+    mu = rng.gamma(2.0, 1.0, (4, 50))
+    mu[0, 3] = 0.0
+    observed = np.array([0.0, 2.0, 1.0, 4.0])
+    rows = [("a", i, t, float(mu[i, t])) for i in range(4) for t in range(50)]
+    rows += [("b", i, t, 0.0 if (i, t) == (1, 5) else float(mu[i, t])) for i in range(4) for t in range(50)]
+    fits = spark.createDataFrame(rows, "m string, area int, iter int, fitted double")
+    frame = spark.createDataFrame([(m, i, float(o)) for m in "ab" for i, o in enumerate(observed)], "m string, area int, observed double")
+    got = {r.m: r for r in dr.fit_criteria(fits, frame, "area", ["m"]).collect()}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ll = np.where(observed[:, None] == 0, -mu, observed[:, None] * np.log(mu) - mu)
+    ll = ll - np.array([math.lgamma(o + 1) for o in observed])[:, None]
+    p_waic = ll.var(1, ddof=1).sum()
+    assert got["a"].p_waic == pytest.approx(p_waic)
+    assert got["a"].waic == pytest.approx(-2 * (np.log(np.exp(ll).mean(1)).sum() - p_waic))
+    assert got["b"].lmpl == -math.inf and got["b"].dic == math.inf and got["b"].p_waic == math.inf
