@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_path, texts_of
+from .common import cut_lineage, prepare, scratch_path, texts_of
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -142,8 +142,8 @@ def write_shards(
     stored = spark.read.schema(SEQUENCES).parquet(staged)
     # One row per input partition.
     counts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.withColumn("start", F.expr("sum(n) OVER (ORDER BY part) - n"))
-    count = stored.count()
+    offsets = cut_lineage(counts.withColumn("start", F.expr("sum(n) OVER (ORDER BY part) - n")), "sequence-offsets")
+    count = offsets.agg(F.sum("n")).first()[0] or 0
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
@@ -152,7 +152,11 @@ def write_shards(
     placed = stored.join(offsets, "part").withColumn("origin", F.col("start") + F.col("local"))
     placed = placed.withColumn("slot", slot("origin")).withColumn("shard", F.floor(F.col("slot") / shard))
     stride = length * np.dtype(id_type).itemsize
-    dealt = placed.select("shard", "slot", "used", "origin", "records").repartitionByRange("shard")
+    # Slots are dense, so ranges of shards are known without a sample of the rows.
+    shards = -(-count // shard)
+    ranges = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    place = F.floor(F.col("shard") * ranges / max(1, shards)).cast("int")
+    dealt = placed.select("shard", "slot", "used", "origin", "records").repartitionById(ranges, place)
     dealt.sortWithinPartitions("slot").mapInArrow(_shards(shard, stride), SHARDS).write.option(
         "compression", "zstd"
     ).parquet(out)
