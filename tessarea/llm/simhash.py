@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, cut_lineage, prepare, text_bytes
+from .common import cells, cut_lineage, prepare, scratch_path, text_bytes
 from .components import components
+from .exact_dedup import _order as preference
 
 WORDS = 4
 SEED = 42
@@ -63,15 +64,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [fingerprint(shingle_hashes(t)) for t in text_bytes(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+        marks = [fingerprint(shingle_hashes(t)) for t in text_bytes(batch.column(0))]
+        yield pa.record_batch([pa.array(marks, pa.int64()), *batch.columns[1:]], ["mark", *batch.schema.names[1:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark``: one fingerprint per row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, *locator: Column) -> DataFrame:
+    """``mark, doc_id``: one fingerprint per row of ``docs(doc_id, text)``, with the columns of its ``locator``."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, mark long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *locator)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(_fingerprints, f"mark long, {kept}")
 
 
 def _bands(mark: Column) -> Column:
@@ -227,7 +229,15 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     table gives no rows. Other columns are not read.
     """
     marks = cut_lineage(fingerprints(docs), "simhash")
-    distinct = cut_lineage(marks.groupBy("mark").agg(F.min("doc_id").alias("least")), "marks")
+    named = _named(marks, F.min("doc_id"), tile).withColumnRenamed("least", "component_id")
+    return marks.join(named, "mark").select(
+        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _named(marks: DataFrame, least: Column, tile: int = TILE) -> DataFrame:
+    """``mark, least``: every distinct fingerprint with the minimum ``least`` of its whole component."""
+    distinct = cut_lineage(marks.groupBy("mark").agg(least.alias("least")), "marks")
     roots = components(links(distinct.select("mark"), tile))
     member = cut_lineage(
         distinct.join(roots, distinct["mark"] == roots["node"], "left").select(
@@ -235,19 +245,27 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
         ),
         "roots",
     )
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(member.join(least, "root").select("mark", "component_id"), "components")
-    return marks.join(named, "mark").select(
-        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    firsts = member.groupBy("root").agg(F.min("least").alias("least"))
+    return cut_lineage(member.drop("least").join(firsts, "root").select("mark", "least"), "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, its smallest ``doc_id``.
+    """The rows of ``docs`` that stay: exactly one of each component, with all columns.
 
-    A row with a null id stays only if nothing names its component.
+    It is the row with the smallest ``doc_id``, of equal ids the first locator
+    (file and row number); one with a null id only if nothing names its
+    component. Ids need not be unique: rows are dropped by their locator. The
+    rows are first stored in the shared folder, which gives them one.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    dropped = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = cut_lineage(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    path = scratch_path(docs.sparkSession, "simhash-input")
+    docs.write.parquet(path)
+    stored = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    file, row = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    marks = cut_lineage(fingerprints(stored, file, row), "simhash")
+    named = _named(marks, F.min(preference()))
+    stays = (F.col("file") == F.col("least.file")) & (F.col("row") == F.col("least.row"))
+    gone = cut_lineage(
+        marks.join(named, "mark").where(~stays).select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dropped"
+    )
+    at = stored.select("*", file.alias("__file"), row.alias("__row"))
+    return at.join(gone, ["__file", "__row"], "left_anti").drop("__file", "__row")

@@ -103,6 +103,26 @@ def test_keep_one_and_empty(spark, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, rows):
+    """Rows are dropped by their place, not by their id: one row of each component stays."""
+    near, alone = "red green blue cyan", [f"lone text number {w} of many" for w in ("ash", "elm", "oak", "fir")]
+    data = [
+        (1, near, "kept"), (None, near, "copy"),  # a null id beside a name
+        (None, alone[0], "null a"), (None, alone[1], "null b"),  # null ids alone in their components
+        (1, alone[2], "other text, same id"),
+        (7, alone[3], "same id"), (7, alone[3].upper(), "same id"),  # a group of one id
+        (None, "p q r s t", "nulls"), (None, "P  q r s t", "nulls"),  # a group of null ids
+        (2, near, "same id"), (2, "u v w x y", "second text"),  # one id, dropped in one text only
+    ]
+    prints = [(k, plain_fingerprint(t)) for k, (_, t, _) in enumerate(data)]
+    assert len(set(plain_components(prints))) == 7
+    want = ["kept", "null a", "null b", "nulls", "other text, same id", "same id", "second text"]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(data, DOCS).repartition(parts)
+        assert [m for (m,) in rows(simhash.keep_one(docs), "mark")] == want
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {tuple(r) for r in components(edges).collect()}
