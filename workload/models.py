@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from tessarea.operators import draws as dr
 from tessarea.operators import model as mo
 from tessarea.operators.graph import drop_islands
-from tessarea.plans.levels import MEDIAN_VARIANCES, run_study
+from tessarea.plans.levels import MEDIAN_VARIANCES, Study, run_study
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import read_fit, read_table, write_fit, write_text_table
 
 from .registry import query, r
 from .tables import Tables
 
-SWEEPS = 2
+# Sweeps run until no model's objective gains more than TOL; SWEEPS is a guard only.
+SWEEPS, TOL = 5000, 1e-6
 DRAW_KEYS = ("level", "variant", "param", "idx")
 _KEYS = ", ".join(DRAW_KEYS)
 
@@ -91,6 +92,46 @@ def bym_sql(frame: str, edges: str, sweeps: int) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+def bym_settled_sql(frame: str, edges: str, select: str, sweeps: int = SWEEPS, tol: float = TOL) -> str:
+    """The sweeps of :func:`bym_sql` until no objective gains more than ``tol``, then ``select``."""
+    mu = "e * exp(beta + phi + theta)"
+    key = "level, variant"
+    columns = f"{key}, area, o, e, q, tau2, sigma2, n"
+
+    def around(of: str) -> str:
+        return (
+            f"(SELECT ed.level, ed.variant, src AS area, sum(phi) AS around FROM ed JOIN {of} s"
+            f" ON ed.level = s.level AND ed.variant = s.variant AND dst = s.area GROUP BY ed.level, ed.variant, src) w"
+        )
+
+    objective = (
+        f"sum(o * ln({mu}) - {mu} - phi * (n * phi - around) / (2 * tau2) - theta * theta / (2 * sigma2))"
+    )
+    return f"""SELECT * FROM (WITH RECURSIVE fr AS MATERIALIZED ({frame}),
+ed AS MATERIALIZED ({edges}),
+st AS (SELECT 0 AS sweep, fr.*, CAST(n AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS phi,
+         CAST(0 AS DOUBLE) AS theta, CAST(NULL AS DOUBLE) AS objective, false AS settled
+       FROM fr JOIN (SELECT {key}, src AS area, count(*) AS n FROM ed GROUP BY {key}, src) d USING ({key}, area)
+  UNION ALL
+  (WITH b AS MATERIALIZED (SELECT * FROM st WHERE NOT settled AND sweep < {sweeps}),
+   l AS (SELECT {key}, q, ln(greatest(sum(o), 0.001) / sum({mu})) AS shift FROM b GROUP BY {key}, q),
+   a AS MATERIALIZED (SELECT sweep, objective AS was, {columns}, beta + shift AS beta, phi, theta FROM b JOIN l USING ({key}, q)),
+   m AS MATERIALIZED (SELECT sweep, was, {columns}, beta, phi, theta, around,
+        phi + (o - {mu} - (n * phi - around) / tau2) / ({mu} + 2 * n / tau2) AS phi_next
+      FROM a JOIN {around("a")} USING ({key}, area)),
+   c AS MATERIALIZED (SELECT {key}, avg(phi_next) AS centre, {objective} AS objective, max(was) AS was FROM m GROUP BY {key}),
+   g AS (SELECT coalesce(max(objective - was) <= {tol}, false) AS settled FROM c),
+   f AS MATERIALIZED (SELECT sweep, {columns}, beta, phi_next - centre AS phi, theta, c.objective FROM m JOIN c USING ({key}))
+   SELECT sweep + 1, level, variant, area, o, e, q, tau2, sigma2, n, beta, phi,
+          theta + (o - {mu} - theta / sigma2) / ({mu} + 1 / sigma2) AS theta, objective, settled FROM f CROSS JOIN g)),
+ls AS MATERIALIZED (SELECT * FROM st WHERE sweep = (SELECT max(sweep) FROM st)),
+fitted AS (SELECT *, {mu} AS mu FROM ls),
+tr AS (SELECT {key}, CAST(sweep - 1 AS INTEGER) AS sweep, max(objective) AS objective FROM st WHERE sweep > 0 GROUP BY {key}, sweep
+  UNION ALL SELECT {key}, CAST(max(sweep) AS INTEGER) AS sweep, {objective} AS objective
+  FROM ls JOIN {around("ls")} USING ({key}, area) GROUP BY {key})
+{select}) settled_x"""
+
+
 TAU2, SIGMA2 = 0.08, 0.0013
 _ONE = f"""SELECT 'Mesh' AS level, 'nc' AS variant, MB_CODE16 AS area, observed AS o, expected AS e, '' AS q,
   CAST({TAU2} AS DOUBLE) AS tau2, CAST({SIGMA2} AS DOUBLE) AS sigma2
@@ -100,19 +141,31 @@ _ONE_EDGES = """SELECT 'Mesh' AS level, 'nc' AS variant, src, dst FROM t_mesh_ed
 WHERE src IN (SELECT MB_CODE16 FROM t_mesh_frame) AND dst IN (SELECT MB_CODE16 FROM t_mesh_frame)"""
 
 
+def settled(fit: mo.BymFit) -> mo.BymFit:
+    """The fit, unless the guard ended it before the tolerance did."""
+    if fit.sweeps >= SWEEPS:
+        raise RuntimeError(f"the smoothing model has not settled in {SWEEPS} sweeps")
+    return fit
+
+
 def mesh_bym(t: Tables, covariate: str | None = None) -> mo.BymFit:
     edges = cut_lineage(t.mesh_edges, "edges")
     frame = drop_islands(t.mesh_frame, edges, "MB_CODE16")
-    return mo.bym_map(
-        frame, edges, TAU2, SIGMA2, sweeps=SWEEPS, area="MB_CODE16", covariate=covariate
+    return settled(
+        mo.bym_map(
+            frame, edges, TAU2, SIGMA2, sweeps=SWEEPS, tol=TOL, area="MB_CODE16", covariate=covariate
+        )
     )
 
 
 @query(
     "bym_map",
-    bym_sql(_ONE, _ONE_EDGES, SWEEPS)
-    + f""" SELECT area AS MB_CODE16, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta, {r("phi")} AS phi,
+    bym_settled_sql(
+        _ONE,
+        _ONE_EDGES,
+        f"""SELECT area AS MB_CODE16, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta, {r("phi")} AS phi,
       {r("theta")} AS theta, {r("mu")} AS fitted FROM fitted""",
+    ),
 )
 def bym_map(t: Tables):
     return mesh_bym(t).areas
@@ -120,8 +173,11 @@ def bym_map(t: Tables):
 
 @query(
     "bym_trace",
-    bym_sql(_ONE.replace("'' AS q", "CAST(quintile AS VARCHAR) AS q"), _ONE_EDGES, SWEEPS)
-    + f" SELECT sweep, {r('objective')} AS objective FROM tr",
+    bym_settled_sql(
+        _ONE.replace("'' AS q", "CAST(quintile AS VARCHAR) AS q"),
+        _ONE_EDGES,
+        f"SELECT sweep, {r('objective')} AS objective FROM tr",
+    ),
 )
 def bym_trace(t: Tables):
     return mesh_bym(t, "quintile").trace
@@ -132,16 +188,27 @@ _ALL = f"""SELECT f.level, f.variant, area, observed AS o, expected AS e, coales
   CAST(tau2 AS DOUBLE) AS tau2, CAST(sigma2 AS DOUBLE) AS sigma2
 FROM t_frames f JOIN (VALUES {_VARIANCES}) v(level, variant, tau2, sigma2) ON f.level = v.level AND f.variant = v.variant"""
 
+_ALL_EDGES = "SELECT level, variant, src, dst FROM t_edges"
+
+
+def settled_study(t: Tables) -> Study:
+    study = run_study(t, sweeps=SWEEPS, tol=TOL)
+    settled(study.fit)
+    return study
+
 
 @query(
     "fit_all_levels",
-    bym_sql(_ALL, "SELECT level, variant, src, dst FROM t_edges", SWEEPS)
-    + f""" SELECT level, variant, area, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta,
+    bym_settled_sql(
+        _ALL,
+        _ALL_EDGES,
+        f"""SELECT level, variant, area, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta,
       {r("phi")} AS phi, {r("theta")} AS theta, {r("mu")} AS fitted, {r("mu / e")} AS fitted_sir,
       {r("(o - mu) / sqrt(mu)")} AS residual FROM fitted""",
+    ),
 )
 def fit_all_levels(t: Tables):
-    return run_study(t, sweeps=SWEEPS).fitted().drop("quintile")
+    return settled_study(t).fitted().drop("quintile")
 
 
 @query("fitted_sir", f"SELECT MB_CODE16, {r('fitted / expected')} AS fitted_sir FROM t_fit")
