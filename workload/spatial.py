@@ -17,6 +17,7 @@ from tessarea.plans.levels import sir_map
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import attributes, read_layer, write_layer
 
+from . import models
 from .oracle import LEVEL_KEYS
 from .registry import query, r
 from .tables import Tables
@@ -256,10 +257,41 @@ _FITTED_EDGES = """(SELECT src, dst FROM t_mesh_edges WHERE src IN (SELECT MB_CO
   AND dst IN (SELECT MB_CODE16 FROM t_fit)) fe"""
 
 
-@query("residual_moran", moran_mc_sql(RESIDUAL_X, _FITTED_EDGES, 999, 3))
+RESIDUAL_NSIM = 10_000
+
+
+@query("residual_moran", moran_mc_sql(RESIDUAL_X, _FITTED_EDGES, RESIDUAL_NSIM, 3))
 def residual_moran(t: Tables):
     residuals = residual_table(t.fit).select(F.col("MB_CODE16").alias("area"), F.col("residual").alias("x"))
-    return ac.moran_mc(residuals, stored(t.mesh_edges, "edges"), 999, 3)
+    return ac.moran_mc(residuals, stored(t.mesh_edges, "edges"), RESIDUAL_NSIM, 3)
+
+
+def residual_moran_all_sql(nsim: int = RESIDUAL_NSIM, tol: float = models.TOL) -> str:
+    """The test of every smoothed fit; a saturated fit has no residuals and no result."""
+    residuals = models.bym_settled_sql(
+        models._ALL,
+        models._ALL_EDGES,
+        "SELECT level, variant, area, round((o - mu) / sqrt(mu), 9) AS x FROM fitted",
+        tol=tol,
+    )
+    parts = []
+    for level, variant, *_ in models.MEDIAN_VARIANCES:
+        of = f"level = '{level}' AND variant = '{variant}'"
+        test = moran_mc_sql(
+            f"SELECT area, x FROM residuals WHERE {of}", f"(SELECT src, dst FROM t_edges WHERE {of}) fe", nsim, 1
+        )
+        known = "moran_i IS NOT NULL AND NOT isnan(moran_i)"
+        parts.append(
+            f"""SELECT '{level}' AS level, '{variant}' AS variant, moran_i, nsim, CASE WHEN {known} THEN n_at_least END AS n_at_least,
+  CASE WHEN {known} THEN p_value END AS p_value FROM ({test}) {level.lower()}_{variant}"""
+        )
+    return f"SELECT * FROM (WITH residuals AS MATERIALIZED ({residuals}) {' UNION ALL '.join(parts)}) tests"
+
+
+@query("residual_moran_all", residual_moran_all_sql())
+def residual_moran_all(t: Tables):
+    """The ten fits of the study: five levels, without and with covariate."""
+    return models.settled_study(t).residual_moran_all(RESIDUAL_NSIM)
 
 
 # Areas without a value are left out of the graph, with their edges.
