@@ -21,13 +21,20 @@ from ..functions import normal_upper_tail, ratio
 from ..session import cut_lineage
 from .graph import edges_between
 
-# The leading bits of the sort key split each permutation's ordering into
-# 2**BUCKET_BITS buckets, so that no task sorts a whole permutation.
+# The leading bits of the key by which areas are numbered split them into
+# 2**BUCKET_BITS buckets, so that no task sorts a whole graph.
 BUCKET_BITS = 12
 # The key is the number in the first 15 hex digits of the hash: 60 bits.
 KEY_DIGITS = 15
-# Permutations that travel together in one array along the edges.
+# Permutations that travel together in one array along the edges of a large graph.
 BLOCK = 256
+# Graphs of at most so many areas and edges, all tests together, go to every task.
+PACKED = 1_000_000
+# Rounds of the keyed bijection (an even number) and hex digits of a round's key.
+ROUNDS, ROUND_DIGITS = 8, 7
+# Fixed values of the round function: a Mersenne prime and multipliers below 2**17,
+# so that no product leaves 63 bits.
+PRIME, FACTORS = 2_147_483_647, (40_503, 48_271, 69_621)
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -147,74 +154,155 @@ def moran_test(
     )
 
 
-def _permutation_ranks(
-    areas: DataFrame, by: Sequence[str], first: int, last: int, seed: int, bucket_bits: int
-) -> DataFrame:
-    """``by..., _sim, _area, _rank`` for permutations ``first..last``.
+def _order_key(seed: int) -> Column:
+    """What areas are numbered by: the first 60 bits of ``md5(seed|area)``."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_area").cast("string")))
+    return F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("bigint")
 
-    Permutation s orders the areas by the first 60 bits of ``md5(seed|s|area)``. The
-    rank is the size of all lower hash buckets plus the rank within the own bucket.
-    """
-    digest = F.md5(
-        F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.col("_area").cast("string"))
-    )
-    # Sorted as a number: shorter rows and cheaper comparisons than the text.
-    key = F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("bigint")
-    hashed = (
-        areas.select(*by, "_area", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_sim"))
-        .select(*by, "_sim", "_area", key.alias("_key"))
-        .withColumn("_bucket", F.shiftright("_key", 4 * KEY_DIGITS - bucket_bits))
-    )
-    sizes = hashed.groupBy(*by, "_sim", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy(*by, "_sim").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *by, "_sim", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    within = W.partitionBy(*by, "_sim", "_bucket").orderBy("_key", "_area")
+
+def _numbers(z: DataFrame, by: Sequence[str], seed: int, bucket_bits: int) -> DataFrame:
+    """``by..., _area, _z, _number``: dense numbers from 0 by (key, area), without a task that sees a whole graph."""
+    hashed = z.select(*by, "_area", "_z", _order_key(seed).alias("_key")).withColumn(
+        "_bucket", F.shiftright("_key", 4 * KEY_DIGITS - bucket_bits)
+    )
+    sizes = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # At most 2**bucket_bits rows per test.
+    offsets = cut_lineage(
+        sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")), "offsets"
+    )
+    within = W.partitionBy(*by, "_bucket").orderBy("_key", "_area")
     return (
-        hashed.withColumn("_place", F.row_number().over(within))
-        .join(offsets, [*by, "_sim", "_bucket"])
-        .select(*by, "_sim", "_area", (F.col("_offset") + F.col("_place")).alias("_rank"))
+        hashed.withColumn("_place", F.row_number().over(within) - 1)
+        .join(offsets, [*by, "_bucket"])
+        .select(*by, "_area", "_z", (F.col("_offset") + F.col("_place")).alias("_number"))
     )
 
 
-def moran_mc(
-    values: DataFrame,
-    edges: DataFrame,
-    nsim: int,
-    seed: int = 1,
-    area: str = "area",
-    x: str = "x",
-    adjust_n: bool = True,
-    by: Sequence[str] = (),
-    block: int = BLOCK,
-    bucket_bits: int = BUCKET_BITS,
+def _grid(n: Column) -> Column:
+    """Struct ``excess, rest, a, b``: the sides of a grid of at least ``n`` cells.
+
+    Of the a from half the root of n up to it (2 at least), the one whose grid ``a * ceil(n / a)``
+    has fewest cells too many, and of these the largest.
+    """
+    root = F.floor(F.sqrt(n))
+    sides = F.sequence(F.greatest(F.lit(2), F.floor((root + 1) / 2)), F.greatest(F.lit(2), root))
+
+    def sized(a: Column) -> Column:
+        b = F.floor((n + a - 1) / a)
+        return F.struct((a * b - n).alias("excess"), (-a).alias("rest"), a.alias("a"), b.alias("b"))
+
+    return F.array_min(F.transform(sides, sized))
+
+
+def _round_keys(seed: int) -> Column:
+    """The keys of one permutation: the first 28 bits of ``md5(seed|sim|round)``."""
+    digests = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.lit(str(k)))) for k in range(ROUNDS)]
+    return F.array(*[F.conv(F.substring(d, 1, ROUND_DIGITS), 16, 10).cast("bigint") for d in digests])
+
+
+def _bijection(number: Column, n: Column, a: Column, b: Column, excess: Column, keys: Column) -> Column:
+    """Where a permutation sends ``number``: a Feistel network on the cells of the a x b grid.
+
+    Rounds add a keyed function of one half to the other in turn. A cell beyond n is
+    walked on along its cycle; there are ``excess`` such cells, so as many walks suffice.
+    """
+
+    def mixed(half: Column, key: Column) -> Column:
+        t = (half * FACTORS[0] + key) % PRIME
+        t = (t.bitwiseXOR(F.shiftright(t, 15)) * FACTORS[1]) % PRIME
+        return (t.bitwiseXOR(F.shiftright(t, 13)) * FACTORS[2]) % PRIME
+
+    def cell(left: Column, right: Column, high: Column, wide: Column) -> Column:
+        return F.struct(left.alias("l"), right.alias("r"), high.alias("a"), wide.alias("b"))
+
+    def walk(x: Column) -> Column:
+        # A round changes the left half, and the halves swap: an even number of rounds.
+        return F.aggregate(
+            keys,
+            cell(F.floor(x / b), x % b, a, b),
+            lambda h, key: cell(h["r"], (h["l"] + mixed(h["r"], key)) % h["a"], h["b"], h["a"]),
+            lambda h: h["l"] * b + h["r"],
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), excess + 1), walk(number), lambda x, _: F.when(x < n, x).otherwise(walk(x)))
+
+
+def _packed_crosses(z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int, seed: int) -> DataFrame:
+    """``by..., _sim, _permuted`` of graphs that fit into a task: one row per permutation, no shuffle of values.
+
+    A test's values, in the order of their numbers, and its edges, as pairs of
+    numbers, are one row. It is joined to every permutation, which then permutes
+    the values and sums the products along the edges by itself.
+    """
+    key = list(by) or ["_one"]
+    one = F.lit(1).alias("_one")
+    values = z.select(*by, one, "_area", "_z").groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct(_order_key(seed).alias("k"), "_area", "_z"))).alias("_values")
+    )
+    values = cut_lineage(values, "numbered")
+    numbers = values.select(*key, F.posexplode("_values").alias("_number", "_v")).select(
+        *key, F.col("_number"), F.col("_v._area").alias("_area")
+    )
+    edges = half.select(*by, one, "src", "dst")
+    for end in ("src", "dst"):
+        named = numbers.select(*key, F.col("_area").alias(end), F.col("_number").alias(f"_{end}"))
+        edges = edges.join(named, [*key, end])
+    pairs = edges.groupBy(*key).agg(F.collect_list(F.struct("_src", "_dst")).alias("_pairs"))
+    n = F.size("_values").cast("bigint")
+    graphs = cut_lineage(
+        values.join(pairs, key)
+        .select(*key, F.transform("_values", lambda v: v["_z"]).alias("_values"), "_pairs", n.alias("_n"), _grid(n).alias("_grid")),
+        "graphs",
+    )
+    spread = graphs.sparkSession.sparkContext.defaultParallelism * 4
+    sims = (
+        graphs.select(*key, F.explode(F.sequence(F.lit(1), F.lit(nsim))).alias("_sim"))
+        .withColumn("_keys", _round_keys(seed))
+        .repartition(spread)
+    )
+    grid = F.col("_grid")
+    permuted = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda i: F.col("_values")[
+            _bijection(i, F.col("_n"), grid["a"], grid["b"], grid["excess"], F.col("_keys")).cast("int")
+        ],
+    )
+    # Bound by an array of one element: a plain column would be computed for each edge.
+    cross = F.transform(
+        F.array(permuted),
+        lambda y: F.aggregate("_pairs", F.lit(0.0), lambda total, e: total + y[e["_src"]] * y[e["_dst"]]),
+    )
+    return sims.join(F.broadcast(graphs), key).select(*by, "_sim", (2.0 * cross[0]).alias("_permuted"))
+
+
+def _joined_crosses(
+    z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int, seed: int, block: int, bucket_bits: int
 ) -> DataFrame:
-    """Permutation test: one row ``by..., moran_i, nsim, n_at_least, p_value``.
+    """The same for graphs of any size: values meet their permuted area by a join.
 
-    ``p = (#{permuted I >= observed I} + 1) / (nsim + 1)``. Permutations follow
-    from ``seed`` alone and do not depend on partitioning: the area ranked r by
-    permutation s takes the value of the area ranked r by permutation 0. An
-    area's permuted values travel in arrays of ``block`` permutations, so a row has
+    An area's permuted values travel in arrays of ``block`` permutations, so a row has
     the same size for any ``nsim``, and sums leave an edge once per block.
     """
-    by = list(by)
-    z = cut_lineage(_centred(values, by, area, x), "centred")
-    areas = z.select(*by, "_area")
-    linked = cut_lineage(edges_between(z, edges, "_area", by), "value-edges")
-    base = _permutation_ranks(areas, by, 0, 0, seed, bucket_bits).join(z, [*by, "_area"])
-    # One row per area: stored, so that its size decides about a broadcast.
-    base = cut_lineage(base.select(*by, "_rank", "_z"), "base")
+    numbered = cut_lineage(_numbers(z, by, seed, bucket_bits), "numbered")
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_grid", _grid(F.col("_n")))
+    sized = _attach(numbered, cut_lineage(sizes, "sizes"), by)
+    grid = F.col("_grid")
+    target = _bijection(F.col("_number"), F.col("_n"), grid["a"], grid["b"], grid["excess"], F.col("_keys"))
+    targets = (
+        sized.drop("_z")
+        .withColumn("_sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
+        .withColumn("_keys", _round_keys(seed))
+        .select(*by, "_area", "_sim", target.alias("_number"))
+    )
     permuted = (
-        _permutation_ranks(areas, by, 1, nsim, seed, bucket_bits)
-        .join(base, [*by, "_rank"])
+        targets.join(numbered.select(*by, "_number", "_z"), [*by, "_number"])
         .groupBy(*by, "_area", F.floor((F.col("_sim") - 1) / block).alias("_block"))
         .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
         .select(*by, "_area", "_block", F.transform("_packed", lambda p: p["_z"]).alias("_draws"))
     )
     # Joined at both ends of an edge, and an area may have very many edges.
     permuted = cut_lineage(permuted, "permuted")
-    half = linked.where("src < dst").select(*by, "src", "dst")
 
     def end(name: str, draws: str) -> DataFrame:
         return permuted.select(*by, F.col("_area").alias(name), "_block", F.col("_draws").alias(draws))
@@ -224,7 +312,39 @@ def moran_mc(
         .join(end("dst", "_dj"), [*by, "dst", "_block"])
         .select(*by, "_block", F.posexplode(F.zip_with("_di", "_dj", lambda a, b: a * b)).alias("_at", "_product"))
     )
-    crosses = products.groupBy(*by, "_block", "_at").agg((2.0 * F.sum("_product")).alias("_permuted"))
+    return products.groupBy(*by, "_block", "_at").agg((2.0 * F.sum("_product")).alias("_permuted"))
+
+
+def moran_mc(
+    values: DataFrame,
+    edges: DataFrame,
+    nsim: int,
+    seed: int = 1,
+    area: str = "area",
+    x: str = "x",
+    adjust_n: bool = True,
+    by: Sequence[str] = (),
+    block: int = BLOCK,
+    bucket_bits: int = BUCKET_BITS,
+    packed: int = PACKED,
+) -> DataFrame:
+    """Permutation test: one row ``by..., moran_i, nsim, n_at_least, p_value``.
+
+    ``p = (#{permuted I >= observed I} + 1) / (nsim + 1)``. A permutation is a keyed
+    bijection of the areas' numbers, so nothing is sorted or ranked per permutation;
+    it follows from ``seed`` alone and does not depend on partitioning. Tests of at
+    most ``packed`` areas and edges together are copied to every task, where each
+    permutation is one row; larger ones meet their values by a join. Both give the
+    same numbers.
+    """
+    by = list(by)
+    z = cut_lineage(_centred(values, by, area, x), "centred")
+    linked = cut_lineage(edges_between(z, edges, "_area", by), "value-edges")
+    half = linked.where("src < dst").select(*by, "src", "dst")
+    if z.count() + half.count() <= packed:
+        crosses = _packed_crosses(z, half, by, nsim, seed)
+    else:
+        crosses = _joined_crosses(z, half, by, nsim, seed, block, bucket_bits)
     observed = cut_lineage(
         _parts(z, linked, by, adjust_n).select(*by, "moran_i", "_cross", "_zz"), "observed"
     )

@@ -1,29 +1,17 @@
-"""Poisson rate models, spatial smoothing and fit tables.
-
-The model is ``O ~ Poisson(E * exp(b_q + phi + theta))`` with a level effect per
-factor class q, a spatially structured effect phi and an unstructured theta.
-Several models (areal level x variant) are fitted in one job by keeping their
-keys in ``by``.
-"""
+"""Poisson rate models and fit tables; ``smoothing`` fits the spatial model."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import first_present, log_positive, ratio
-from ..session import cut_lineage, scratch_path
-from .graph import edges_between
-
-ZERO_CASES = 0.001
-# Edges of one area beyond this number are spread over several join keys.
-HOT_DEGREE = 4096
+from ..session import cut_lineage
+from .smoothing import BymFit, bucketed_copy, bym_map, fit_all  # noqa: F401
 
 
 def sir(df: DataFrame, observed: str, expected: str, out: str = "sir") -> DataFrame:
@@ -106,235 +94,6 @@ def poisson_glm(frame: DataFrame, features: Sequence[str], max_iter: int = 25, t
     return spark.createDataFrame(rows, "term string, estimate double")
 
 
-@dataclass(frozen=True)
-class BymFit:
-    """Result of :func:`bym_map`.
-
-    ``areas``: ``by..., area, observed, expected, covariate, beta, phi, theta, fitted``;
-    ``trace``: ``by..., sweep, objective``, the penalised log-likelihood at the start
-    of each sweep. Whether it has settled is for the caller to judge from the
-    trace: a fixed number of sweeps proves nothing.
-    """
-
-    areas: DataFrame
-    trace: DataFrame
-    sweeps: int
-
-
-def bucketed_copy(
-    df: DataFrame, keys: Sequence[str], path: str, buckets: int
-) -> tuple[DataFrame, str]:
-    """A copy in the shared folder that joins on ``keys`` read without a shuffle, and its table name."""
-    table = f"tessarea_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .option("path", path)
-        .saveAsTable(table)
-    )
-    return df.sparkSession.table(table), table
-
-
-def bym_map(
-    frame: DataFrame,
-    edges: DataFrame,
-    tau2: float | Column,
-    sigma2: float | Column,
-    sweeps: int = 50,
-    tol: float | None = None,
-    area: str = "area",
-    covariate: str | None = None,
-    by: Sequence[str] = (),
-    edge_by: Sequence[str] = (),
-    hot_degree: int = HOT_DEGREE,
-) -> BymFit:
-    """Penalised-likelihood mode of the smoothing model for given variances.
-
-    ``frame`` has ``by..., area, observed, expected`` and optionally a factor
-    covariate; ``edges`` has ``edge_by..., src, dst`` in both directions, where
-    ``edge_by`` are those of ``by`` that tell layers apart (variants of one level
-    share a graph). Edges to areas that have no row are left out. Areas without
-    neighbours belong in neither: see ``drop_islands``. ``tau2`` and ``sigma2`` are numbers or expressions over
-    ``by``. With ``tol`` the sweeps end early once no model's objective gained
-    more than that.
-
-    One sweep updates the level effects, then all phi at once (a parallel Newton
-    step with the Laplacian bounded by twice the degree, hence safe), centres
-    phi, then updates theta. The state is written to the shared folder once per
-    sweep, alternating between two paths. Edges are written once, bucketed on
-    the join key, so no sweep shuffles them again; an area with very many
-    neighbours is spread over several buckets.
-    """
-    by, edge_by = list(by), list(edge_by)
-    spark = frame.sparkSession
-    root = scratch_path(spark, "bym")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    areas = frame.select(*edge_by, F.col(area).alias("area")).distinct()
-    used_edges = cut_lineage(edges_between(areas, edges, "area", edge_by), "bym", f"{root}/used-edges")
-    degrees = used_edges.groupBy(*edge_by, F.col("dst").alias("area")).agg(
-        F.count(F.lit(1)).cast("double").alias("n")
-    )
-    factor = F.lit(None).cast("string") if covariate is None else F.col(covariate).cast("string")
-    start = frame.select(
-        *by,
-        F.col(area).alias("area"),
-        F.col("observed").cast("double").alias("o"),
-        F.col("expected").cast("double").alias("e"),
-        F.coalesce(factor, F.lit("")).alias("q"),
-        (F.lit(float(tau2)) if not isinstance(tau2, Column) else tau2.cast("double")).alias("tau2"),
-        (F.lit(float(sigma2)) if not isinstance(sigma2, Column) else sigma2.cast("double")).alias("sigma2"),
-    ).join(degrees, [*edge_by, "area"], "left")
-    n = F.coalesce("n", F.lit(0.0))
-    start = start.withColumns(
-        {
-            "n": n,
-            "slots": F.ceil(F.greatest(n, F.lit(1.0)) / hot_degree).cast("int"),
-            "beta": F.lit(0.0),
-            "phi": F.lit(0.0),
-            "theta": F.lit(0.0),
-        }
-    )
-    state = cut_lineage(start, "bym", f"{root}/start")
-
-    slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
-    slots = cut_lineage(slots, "bym", f"{root}/slots")
-    slot = F.pmod(F.xxhash64("src"), F.col("slots")).cast("int")
-    slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn("slot", slot).drop("slots")
-    bucket_key = [*edge_by, "dst", "slot"]
-    bucketed, table = bucketed_copy(slotted, bucket_key, f"{root}/edges", buckets)
-
-    def rate() -> Column:
-        return F.col("e") * F.exp(F.col("beta") + F.col("phi") + F.col("theta"))
-
-    def neighbour_sums(now: DataFrame) -> DataFrame:
-        sent = now.select(
-            *by,
-            F.col("area").alias("dst"),
-            "phi",
-            F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
-        )
-        return (
-            bucketed.join(sent, bucket_key)
-            .groupBy(*by, F.col("src").alias("area"))
-            .agg(F.sum("phi").alias("around"))
-        )
-
-    def with_neighbours(now: DataFrame) -> DataFrame:
-        return now.join(neighbour_sums(now), [*by, "area"], "left").withColumn(
-            "around", F.coalesce("around", F.lit(0.0))
-        )
-
-    def objective() -> Column:
-        """Penalised log-likelihood without constants; needs ``around``."""
-        mu = rate()
-        return F.sum(
-            F.col("o") * F.ln(mu)
-            - mu
-            - F.col("phi") * (F.col("n") * F.col("phi") - F.col("around")) / (2 * F.col("tau2"))
-            - F.col("theta") * F.col("theta") / (2 * F.col("sigma2"))
-        )
-
-    try:
-        traces: list[DataFrame] = []
-        done = 0
-        for sweep in range(sweeps):
-            levels = state.groupBy(*by, "q").agg(
-                F.ln(F.greatest(F.sum("o"), F.lit(ZERO_CASES)) / F.sum(rate())).alias("shift")
-            )
-            levels = cut_lineage(levels, "bym", f"{root}/levels-{sweep}")
-            at_levels = (
-                state.join(levels, [*by, "q"])
-                .withColumn("beta", F.col("beta") + F.col("shift"))
-                .drop("shift")
-            )
-            mu = rate()
-            step = (
-                F.col("o") - mu - (F.col("n") * F.col("phi") - F.col("around")) / F.col("tau2")
-            ) / (mu + 2 * F.col("n") / F.col("tau2"))
-            moved = with_neighbours(at_levels).select(
-                *at_levels.columns, "around", (F.col("phi") + step).alias("phi_next")
-            )
-            moved = cut_lineage(moved, "bym", f"{root}/state-{sweep % 2}")
-            centre = moved.groupBy(*by).agg(
-                F.avg("phi_next").alias("centre"), objective().alias("objective")
-            )
-            centre = cut_lineage(centre, "bym", f"{root}/centre-{sweep}")
-            traces.append(centre.select(*by, F.lit(sweep).alias("sweep"), "objective"))
-            means = centre.select(*by, "centre")
-            if by:
-                centred = moved.join(means, by)
-            else:
-                centred = moved.withColumn("centre", means.scalar())
-            centred = centred.withColumn("phi", F.col("phi_next") - F.col("centre")).drop(
-                "phi_next", "centre", "around"
-            )
-            mu = rate()
-            theta_step = (F.col("o") - mu - F.col("theta") / F.col("sigma2")) / (mu + 1 / F.col("sigma2"))
-            state = centred.withColumn("theta", F.col("theta") + theta_step)
-            done = sweep + 1
-            if tol is not None and len(traces) > 1:
-                before, after = traces[-2], traces[-1]
-                if by:
-                    both = before.select(*by, F.col("objective").alias("was")).join(after, by)
-                else:
-                    both = after.withColumn("was", before.select("objective").scalar())
-                if both.agg(F.max(F.col("objective") - F.col("was"))).first()[0] <= tol:
-                    break
-
-        last = with_neighbours(state).groupBy(*by).agg(objective().alias("objective"))
-        traces.append(last.select(*by, F.lit(done).alias("sweep"), "objective"))
-        trace = traces[0]
-        for more in traces[1:]:
-            trace = trace.unionByName(more)
-        trace = cut_lineage(trace, "bym", f"{root}/trace")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    areas = state.select(
-        *by,
-        F.col("area").alias(area),
-        F.col("o").alias("observed"),
-        F.col("e").alias("expected"),
-        *([F.col("q").alias(covariate)] if covariate is not None else []),
-        "beta",
-        "phi",
-        "theta",
-        rate().alias("fitted"),
-    )
-    return BymFit(areas, trace, done)
-
-
-def fit_all(
-    frames: DataFrame,
-    edges: DataFrame,
-    variances: DataFrame,
-    sweeps: int = 50,
-    tol: float | None = None,
-    area: str = "area",
-    covariate: str = "quintile",
-) -> BymFit:
-    """All models of all areal levels and variants as one job.
-
-    ``frames`` has ``level, variant, area, observed, expected, quintile`` (NULL in
-    a variant without covariate), ``edges`` has ``level, variant, src, dst`` and
-    ``variances`` has ``level, variant, tau2, sigma2``.
-    """
-    keyed = frames.join(variances, ["level", "variant"])
-    return bym_map(
-        keyed,
-        edges,
-        F.col("tau2"),
-        F.col("sigma2"),
-        sweeps=sweeps,
-        tol=tol,
-        area=area,
-        covariate=covariate,
-        by=("level", "variant"),
-        edge_by=("level", "variant"),
-    )
-
-
 def rates_fit(frame: DataFrame, covariate: str, by: Sequence[str] = ()) -> DataFrame:
     """Fitted counts of the closed-form rate model: the frame with ``fitted``."""
     by = list(by)

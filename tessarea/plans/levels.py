@@ -30,6 +30,7 @@ from ..operators.hierarchy import (
 )
 from ..operators.maplayer import map_layer
 from ..operators.model import BymFit, fit_all, fitted_sir, residual_table, sir, sir_with_fallback
+from ..operators.smoothing import TOL
 from ..session import cut_lineage
 
 AREA_KEYS = {
@@ -262,8 +263,8 @@ def run_study(
     inputs: StudyInputs,
     levels: Sequence[str] = LEVELS,
     variants: Sequence[str] = VARIANTS,
-    sweeps: int = 50,
-    tol: float | None = None,
+    tol: float = TOL,
+    max_steps: int = 50,
 ) -> Study:
     """Prepare, link and fit all levels and variants together."""
     spark = inputs.mesh.sparkSession
@@ -282,7 +283,7 @@ def run_study(
     variances = spark.createDataFrame(
         MEDIAN_VARIANCES, "level string, variant string, tau2 double, sigma2 double"
     )
-    return Study(frames, edges, fit_all(modelled, edges, variances, sweeps=sweeps, tol=tol))
+    return Study(frames, edges, fit_all(modelled, edges, variances, tol=tol, max_steps=max_steps))
 
 
 def sir_map(

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from workload import models
 from workload.oracle import complete
 
-from .compare import canonical, connect
+from .compare import connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -21,7 +21,7 @@ def con():
 
 
 def test_mesh_fit_meets_the_score_equations(spark, con):
-    """The gradient vanishes: by theta in each area, by phi up to the constant that centring takes."""
+    """The gradient vanishes: by theta in each area, by phi and by the intercept."""
     fit = {r.MB_CODE16: r for r in entry_module.queries()["bym_map"](spark, SF_DIR).collect()}
     edges = con.execute(complete(f"SELECT src, dst FROM ({models._ONE_EDGES}) e")).fetchall()
     laplace = dict.fromkeys(fit, 0.0)
@@ -30,15 +30,7 @@ def test_mesh_fit_meets_the_score_equations(spark, con):
     gap = np.array([r.observed - r.fitted for r in fit.values()])
     by_theta = gap - np.array([r.theta for r in fit.values()]) / models.SIGMA2
     by_phi = gap - np.array(list(laplace.values())) / models.TAU2
-    assert abs(gap.sum()) < 0.05
-    assert np.abs(by_theta).max() < 0.05
-    assert np.abs(by_phi - by_phi.mean()).max() < 0.05
-
-
-def test_recursive_twin_is_the_unrolled_one(con):
-    """Two sweeps of either form of SQL give the same numbers."""
-    pick = "SELECT level, variant, area, round(beta, 8) AS b, round(phi, 8) AS p, round(theta, 8) AS t, round(mu, 6) AS mu FROM fitted"
-    unrolled = models.bym_sql(models._ALL, models._ALL_EDGES, 2) + " " + pick
-    recursive = models.bym_settled_sql(models._ALL, models._ALL_EDGES, pick, sweeps=2, tol=-1)
-    a, b = (canonical(con.execute(complete(sql)).df()) for sql in (unrolled, recursive))
-    assert len(a) > 100 and a == b
+    # Effects are rounded to six places, so a penalty's gradient to their over the variance.
+    assert abs(gap.sum()) < 1e-4
+    assert np.abs(by_theta).max() < 2e-6 / models.SIGMA2
+    assert np.abs(by_phi).max() < 2e-5 / models.TAU2

@@ -48,7 +48,7 @@ def test_cases_survive_every_level(tables, cases):
 
 
 def test_study(spark, tables):
-    study = lv.run_study(tables, levels=("SA1", "SA2"), sweeps=3)
+    study = lv.run_study(tables, levels=("SA1", "SA2"), max_steps=1)
     fitted = study.fitted()
     assert {(r.level, r.variant) for r in fitted.select("level", "variant").distinct().collect()} == {
         (level, variant) for level in ("SA1", "SA2") for variant in ("nc", "wc")
@@ -57,7 +57,7 @@ def test_study(spark, tables):
     assert study.frames.where("level = 'SA2' AND area = 24").count() == 2
     assert fitted.where("level = 'SA2' AND area = 24").count() == 0
     assert fitted.where("fitted IS NULL OR fitted <= 0").count() == 0
-    trace = study.fit.trace.orderBy("level", "variant", "sweep").collect()
+    trace = study.fit.trace.orderBy("level", "variant", "step").collect()
     for a, b in zip(trace, trace[1:]):
         if (a.level, a.variant) == (b.level, b.variant):
             assert b.objective >= a.objective - 1e-6

@@ -25,7 +25,7 @@ def test_residual_tests_take_the_full_count(spark):
 
 
 def test_all_ten_fits_against_sql(spark):
-    """Query and twin with a loose tolerance, so that the fits end after two sweeps."""
+    """Query and twin with a loose tolerance, so that the fits end at their start."""
     study = run_study(Tables(spark, SF_DIR), tol=1e9)
     found = rounded(study.residual_moran_all())
     sql = complete(spatial.residual_moran_all_sql(tol=1e9))

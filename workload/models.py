@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessarea.operators import draws as dr
 from tessarea.operators import model as mo
+from tessarea.operators import smoothing as sm
 from tessarea.operators.graph import drop_islands
+from tessarea.operators.smoothing import TOL
 from tessarea.plans.levels import MEDIAN_VARIANCES, Study, run_study
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import read_fit, read_table, write_fit, write_text_table
@@ -17,8 +19,6 @@ from tessarea.sources import read_fit, read_table, write_fit, write_text_table
 from .registry import query, r
 from .tables import Tables
 
-# Sweeps run until no model's objective gains more than TOL; SWEEPS is a guard only.
-SWEEPS, TOL = 5000, 1e-6
 DRAW_KEYS = ("level", "variant", "param", "idx")
 _KEYS = ", ".join(DRAW_KEYS)
 
@@ -49,86 +49,86 @@ def poisson_glm(t: Tables):
     return mo.poisson_glm(t.stored_frame, ["quintile"])
 
 
-def bym_sql(frame: str, edges: str, sweeps: int) -> str:
-    """Unrolled sweeps; ``frame`` has level, variant, area, o, e, q, tau2, sigma2."""
-    mu = "e * exp(beta + phi + theta)"
-    key = "level, variant"
-    parts = [
-        f"""fr AS MATERIALIZED ({frame})""",
-        f"""ed AS MATERIALIZED ({edges})""",
-        f"""b0 AS MATERIALIZED (SELECT fr.*, n, CAST(0 AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta
-      FROM fr JOIN (SELECT {key}, src AS area, count(*) AS n FROM ed GROUP BY {key}, src) d USING ({key}, area))""",
-    ]
-    traces = []
-    columns = f"{key}, area, o, e, q, tau2, sigma2, n"
-
-    def around(of: str) -> str:
-        return (
-            f"(SELECT ed.level, ed.variant, src AS area, sum(phi) AS around FROM ed JOIN {of} s"
-            f" ON ed.level = s.level AND ed.variant = s.variant AND dst = s.area GROUP BY ed.level, ed.variant, src) w"
-        )
+def bym_sql(frame: str, edges: str, select: str, tol: float = TOL) -> str:
+    """Newton steps with conjugate gradients as a recursion, then ``select``.
 
-    objective = (
-        f"sum(o * ln({mu}) - {mu} - phi * (n * phi - around) / (2 * tau2) - theta * theta / (2 * sigma2))"
-    )
-    for k in range(sweeps):
-        parts += [
-            f"""l{k} AS (SELECT {key}, q, ln(greatest(sum(o), 0.001) / sum({mu})) AS shift FROM b{k} GROUP BY {key}, q)""",
-            f"""a{k} AS MATERIALIZED (SELECT {columns}, beta + shift AS beta, phi, theta FROM b{k} JOIN l{k} USING ({key}, q))""",
-            f"""m{k} AS MATERIALIZED (SELECT {columns}, beta, phi, theta, around,
-        phi + (o - {mu} - (n * phi - around) / tau2) / ({mu} + 2 * n / tau2) AS phi_next
-      FROM a{k} JOIN {around(f"a{k}")} USING ({key}, area))""",
-            f"""c{k} AS (SELECT {key}, avg(phi_next) AS centre, {objective} AS objective FROM m{k} GROUP BY {key})""",
-            f"""f{k} AS MATERIALIZED (SELECT {columns}, beta, phi_next - centre AS phi, theta FROM m{k} JOIN c{k} USING ({key}))""",
-            f"""b{k + 1} AS MATERIALIZED (SELECT {columns}, beta, phi,
-        theta + (o - {mu} - theta / sigma2) / ({mu} + 1 / sigma2) AS theta FROM f{k})""",
-        ]
-        traces.append(f"SELECT {key}, {k} AS sweep, objective FROM c{k}")
-    parts += [
-        f"""cl AS (SELECT {key}, {objective} AS objective FROM b{sweeps} JOIN {around(f"b{sweeps}")} USING ({key}, area) GROUP BY {key})""",
-        f"""fitted AS (SELECT *, {mu} AS mu FROM b{sweeps})""",
-        "tr AS (" + " UNION ALL ".join([*traces, f"SELECT {key}, {sweeps} AS sweep, objective FROM cl"]) + ")",
-    ]
-    return "WITH " + ",\n".join(parts)
-
-
-def bym_settled_sql(frame: str, edges: str, select: str, sweeps: int = SWEEPS, tol: float = TOL) -> str:
-    """The sweeps of :func:`bym_sql` until no objective gains more than ``tol``, then ``select``."""
-    mu = "e * exp(beta + phi + theta)"
+    ``frame`` has level, variant, area, o, e, q, tau2, sigma2. A recursion step is one
+    product with the edges; rows carry the scalars of their model and class along.
+    """
     key = "level, variant"
-    columns = f"{key}, area, o, e, q, tau2, sigma2, n"
-
-    def around(of: str) -> str:
+    static = f"{key}, area, o, e, q, tau2, sigma2, n"
+    mu = "(e * exp(beta + phi + theta))"
+    w = f"({mu} / (1 + {mu} * sigma2))"
+    g = f"(o - {mu} - theta / sigma2)"
+    rhs = f"(o - {mu} - {w} * sigma2 * {g})"
+    scale = f"({w} + n / tau2)"
+    dtheta = f"(({g} - {mu} * (x + xb)) / ({mu} + 1 / sigma2))"
+    lap_x = f"(tau2 * ({rhs} - lap / tau2 - r - {w} * (x + xb)))"
+
+    def objective(t: float) -> str:
+        eta = f"(beta + {t} * xb + phi + {t} * x + theta + {t} * {dtheta})"
         return (
-            f"(SELECT ed.level, ed.variant, src AS area, sum(phi) AS around FROM ed JOIN {of} s"
-            f" ON ed.level = s.level AND ed.variant = s.variant AND dst = s.area GROUP BY ed.level, ed.variant, src) w"
+            f"sum(o * (ln(e) + {eta}) - e * exp({eta}) - (phi + {t} * x) * (lap + {t} * {lap_x}) / (2 * tau2)"
+            f" - (theta + {t} * {dtheta}) * (theta + {t} * {dtheta}) / (2 * sigma2))"
         )
 
-    objective = (
-        f"sum(o * ln({mu}) - {mu} - phi * (n * phi - around) / (2 * tau2) - theta * theta / (2 * sigma2))"
-    )
+    lengths = sm.STEP_LENGTHS
+    objectives = ", ".join(f"{objective(t)} AS j{k}" for k, t in enumerate((0.0, *lengths)))
+    totals = ", ".join(f"sum(j{k}) AS j{k}" for k in range(len(lengths) + 1))
+    floor = f"(j0 - {sm.SLACK!r} * abs(j0))"
+    length = "CASE " + " ".join(f"WHEN j{k} >= {floor} THEN CAST({t} AS DOUBLE)" for k, t in enumerate(lengths, 1))
+    length += f" ELSE CAST({lengths[-1]} AS DOUBLE) END"
+    length_m = length.replace(" j", " cm.j").replace("(j", "(cm.j")
+    z = "CAST(0 AS DOUBLE)"
     return f"""SELECT * FROM (WITH RECURSIVE fr AS MATERIALIZED ({frame}),
 ed AS MATERIALIZED ({edges}),
-st AS (SELECT 0 AS sweep, fr.*, CAST(n AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS phi,
-         CAST(0 AS DOUBLE) AS theta, CAST(NULL AS DOUBLE) AS objective, false AS settled
+st AS (SELECT 0 AS k, 0 AS step, true AS moves, false AS settled, {key}, area, o, e, q, tau2, sigma2, CAST(n AS DOUBLE) AS n,
+         {z} AS beta, {z} AS phi, {z} AS theta, {z} AS lap, {z} AS x, {z} AS r, {z} AS p, {z} AS s, {z} AS v,
+         {z} AS xb, {z} AS rb, {z} AS pb, {z} AS sb, {z} AS wb, {z} AS vb, {z} AS f1, {z} AS f2, CAST(NULL AS DOUBLE) AS g1,
+         CAST(NULL AS DOUBLE) AS g0, CAST(NULL AS DOUBLE) AS a0,
+         ln(greatest(sum(o) OVER (PARTITION BY {key}, q), {sm.ZERO_CASES}) / sum(e) OVER (PARTITION BY {key}, q)) AS beta_next,
+         {z} AS objective, {z} AS gradient
        FROM fr JOIN (SELECT {key}, src AS area, count(*) AS n FROM ed GROUP BY {key}, src) d USING ({key}, area)
   UNION ALL
-  (WITH b AS MATERIALIZED (SELECT * FROM st WHERE NOT settled AND sweep < {sweeps}),
-   l AS (SELECT {key}, q, ln(greatest(sum(o), 0.001) / sum({mu})) AS shift FROM b GROUP BY {key}, q),
-   a AS MATERIALIZED (SELECT sweep, objective AS was, {columns}, beta + shift AS beta, phi, theta FROM b JOIN l USING ({key}, q)),
-   m AS MATERIALIZED (SELECT sweep, was, {columns}, beta, phi, theta, around,
-        phi + (o - {mu} - (n * phi - around) / tau2) / ({mu} + 2 * n / tau2) AS phi_next
-      FROM a JOIN {around("a")} USING ({key}, area)),
-   c AS MATERIALIZED (SELECT {key}, avg(phi_next) AS centre, {objective} AS objective, max(was) AS was FROM m GROUP BY {key}),
-   g AS (SELECT coalesce(max(objective - was) <= {tol}, false) AS settled FROM c),
-   f AS MATERIALIZED (SELECT sweep, {columns}, beta, phi_next - centre AS phi, theta, c.objective FROM m JOIN c USING ({key}))
-   SELECT sweep + 1, level, variant, area, o, e, q, tau2, sigma2, n, beta, phi,
-          theta + (o - {mu} - theta / sigma2) / ({mu} + 1 / sigma2) AS theta, objective, settled FROM f CROSS JOIN g)),
-ls AS MATERIALIZED (SELECT * FROM st WHERE sweep = (SELECT max(sweep) FROM st)),
-fitted AS (SELECT *, {mu} AS mu FROM ls),
-tr AS (SELECT {key}, CAST(sweep - 1 AS INTEGER) AS sweep, max(objective) AS objective FROM st WHERE sweep > 0 GROUP BY {key}, sweep
-  UNION ALL SELECT {key}, CAST(max(sweep) AS INTEGER) AS sweep, {objective} AS objective
-  FROM ls JOIN {around("ls")} USING ({key}, area) GROUP BY {key})
+  (WITH b AS MATERIALIZED (SELECT *, {scale} AS sc FROM st WHERE NOT settled AND k < 20000),
+   c1 AS MATERIALIZED (SELECT k, step, moves, {static}, f1, f2, g1, g0, a0, wb, vb, sc,
+     CASE WHEN moves THEN beta_next ELSE beta END AS beta,
+     CASE WHEN moves THEN phi + f1 * x - f2 ELSE phi END AS phi,
+     CASE WHEN moves THEN theta + f1 * {dtheta} ELSE theta END AS theta, lap,
+     CASE WHEN moves THEN 0 ELSE r / sc + f2 * p END AS p, CASE WHEN moves THEN 0 ELSE v + f2 * s END AS s,
+     CASE WHEN moves THEN 0 ELSE rb / wb + f2 * pb END AS pb, CASE WHEN moves THEN 0 ELSE vb + f2 * sb END AS sb,
+     x, r, xb, rb FROM b),
+   c2 AS MATERIALIZED (SELECT * EXCLUDE (x, r, xb, rb),
+     CASE WHEN moves THEN 0 ELSE x + f1 * p END AS x, CASE WHEN moves THEN 0 ELSE r - f1 * s END AS r,
+     CASE WHEN moves THEN 0 ELSE xb + f1 * pb END AS xb, CASE WHEN moves THEN 0 ELSE rb - f1 * sb END AS rb FROM c1),
+   c3 AS MATERIALIZED (SELECT *, CASE WHEN moves THEN phi ELSE r / sc END AS msg FROM c2),
+   nb AS MATERIALIZED (SELECT ed.level, ed.variant, src AS area, sum(msg) AS around FROM ed JOIN c3 t
+          ON ed.level = t.level AND ed.variant = t.variant AND dst = t.area GROUP BY ed.level, ed.variant, src),
+   c4 AS MATERIALIZED (SELECT c3.* EXCLUDE (lap), CASE WHEN moves THEN n * msg - around ELSE lap END AS lap,
+     n * msg - around AS spread FROM c3 JOIN nb USING ({key}, area)),
+   c5 AS MATERIALIZED (SELECT * EXCLUDE (r, spread), CASE WHEN moves THEN {rhs} - lap / tau2 ELSE r END AS r,
+     CASE WHEN moves THEN 0 ELSE {w} * (msg + rb / wb) + spread / tau2 END AS v FROM c4),
+   cl AS MATERIALIZED (SELECT {key}, q, sum({w}) AS cw, sum({rhs}) AS crb, sum({g} * {g}) AS gt,
+     sum((o - {mu} - lap / tau2) * (o - {mu} - lap / tau2)) AS gp, sum(o - {mu}) AS gap, sum(r * (r / {scale})) AS ru,
+     sum(r / {scale} * v) AS uv, sum({w} * (r / {scale})) AS wu, sum(phi) AS sphi, sum(x) AS sx, count(*) AS rws,
+     max(rb) AS orb, max(wb) AS owb, {objectives} FROM c5 GROUP BY {key}, q),
+   cm AS MATERIALIZED (SELECT {key}, sqrt(sum(gt + gp + gap * gap)) AS gradient, sum(sphi) AS sphi, sum(sx) AS sx, sum(rws) AS rws, {totals},
+     sum(ru) + sum(orb * orb / nullif(owb, 0)) AS gam, sum(uv) + sum((wu + orb) * orb / nullif(owb, 0)) AS del FROM cl GROUP BY {key}),
+   dc AS MATERIALIZED (SELECT c5.*, cw, crb, wu, gam, del, cm.gradient, cm.j0, {length_m} AS len, cm.sphi, cm.sx, cm.rws,
+     NOT moves AND gam <= {sm.FORCING**2!r} * coalesce(g1, gam) AS ends
+     FROM c5 JOIN cl USING ({key}, q) JOIN cm USING ({key})),
+   sc AS MATERIALIZED (SELECT *, coalesce(gam / g0, 0) AS bc, gam / (del - coalesce(gam / g0 * gam / a0, 0)) AS al,
+     (sphi + len * sx) / rws AS centre FROM dc)
+   SELECT k + 1, CASE WHEN moves THEN step + 1 ELSE step END, CASE WHEN moves THEN false ELSE ends END, moves AND gradient < {tol!r},
+     {static}, beta, phi, theta, lap, x, r, p, s, v, xb, CASE WHEN moves THEN crb ELSE rb END, pb, sb,
+     CASE WHEN moves THEN cw ELSE wb END, CASE WHEN moves THEN 0 ELSE wu + rb END,
+     CASE WHEN moves THEN 0 WHEN ends THEN len ELSE al END, CASE WHEN moves THEN 0 WHEN ends THEN centre ELSE bc END,
+     CASE WHEN moves OR ends THEN NULL ELSE coalesce(g1, gam) END, CASE WHEN moves OR ends THEN NULL ELSE gam END,
+     CASE WHEN moves OR ends THEN NULL ELSE al END,
+     CASE WHEN moves THEN beta ELSE beta + len * xb + centre END, j0, gradient FROM sc)),
+fitted AS (SELECT *, {mu} AS mu FROM st WHERE settled),
+tr AS (SELECT {key}, CAST(step - 1 AS INTEGER) AS step, max(objective) AS objective, CAST(k AS INTEGER) AS products
+       FROM (SELECT *, lag(moves) OVER (PARTITION BY {key}, area ORDER BY k) AS moved FROM st) m WHERE moved GROUP BY {key}, step, k)
 {select}) settled_x"""
 
 
@@ -143,24 +143,20 @@ WHERE src IN (SELECT MB_CODE16 FROM t_mesh_frame) AND dst IN (SELECT MB_CODE16 F
 
 def settled(fit: mo.BymFit) -> mo.BymFit:
     """The fit, unless the guard ended it before the tolerance did."""
-    if fit.sweeps >= SWEEPS:
-        raise RuntimeError(f"the smoothing model has not settled in {SWEEPS} sweeps")
+    if not fit.settled:
+        raise RuntimeError("the smoothing model has not settled")
     return fit
 
 
 def mesh_bym(t: Tables, covariate: str | None = None) -> mo.BymFit:
     edges = cut_lineage(t.mesh_edges, "edges")
     frame = drop_islands(t.mesh_frame, edges, "MB_CODE16")
-    return settled(
-        mo.bym_map(
-            frame, edges, TAU2, SIGMA2, sweeps=SWEEPS, tol=TOL, area="MB_CODE16", covariate=covariate
-        )
-    )
+    return settled(mo.bym_map(frame, edges, TAU2, SIGMA2, area="MB_CODE16", covariate=covariate))
 
 
 @query(
     "bym_map",
-    bym_settled_sql(
+    bym_sql(
         _ONE,
         _ONE_EDGES,
         f"""SELECT area AS MB_CODE16, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta, {r("phi")} AS phi,
@@ -173,14 +169,15 @@ def bym_map(t: Tables):
 
 @query(
     "bym_trace",
-    bym_settled_sql(
+    bym_sql(
         _ONE.replace("'' AS q", "CAST(quintile AS VARCHAR) AS q"),
         _ONE_EDGES,
-        f"SELECT sweep, {r('objective')} AS objective FROM tr",
+        f"SELECT step, {r('objective')} AS objective, products FROM tr",
     ),
 )
 def bym_trace(t: Tables):
-    return mesh_bym(t, "quintile").trace
+    """The gradient is left out: it is rounding noise at the end."""
+    return mesh_bym(t, "quintile").trace.drop("gradient")
 
 
 _VARIANCES = ", ".join(f"('{lv}', '{va}', {a}, {b})" for lv, va, a, b in MEDIAN_VARIANCES)
@@ -192,14 +189,14 @@ _ALL_EDGES = "SELECT level, variant, src, dst FROM t_edges"
 
 
 def settled_study(t: Tables) -> Study:
-    study = run_study(t, sweeps=SWEEPS, tol=TOL)
+    study = run_study(t)
     settled(study.fit)
     return study
 
 
 @query(
     "fit_all_levels",
-    bym_settled_sql(
+    bym_sql(
         _ALL,
         _ALL_EDGES,
         f"""SELECT level, variant, area, {r("o")} AS observed, {r("e")} AS expected, {r("beta")} AS beta,

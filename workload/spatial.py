@@ -223,20 +223,40 @@ def moran_test(t: Tables):
 
 
 def moran_mc_sql(values: str, edges: str, nsim: int, seed: int) -> str:
-    return (
-        moran_sql(values, edges)
-        + f""", h AS (SELECT sim, area, row_number() OVER (PARTITION BY sim
-              ORDER BY md5('{seed}|' || CAST(sim AS VARCHAR) || '|' || CAST(area AS VARCHAR))) AS k
-       FROM z CROSS JOIN (SELECT range AS sim FROM range(0, {nsim + 1})) s),
-b AS (SELECT k, z FROM h JOIN z USING (area) WHERE sim = 0),
-p AS MATERIALIZED (SELECT sim, area, b.z FROM h JOIN b USING (k) WHERE sim > 0),
+    """The same bijection of the same numbers, a round at a time."""
+
+    def mixed(half: str, k: int) -> str:
+        t = f"(({half} * {ac.FACTORS[0]} + k{k}) % {ac.PRIME})"
+        t = f"((xor({t}, {t} >> 15) * {ac.FACTORS[1]}) % {ac.PRIME})"
+        return f"((xor({t}, {t} >> 13) * {ac.FACTORS[2]}) % {ac.PRIME})"
+
+    def walked(source: str, where: str) -> str:
+        """One pass of the rounds over ``x``."""
+        sql = f"SELECT * EXCLUDE (x), x // b AS l, x % b AS r FROM {source} WHERE {where}"
+        for k in range(ac.ROUNDS):
+            side, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            sql = f"SELECT * REPLACE (({side} + {mixed(other, k)}) % {size} AS {side}) FROM ({sql}) w{k}"
+        return f"SELECT * EXCLUDE (l, r), l * b + r AS x FROM ({sql}) w"
+
+    keys = ", ".join(
+        f"CAST('0x' || substr(md5('{seed}|' || CAST(range AS VARCHAR) || '|{k}'), 1, {ac.ROUND_DIGITS}) AS BIGINT) AS k{k}"
+        for k in range(ac.ROUNDS)
+    )
+    return f"""SELECT * FROM (WITH RECURSIVE {moran_sql(values, edges).strip()[5:]},
+nu AS MATERIALIZED (SELECT area, z, row_number() OVER (ORDER BY substr(md5('{seed}|' || CAST(area AS VARCHAR)), 1, {ac.KEY_DIGITS}), area) - 1 AS num FROM z),
+sz AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM nu),
+gr AS MATERIALIZED (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, unnest(range(greatest(2, (root + 1) // 2), greatest(2, root) + 1)) AS a FROM sz) g
+      ORDER BY a * ((n + a - 1) // a) - n, a DESC LIMIT 1),
+ks AS MATERIALIZED (SELECT range AS sim, {keys} FROM range(1, {nsim + 1})),
+x0 AS (SELECT ks.*, num, n, a, b, num AS x FROM nu CROSS JOIN ks CROSS JOIN gr),
+wk AS ({walked("x0", "true")} UNION ALL ({walked("wk", "x >= n")})),
+p AS MATERIALIZED (SELECT sim, o.area, b.z FROM wk JOIN nu b ON x = b.num JOIN nu o ON wk.num = o.num),
 c AS (SELECT p.sim, sum(p.z * q.z) AS s FROM {edges} JOIN p ON src = p.area JOIN p q ON dst = q.area AND p.sim = q.sim
       GROUP BY p.sim)
 SELECT {r('max(n * cross_sum / (s0 * zz))')} AS moran_i, {nsim} AS nsim,
        count(*) FILTER (WHERE s >= cross_sum - 1e-10 * zz) AS n_at_least,
        {r(f'(count(*) FILTER (WHERE s >= cross_sum - 1e-10 * zz) + 1) / CAST({nsim + 1} AS DOUBLE)')} AS p_value
-FROM c CROSS JOIN m"""
-    )
+FROM c CROSS JOIN m) mc"""
 
 
 @query("moran_mc", moran_mc_sql(SA1_X, "t_sa1_edges", 999, 1))
@@ -268,7 +288,7 @@ def residual_moran(t: Tables):
 
 def residual_moran_all_sql(nsim: int = RESIDUAL_NSIM, tol: float = models.TOL) -> str:
     """The test of every smoothed fit; a saturated fit has no residuals and no result."""
-    residuals = models.bym_settled_sql(
+    residuals = models.bym_sql(
         models._ALL,
         models._ALL_EDGES,
         "SELECT level, variant, area, round((o - mu) / sqrt(mu), 9) AS x FROM fitted",
