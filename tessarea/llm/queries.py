@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language, line_dedup, mixing, packing, simhash, suffix_dedup, token_output, toxicity
+from . import ann, clustering, exact_dedup, language, line_dedup, mixing, packing, simhash, suffix_dedup, token_output, toxicity
 from .common import prepare, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     return found.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+def _cluster_sql() -> str:
+    """The rounds as one query each; vectors as lists of integers."""
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT rid, cluster, distance FROM (
+    SELECT rid, n AS cluster, list_sum(list_transform(range(1, {clustering.DIMENSION + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS distance
+    FROM kept CROSS JOIN c{k}) d QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)"""
+
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {clustering.DIMENSION} AND len(list_filter(embedding, lambda x: isfinite(x))) = {clustering.DIMENSION})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id), v) - 1 AS n, v AS c FROM kept
+    QUALIFY n < {clustering.CLUSTERS})""",
+    ]
+    for k in range(clustering.ROUNDS):
+        parts.append(nearest(k))
+        parts.append(
+            f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.n, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+    SELECT cluster, list((s - ((s % k) + k) % k) // k ORDER BY pos) AS c FROM (
+      SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS k FROM (
+        SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{k} JOIN kept USING (rid)) u GROUP BY cluster, pos) g
+    GROUP BY cluster) m ON c{k}.n = m.cluster)"""
+        )
+    parts.append(nearest(clustering.ROUNDS))
+    last = clustering.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN kept USING (rid) JOIN c{last} ON cluster = n"""
+
+
+@query("op11_centroid_clustering", _cluster_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.inertias(*clustering.cluster(table(spark, sf_dir, "embeddings")))
