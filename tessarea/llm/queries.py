@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, clustering, exact_dedup, language, line_dedup, mixing, packing, simhash, suffix_dedup, token_output, toxicity
+from . import ann, clustering, exact_dedup, language, line_dedup, mixing, packing, pieces, simhash, suffix_dedup, token_output, toxicity
 from .common import prepare, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,8 @@ FROM a{last} JOIN kept USING (rid) JOIN c{last} ON cluster = n"""
 @query("op11_centroid_clustering", _cluster_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.inertias(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
