@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, clustering, exact_dedup, language, line_dedup, mixing, packing, pieces, simhash, suffix_dedup, token_output, toxicity
+from . import ann, clustering, exact_dedup, language, line_dedup, mixing, packing, pieces, prefix_trie, simhash, suffix_dedup, token_output, toxicity
 from .common import prepare, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_sentencepiece")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of the decimal id: its bytes, each followed by eight shifts (-1).
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.GROUP} AS base, {_CRC} % {prefix_trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM t) x),
+hd AS (SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h),
+nb AS (SELECT c.*, (SELECT count(*) FROM hd WHERE hd.conv_id = c.conv_id) AS nb FROM c),
+r AS (SELECT * FROM hd UNION ALL SELECT conv_id, nb + pos - h AS d, role, text FROM t JOIN nb USING (conv_id) WHERE pos > h),
+w AS MATERIALIZED (SELECT conv_id, d, length(text) AS chars,
+    md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM w GROUP BY d, k),
+pa AS MATERIALIZED (SELECT n.d, n.k, w.k AS pk, m.conv_id AS above FROM n JOIN w ON w.conv_id = n.conv_id AND w.d = n.d - 1 JOIN n m ON m.d = w.d AND m.k = w.k),
+ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM pa GROUP BY d, pk),
+v AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, above FROM n LEFT JOIN ch USING (d, k) LEFT JOIN pa USING (d, k)),
+b AS (SELECT w.d, w.k, sum((n_convs - 1) * v.chars) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+      FROM v JOIN w ON w.conv_id = v.conv_id AND w.d <= v.d GROUP BY w.d, w.k),
+e AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+      FROM w JOIN (SELECT conv_id, max(d) AS d FROM w GROUP BY conv_id) l USING (conv_id, d) GROUP BY d, k)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, above AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN b USING (d, k) LEFT JOIN e USING (d, k)"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
