@@ -64,7 +64,8 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of x to those of y."""
-    return np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in y], axis=1).astype(np.float64))
+    squares = [((x - c) ** 2).sum(axis=1) for c in y]
+    return np.sqrt(np.array(squares, np.float64).reshape(len(y), len(x)).T)
 
 
 class Assigner:
