@@ -20,6 +20,19 @@ WHITE = r"[\x20\x09-\x0D]+"
 # Rows per Arrow batch: a batch holds whole texts, so it is kept small.
 BATCH_ROWS = 512
 _SHIPPED: set[str] = set()
+# What operators keep in a Python worker over tasks, by operator.
+_STATES: dict[str, dict] = {}
+
+
+def worker_state(name: str) -> dict:
+    """A dictionary that stays in the worker over tasks, until another operator needs the memory."""
+    return _STATES.setdefault(name, {})
+
+
+def forget_states() -> None:
+    """Empty the states of all operators in this worker."""
+    for state in _STATES.values():
+        state.clear()
 
 
 def prepare(spark: SparkSession) -> SparkSession:

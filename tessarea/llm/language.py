@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut_lineage, prepare, texts_of
+from .common import crc_of_id, cut_lineage, prepare, texts_of, worker_state
 
 # Training rows of a language at most: the bound on what the driver sees.
 SAMPLE = 250
@@ -148,7 +148,7 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     return [r.text for r in rows], [r.lang for r in rows]
 
 
-_STATE: dict[str, object] = {}
+_STATE = worker_state("language")
 
 
 def _predict(model: Model):

@@ -8,9 +8,14 @@ import os
 
 import numpy as np
 
+from .common import forget_states
+
 WORD_BPE = "word_bpe_49k.json"
-# Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_400_000, 64
+# Bytes of words and ids that a worker remembers, what an entry takes beside its text
+# and ids (two objects and a place in the table), and the longest word remembered.
+REMEMBERED, ENTRY, LONGEST = 128_000_000, 190, 64
+# New words that are encoded in one call, which bounds what the tokenizer takes meanwhile.
+AT_ONCE = 50_000
 # What closes the last token of a word in the vocabulary, and words encoded together.
 WORD_END = "</w>"
 TOGETHER = 50
@@ -40,7 +45,8 @@ class WordEncoder:
     """Ids of whole texts for tokenizers that never join across white space.
 
     ``word_bpe_49k`` drops white space and splits before it merges, so the ids of
-    a text are those of its words in turn; each word is encoded once.
+    a text are those of its words in turn; each word is encoded once. The memory of
+    words is bounded in bytes (``REMEMBERED``); when it is full, its older half goes.
     """
 
     def __init__(self, path: str):
@@ -52,13 +58,18 @@ class WordEncoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.closes[number] = token.endswith(WORD_END)
         self.known: dict[str, bytes] = {"": b""}
+        self.bytes = 0
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of letters alone close one token each: many go in one text."""
+        """Ids of each word, some words at a time."""
+        return [ids for k in range(0, len(words), AT_ONCE) for ids in self._some(words[k : k + AT_ONCE])]
+
+    def _some(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone close one token each: many go in one text."""
         plain = [w for w in words if w.isalpha()]
         groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         found: dict[str, bytes] = {}
@@ -81,12 +92,18 @@ class WordEncoder:
             if collects:
                 gc.enable()
 
+    def _forget(self) -> None:
+        """Drop the older half of the words."""
+        kept = list(self.known.items())[len(self.known) // 2 :]
+        self.known = {"": b"", **dict(kept)}
+        self.bytes = sum(ENTRY + len(w) + len(ids) for w, ids in kept)
+
     def _ids_of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = set().union(*split)
+        if self.bytes > REMEMBERED:
+            self._forget()
+            new = set().union(*split).difference(self.known)
         known, passing = self.known, {}
         parts = {w: _core(w) for w in new if w}
         wanted = {c for pair in parts.values() for c in pair}.difference(known)
@@ -98,6 +115,7 @@ class WordEncoder:
         for word, (core, sign) in parts.items():
             ids = passing[core] if core in passing else known[core]
             (known if len(word) <= LONGEST else passing)[word] = ids + known[sign]
+        self.bytes += sum(ENTRY + len(w) + len(known[w]) for w in {*parts, *wanted} if w in known)
         known.update(passing)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in passing:
@@ -105,7 +123,8 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder; it stays over tasks."""
+    """The worker's encoder; it stays over tasks. What other operators left in the worker goes."""
+    forget_states()
     return WordEncoder(path)

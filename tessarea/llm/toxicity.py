@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut_lineage, prepare, texts_of
+from .common import crc_of_id, cut_lineage, prepare, texts_of, worker_state
 
 # Rows of the training sample: the bound on what the driver sees.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
@@ -295,7 +295,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.text or "" for r in rows], np.array([toxic[r.doc_id] for r in rows], bool)
 
 
-_STATE: dict[str, object] = {}
+_STATE = worker_state("toxicity")
 
 
 def scorer(model: Model):
