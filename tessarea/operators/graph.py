@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import LambertConic
 from ..session import cut_lineage
 
+# Side of the cells in which near points are looked for, as a multiple of the distance.
+CELL = 64
 # A point shared by more areas than this is treated apart. In a proper polygon
 # coverage only a handful of areas meet at one point.
 HOT_POINT = 256
@@ -54,9 +56,14 @@ def contiguity(
     """Directed neighbour pairs ``by..., src, dst`` (both directions).
 
     Rook (the default) asks for at least two shared boundary points, queen for
-    one. Points are compared after rounding to multiples of ``snap``, so shared
-    boundaries must carry the same coordinates in both areas. ``by`` (e.g. the
-    level) keeps several layers apart in one job.
+    one. Two points are shared if they are at most ``snap`` apart; under rook each
+    area must have two points with a partner in the other. ``by`` (e.g. the level)
+    keeps several layers apart in one job.
+
+    Equal points meet by an equi-join. Points that differ, but by no more than
+    ``snap``, are looked for among the distinct points by cells: each goes to the
+    cells within reach, then distances are compared. Where there are such points,
+    the pairs of areas that meet there are counted again with both kinds.
 
     Points shared by many areas are kept out of the vertex self-join under rook,
     as nearly all pairs it would emit there are no neighbours. They are met by
@@ -70,20 +77,68 @@ def contiguity(
     point = [*by, "_px", "_py"]
     members = (
         layer.select(F.col(key).alias("_area"), *by, F.explode(F.flatten("rings")).alias("_p"))
-        .select(
-            "_area",
-            *by,
-            F.rint(F.col("_p.x") / snap).cast("bigint").alias("_px"),
-            F.rint(F.col("_p.y") / snap).cast("bigint").alias("_py"),
-        )
+        # Adding zero makes one of both zeros.
+        .select("_area", *by, (F.col("_p.x") + F.lit(0.0)).alias("_px"), (F.col("_p.y") + F.lit(0.0)).alias("_py"))
         .distinct()
     )
+    members = cut_lineage(members, "vertices")
+    near = cut_lineage(_near_points(members, by, snap), "near-points")
+    exact = _queen(members, by) if queen else _rook(members, by, hot_point)
+    if not near.isEmpty():
+        exact = exact.unionByName(_near_pairs(members, near, by, queen)).distinct()
+    return _both_ways(exact, by)
+
+
+def _near_points(members: DataFrame, by: Sequence[str], snap: float) -> DataFrame:
+    """Ordered pairs ``by..., _px, _py, _qx, _qy`` of different points at most ``snap`` apart."""
+    cell = F.lit(snap * CELL)
+    points = members.select(*by, "_px", "_py").distinct()
+
+    def reached(c: str):
+        low, high = F.floor((F.col(c) - snap) / cell), F.floor((F.col(c) + snap) / cell)
+        return F.explode(F.sequence(low, high))
+
+    # A point is sought in its own cell and offered in all cells within reach: each pair once.
+    sought = points.withColumns({"_cx": F.floor(F.col("_px") / cell), "_cy": F.floor(F.col("_py") / cell)})
+    offered = points.select(*by, F.col("_px").alias("_qx"), F.col("_py").alias("_qy"))
+    offered = offered.withColumn("_cx", reached("_qx")).withColumn("_cy", reached("_qy"))
+    dx, dy = F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")
+    square = dx * dx + dy * dy
+    return (
+        sought.join(offered, [*by, "_cx", "_cy"])
+        .where((square <= snap * snap) & (square > 0))
+        .select(*by, "_px", "_py", "_qx", "_qy")
+    )
+
+
+def _near_pairs(members: DataFrame, near: DataFrame, by: Sequence[str], queen: bool) -> DataFrame:
+    """Pairs ``by..., a, b`` of neighbours among the areas that have near points of each other."""
+    own = members.select(*by, F.col("_area").alias("a"), "_px", "_py")
+    other = members.select(*by, F.col("_area").alias("b"), F.col("_px").alias("_qx"), F.col("_py").alias("_qy"))
+    met = own.join(near, [*by, "_px", "_py"]).join(other, [*by, "_qx", "_qy"]).where("a <> b")
+    met = cut_lineage(met.select(*by, "a", "b", "_px", "_py").distinct(), "near-pairs")
+    pairs = met.select(*by, "a", "b").distinct()
     if queen:
-        # Every pair that meets at a point is a result; repeats collapse map-side.
-        undirected = _pairs(members, point).select(*by, "a", "b").distinct()
-        return _both_ways(undirected, by)
+        return pairs.where("a < b")
+    # The equal points that these areas share as well.
+    equal = (
+        pairs.join(own, [*by, "a"])
+        .join(other.withColumnsRenamed({"_qx": "_px", "_qy": "_py"}), [*by, "b", "_px", "_py"])
+        .select(*by, "a", "b", "_px", "_py")
+    )
+    counts = met.unionByName(equal).distinct().groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    enough = counts.where("_n >= 2").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return enough.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
 
-    members = cut_lineage(members, "vertices")
+
+def _queen(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every pair that meets at a point is a result; repeats collapse map-side."""
+    return _pairs(members, [*by, "_px", "_py"]).select(*by, "a", "b").distinct()
+
+
+def _rook(members: DataFrame, by: Sequence[str], hot_point: int) -> DataFrame:
+    """Pairs that agree on two points at least."""
+    point = [*by, "_px", "_py"]
     crowds = members.groupBy(*point).agg(F.count(F.lit(1)).alias("_n"))
     hot = cut_lineage(crowds.where(F.col("_n") > hot_point).select(*point), "hot-points")
     shared = (
@@ -114,8 +169,7 @@ def contiguity(
         .where(F.arrays_overlap("_pa", "_pb"))
         .select(*by, "a", "b")
     )
-    undirected = plain.unionByName(both_hot).unionByName(one_each).distinct()
-    return _both_ways(undirected, by)
+    return plain.unionByName(both_hot).unionByName(one_each).distinct()
 
 
 def _both_ways(undirected: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def write_fit(fit: DataFrame, path: str) -> None:
-    """Write a fit with ``level`` and ``variant`` as partition folders.
+    """Write fits with ``level`` and ``variant`` as partition folders.
+
+    Only the levels and variants in ``fit`` are replaced; others at the path stay, so
+    fits can be saved one by one.
 
     One level or variant may hold most rows: no shuffle gathers a partition into
     one task, every task writes its own files.
     """
-    fit.write.mode("overwrite").partitionBy("level", "variant").parquet(path)
+    fit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "variant").parquet(path)
 
 
 def read_fit(spark: SparkSession, path: str, level: str, variant: str) -> DataFrame:

@@ -255,3 +255,27 @@ def test_many_graphs_in_one_job(spark, rows, measured):
         assert got["all"] == pytest.approx(tuple(op(values, graph).first()), nan_ok=True)
         alone = op(half, graph).first()
         assert [v for v in got["half"]] == [pytest.approx(v) if v is not None else None for v in alone]
+
+
+@pytest.mark.parametrize("queen", [False, True])
+def test_points_meet_by_distance(spark, rows, queen):
+    """Jitter below the distance, across cell borders too, against all pairs of points."""
+    rng = np.random.default_rng(5)
+    snap = 1e-6
+    shapes = {}
+    for r in range(5):
+        for c in range(5):
+            corners = [(c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1), (c, r)]
+            shapes[5 * r + c] = [(x + rng.uniform(-0.7, 0.7) * snap, y + rng.uniform(-0.7, 0.7) * snap) for x, y in corners]
+    shapes[90] = [(9.0, 9.0), (9.0 + 0.6e-6, 9.0), (9.5, 9.5)]  # two points near one of the next area
+    shapes[91] = [(9.0 + 0.3e-6, 9.0), (8.0, 8.0), (8.0, 9.0)]
+    layer = spark.createDataFrame([(k, [p]) for k, p in shapes.items()], "k long, rings array<array<struct<x:double,y:double>>>")
+
+    def partners(a, b):
+        return sum(any((x - u) ** 2 + (y - v) ** 2 <= snap**2 for u, v in shapes[b]) for x, y in set(shapes[a]))
+
+    need = 1 if queen else 2
+    want = [(a, b) for a in shapes for b in shapes if a != b and min(partners(a, b), partners(b, a)) >= need]
+    assert rows(g.contiguity(layer, "k", queen=queen, snap=snap)) == sorted(want)
+    border = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0), (3e-9, 1.0)]]), (2, [[(-3e-9, 0.0), (1.0, 0.0), (0.5, -1.0)]])], layer.schema)
+    assert rows(g.contiguity(border, "k")) == [(1, 2), (2, 1)]

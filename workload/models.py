@@ -12,7 +12,7 @@ from tessarea.operators import model as mo
 from tessarea.operators import smoothing as sm
 from tessarea.operators.graph import drop_islands
 from tessarea.operators.smoothing import TOL
-from tessarea.plans.levels import MEDIAN_VARIANCES, Study, run_study
+from tessarea.plans.levels import MEDIAN_VARIANCES, Study, run_study, study_frames
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import read_fit, read_table, write_fit, write_text_table
 
@@ -246,6 +246,25 @@ def fit_roundtrip(t: Tables):
     return read_fit(t.spark, path, "Mesh", "wc").select("level", "variant", "MB_CODE16", "fitted")
 
 
+_SAVED = [(level, variant) for level, variant, *_ in MEDIAN_VARIANCES]
+
+
+@query(
+    "fits_one_by_one",
+    "SELECT level, variant, area, " + r("observed * CASE WHEN level = 'SA2' AND variant = 'nc' THEN 2 ELSE 1 END") + " AS fitted FROM t_frames",
+)
+def fits_one_by_one(t: Tables):
+    """The tables of all ten models saved one after the other, one of them again, all read back."""
+    path = scratch_path(t.spark, "fits")
+    frames = cut_lineage(study_frames(t, t.sa2), "frames").select("level", "variant", "area", F.col("observed").alias("fitted"))
+    for level, variant in _SAVED:
+        write_fit(frames.where((F.col("level") == level) & (F.col("variant") == variant)), path)
+    again = frames.where("level = 'SA2' AND variant = 'nc'").withColumn("fitted", 2 * F.col("fitted"))
+    write_fit(again, path)
+    parts = [read_fit(t.spark, path, level, variant) for level, variant in _SAVED]
+    return reduce(DataFrame.unionByName, parts).select("level", "variant", "area", "fitted")
+
+
 @query(
     "text_roundtrip",
     f"""SELECT sa2, sa2_name, sex, site10group, {r('"count"')} AS "count", {r("expect")} AS expect FROM t_cases""",
