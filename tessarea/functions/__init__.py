@@ -11,5 +11,5 @@ from .columns import (  # noqa: F401
     round_half_even,
     zero_replaced,
 )
-from .geodesy import GDA94_AUSTRALIA_LAMBERT, LambertConic  # noqa: F401
+from .geodesy import GDA94_AUSTRALIA_LAMBERT, LambertConic, morton  # noqa: F401
 from .normal import normal_upper_tail  # noqa: F401

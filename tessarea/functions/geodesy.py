@@ -71,3 +71,27 @@ GDA94_AUSTRALIA_LAMBERT = LambertConic(
     origin_latitude=0.0,
     central_meridian=134.0,
 )
+
+
+# Halving masks that move the bits of a 32-bit number to every second place.
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def morton(x: Column, y: Column, x0: float | None, y0: float | None, x1: float | None, y1: float | None) -> Column:
+    """Place of a point on a Z-order curve over the given extent, a non-negative BIGINT.
+
+    31 bits per axis; points outside the extent count as on its edge. NULL if a
+    coordinate or the extent is missing.
+    """
+
+    def bits(value: Column, lo: float | None, hi: float | None) -> Column:
+        if lo is None or hi is None:
+            return F.lit(None).cast("bigint")
+        width = (hi - lo) or 1.0
+        part = F.least(F.greatest((value - lo) / width, F.lit(0.0)), F.lit(1.0))
+        cell = F.when(value.isNotNull(), F.floor(part * (2**31 - 1)).cast("bigint"))
+        for shift, mask in _SPREAD:
+            cell = cell.bitwiseOR(F.shiftleft(cell, shift)).bitwiseAND(F.lit(mask))
+        return cell
+
+    return bits(x, x0, x1).bitwiseOR(F.shiftleft(bits(y, y0, y1), 1))

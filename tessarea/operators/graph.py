@@ -30,6 +30,10 @@ def project_lcc(points: DataFrame, projection: LambertConic, lon: str = "x", lat
     return points.withColumns({"easting": easting, "northing": northing})
 
 
+# Fields of a stored envelope, the struct column ``bbox``.
+BBOX = ("xmin", "ymin", "xmax", "ymax")
+
+
 def envelope(rings: str = "rings") -> tuple[Column, Column, Column, Column]:
     """``xmin, ymin, xmax, ymax`` of a polygon column, without explode or shuffle."""
     points = F.flatten(rings)

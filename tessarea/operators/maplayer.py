@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import censored
-from .graph import envelope
+from .graph import BBOX, envelope
 
 
 def with_geometry(stats: DataFrame, layer: DataFrame, key: str) -> DataFrame:
@@ -24,8 +24,13 @@ def censor(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
 def bbox_filter(
     layer: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float
 ) -> DataFrame:
-    """Areas whose envelope overlaps the box. Touching counts as overlap."""
-    left, bottom, right, top = envelope()
+    """Areas whose envelope overlaps the box. Touching counts as overlap.
+
+    A stored envelope (column ``bbox``) is used where the layer has one: the filter
+    then reaches the scan, and row groups outside the box are not read.
+    """
+    stored = "bbox" in layer.columns
+    left, bottom, right, top = [F.col(f"bbox.{c}") for c in BBOX] if stored else envelope()
     return layer.where(
         (right >= xmin) & (left <= xmax) & (top >= ymin) & (bottom <= ymax)
     )

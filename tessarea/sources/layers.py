@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from ..functions import morton
+from ..operators.graph import BBOX, envelope
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -46,15 +49,24 @@ def read_layer(
     return features.select("properties.*", rings.alias("rings"))
 
 
-def write_layer(layer: DataFrame, path: str) -> None:
-    """Write a layer as Parquet (``*.parquet``) or as line-delimited GeoJSON features."""
+def write_layer(layer: DataFrame, path: str, by_place: bool = False, group_rows: int | None = None) -> None:
+    """Write a layer as Parquet (``*.parquet``) or as line-delimited GeoJSON features.
+
+    ``by_place`` lays Parquet out for windows of the map: areas are in the order of a
+    space-filling curve through the centres of their envelopes, and the envelope is
+    stored in the column ``bbox``, whose statistics let a scan skip row groups.
+    ``group_rows`` is the most areas of a row group; the default leaves it to size.
+    """
     if path.rstrip("/").endswith(".parquet"):
-        layer.write.mode("overwrite").parquet(path)
+        writer = (along_curve(layer) if by_place else layer).write.mode("overwrite")
+        if group_rows:
+            writer = writer.option("parquet.block.row.count.limit", group_rows)
+        writer.parquet(path)
         return
     coordinates = F.array(
         F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
     )
-    names = [c for c in layer.columns if c != "rings"]
+    names = [c for c in layer.columns if c not in ("rings", "bbox")]
     layer.select(
         F.lit("Feature").alias("type"),
         F.struct(*names).alias("properties"),
@@ -64,6 +76,31 @@ def write_layer(layer: DataFrame, path: str) -> None:
     ).write.mode("overwrite").json(path)
 
 
+def along_curve(layer: DataFrame) -> DataFrame:
+    """The layer with ``bbox``, in ranges of a Z-order curve over its extent.
+
+    The extent is one aggregated row. Areas at one place are told apart by a hash of
+    their attributes, so that many of them do not make one range. Areas without a
+    finite point have no place on the curve and come first.
+    """
+    xmin, ymin, xmax, ymax = envelope()
+    corners = F.struct(*[c.alias(n) for c, n in zip((xmin, ymin, xmax, ymax), BBOX)])
+    boxed = layer.drop("bbox").withColumn("bbox", corners)
+    x, y = ((F.col("bbox")[lo] + F.col("bbox")[hi]) / 2 for lo, hi in (("xmin", "xmax"), ("ymin", "ymax")))
+
+    def finite(c: Column) -> Column:
+        return F.when(F.abs(c) < float("inf"), c)
+
+    extent = boxed.agg(
+        *[f(finite(c)).alias(n) for n, f, c in (("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))]
+    ).first()
+    place = morton(finite(x), finite(y), extent.x0, extent.y0, extent.x1, extent.y1)
+    names = [f"`{c}`" for c in boxed.columns if c not in ("rings", "bbox")]
+    tie = F.xxhash64(*names, "bbox")
+    placed = boxed.withColumns({"_place": place, "_tie": tie})
+    return placed.repartitionByRange("_place", "_tie").sortWithinPartitions("_place", "_tie").drop("_place", "_tie")
+
+
 def attributes(layer: DataFrame) -> DataFrame:
     """The layer without geometry; on Parquet the ring column is never read."""
-    return layer.drop("rings")
+    return layer.drop("rings", "bbox")

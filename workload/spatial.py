@@ -426,6 +426,31 @@ def bbox_filter(t: Tables):
     return ml.bbox_filter(t.mesh_layer, *BOX).select("MB_CODE16")
 
 
+# Windows over the grid of the mesh layer, which is fifty units wide.
+WINDOWS = {"west": (0.0, 0.0, 4.0, 3.0), "middle": BOX, "point": (7.0, 2.0, 7.0, 2.0), "outside": (900.0, 900.0, 901.0, 901.0)}
+
+
+def _windows_sql() -> str:
+    parts = []
+    for name, (x0, y0, x1, y1) in WINDOWS.items():
+        inside = f"xmax >= {x0} AND xmin <= {x1} AND ymax >= {y0} AND ymin <= {y1}"
+        parts.append(f"SELECT '{name}' AS box, area AS MB_CODE16, {r('xmin')} AS xmin, {r('ymin')} AS ymin FROM ({_ENVELOPE}) e WHERE {inside}")
+    return " UNION ALL ".join(parts)
+
+
+@query("bbox_windows", _windows_sql())
+def bbox_windows(t: Tables):
+    """Windows of the stored layer, whose row groups follow a space-filling curve."""
+    path = f"{scratch_path(t.spark, 'layer')}.parquet"
+    write_layer(t.mesh_layer, path, by_place=True)
+    layer = read_layer(t.spark, path)
+    parts = [
+        ml.bbox_filter(layer, *box).select(F.lit(name).alias("box"), "MB_CODE16", "bbox.xmin", "bbox.ymin")
+        for name, box in WINDOWS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "censor_scale",
     f"""SELECT MB_CODE16, {r('CASE WHEN "count" BETWEEN 0 AND 2 THEN "count" END')} AS "count" FROM t_mesh_counts""",
