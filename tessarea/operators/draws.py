@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
@@ -16,6 +18,8 @@ KEYS = ("level", "variant", "param", "idx")
 BAND = 300.0
 # The band of draws under which the observed count is impossible.
 LOWEST_BAND = -(10**12)
+# Above the number of any cell of a positive double, so that cells of both signs sort by value.
+CELL_ZERO = 10**12
 # Reported quantiles, with their column names.
 SUMMARY = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
 
@@ -40,6 +44,64 @@ def posterior_summary(draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     )
 
 
+def summary_state(draws: DataFrame, keys: Sequence[str] = KEYS, relative: float = 1e-3) -> DataFrame:
+    """What a summary needs of a chain: counts and moments per cell of values.
+
+    ``keys..., cell, n, mean, var``. Any two values of a cell differ at most by the factor
+    ``1 + relative``, and cells are numbered in the order of their values; their number
+    depends on the range of the values, not on the number of draws. Draws that are
+    missing or infinite do not count.
+    """
+    value = F.col("value").cast("double")
+    rank = F.ceil(F.ln(F.abs(value)) / math.log1p(relative)).cast("bigint") + CELL_ZERO
+    cell = F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * rank).cast("bigint")
+    known = draws.where(F.abs(value) < float("inf"))
+    return known.groupBy(*keys, cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")
+    )
+
+
+def merge_summaries(states: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """One state of several chains' states, all made with the same ``relative``."""
+    return _merged(states, [*keys, "cell"], [])
+
+
+def summary_of(state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``n_draws, mean, sd, naive_se`` and five quantiles from a merged state.
+
+    Moments are those of all draws. A quantile is the mean of the cell that holds the
+    draw of rank ``floor(p * (n - 1)) + 1``, so within ``relative`` of that draw.
+    """
+    keys = list(keys)
+    all_cells = Window.partitionBy(*keys)
+    n, mean = F.col("n"), F.col("mean")
+    # A window over cells, whose number the range of the values bounds.
+    ranked = state.withColumns(
+        {
+            "_upto": F.sum(n).over(all_cells.orderBy("cell")),
+            "_all": F.sum(n).over(all_cells),
+            "_mean": F.sum(n * mean).over(all_cells) / F.sum(n).over(all_cells),
+        }
+    )
+
+    def at(p: float) -> Column:
+        reached = F.col("_upto") >= F.floor(F.lit(p) * (F.col("_all") - 1)) + 1
+        return F.min(F.when(reached, F.struct("cell", "mean")))["mean"]
+
+    spread = F.sum(n * (F.col("var") + F.pow(mean - F.col("_mean"), F.lit(2))))
+    return (
+        ranked.groupBy(*keys)
+        .agg(
+            F.sum(n).alias("n_draws"),
+            F.first("_mean").alias("mean"),
+            F.sqrt(ratio(spread, F.sum(n) - 1)).alias("sd"),
+            *[at(p).alias(name) for name, p in SUMMARY.items()],
+        )
+        .withColumn("naive_se", F.col("sd") / F.sqrt("n_draws"))
+        .select(*keys, "n_draws", "mean", "sd", "naive_se", *SUMMARY)
+    )
+
+
 def mixing(draws: DataFrame, batches: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """Batch-means diagnostics per parameter: ``n_draws, n_batches, mcse, ess, geweke_z``.
 
@@ -133,19 +195,13 @@ def density_bins(draws: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFr
     )
 
 
-def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """DIC, WAIC and LMPL per model from ``by..., key, iter, fitted``.
+def criteria_state(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """What :func:`fit_criteria` needs of a chain: sums per area and band of log density.
 
-    Every area's draws are reduced to a few sums before the areas are added up.
-    Log densities are shifted by the density at the area's own observed count and
-    summed as exponentials per band of ``BAND`` log units, relative to the band;
-    the few bands of an area are put together last. So neither a poor draw nor a
-    large count can overflow or vanish. A draw of zero is certain where nothing was
-    observed and impossible elsewhere; one impossible draw makes DIC and WAIC
-    infinite and the LMPL minus infinity.
+    ``by..., key, observed, band, n, mu, mean, var, up, down``. A chain is read once;
+    states of several chains are put together by :func:`merge_criteria` without the draws.
     """
     by = list(by)
-    area = [*by, key, "observed"]
     mu, o = F.col("fitted"), F.col("observed")
     # Shifted log density: log p(o | mu) - log p(o | o), never above zero.
     at_peak = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0)
@@ -153,9 +209,9 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
     impossible = F.lit(float("-inf"))
     density = F.when(o == 0, -mu).when(mu > 0, o * F.ln(mu) - mu - at_peak).otherwise(impossible)
     band = F.when(F.col("_l") == impossible, F.lit(LOWEST_BAND)).otherwise(F.floor(F.col("_l") / BAND))
-    shifted = draws.withColumn("_l", density).withColumn("_band", band)
-    inside = F.col("_l") - F.col("_band") * BAND
-    bands = shifted.groupBy(*area, "_band").agg(
+    shifted = draws.withColumn("_l", density).withColumn("band", band)
+    inside = F.col("_l") - F.col("band") * BAND
+    return shifted.groupBy(*by, key, "observed", "band").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(mu).alias("mu"),
         F.avg("_l").alias("mean"),
@@ -163,13 +219,57 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
         F.sum(F.exp(inside)).alias("up"),
         F.sum(F.exp(-inside)).alias("down"),
     )
-    packed = bands.groupBy(*area).agg(
+
+
+def _merged(states: Sequence[DataFrame], keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """States under each other, rows of one key put together: ``n, mean, var`` and sums."""
+    n, mean = F.col("n"), F.col("mean")
+    rows = reduce(DataFrame.unionByName, states).groupBy(*keys).agg(
+        F.sum(n).alias("_n"),
+        (F.sum(n * mean) / F.sum(n)).alias("_mean"),
+        F.collect_list(F.struct("n", "mean", "var")).alias("_parts"),  # one per state
+        *[F.sum(c).alias(c) for c in sums],
+    )
+    spread = F.aggregate(
+        "_parts", F.lit(0.0), lambda acc, p: acc + p["n"] * (p["var"] + F.pow(p["mean"] - F.col("_mean"), F.lit(2)))
+    )
+    return rows.select(
+        *keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), (spread / F.col("_n")).alias("var"), *sums
+    )
+
+
+def merge_criteria(states: Sequence[DataFrame], key: str, by: Sequence[str] = ()) -> DataFrame:
+    """One state of several chains' states, all of the same frame."""
+    return _merged(states, [*by, key, "observed", "band"], ["mu", "up", "down"])
+
+
+def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """DIC, WAIC and LMPL per model from ``by..., key, iter, fitted``.
+
+    Every area's draws are reduced to a few sums before the areas are added up.
+    Log densities are shifted by the density at the area's own observed count and
+    summed as exponentials per band of ``BAND`` log units, relative to the band;
+    the few bands of an area are put together last. So neither a poor draw nor a
+    large count can overflow or vanish. A draw of zero is certain where nothing was
+    observed and impossible elsewhere; one impossible draw makes DIC and WAIC
+    infinite and the LMPL minus infinity.
+    """
+    return criteria_of(criteria_state(draw_fits, frame, key, by), key, by)
+
+
+def criteria_of(state: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """DIC, WAIC and LMPL per model from a state of one chain or of several."""
+    by = list(by)
+    area = [*by, key, "observed"]
+    o = F.col("observed")
+    impossible = F.lit(float("-inf"))
+    packed = state.groupBy(*area).agg(
         F.sum("n").alias("_n"),
         F.sum("mu").alias("_mu"),
         F.sum(F.col("n") * F.col("mean")).alias("_sum"),
-        F.max("_band").alias("_top"),
-        F.min("_band").alias("_low"),
-        F.collect_list(F.struct("_band", "n", "mean", "var", "up", "down")).alias("_bands"),
+        F.max("band").alias("_top"),
+        F.min("band").alias("_low"),
+        F.collect_list(F.struct("band", "n", "mean", "var", "up", "down")).alias("_bands"),
     )
 
     def total(term: Callable[[Column], Column]) -> Column:
@@ -188,11 +288,11 @@ def fit_criteria(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequence[
         )
         .alias("_var"),
         (
-            F.ln(total(lambda b: b["up"] * F.exp((b["_band"] - F.col("_top")) * BAND)) / n)
+            F.ln(total(lambda b: b["up"] * F.exp((b["band"] - F.col("_top")) * BAND)) / n)
             + F.col("_top") * BAND
         ).alias("_lppd"),
         (
-            F.ln(total(lambda b: b["down"] * F.exp((F.col("_low") - b["_band"]) * BAND)) / n)
+            F.ln(total(lambda b: b["down"] * F.exp((F.col("_low") - b["band"]) * BAND)) / n)
             - F.col("_low") * BAND
         ).alias("_inverse"),
     )

@@ -8,7 +8,7 @@ otherwise a hot parent is split by adaptive skew handling.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,28 @@ def roll_up(
     )
 
 
+def level_totals(members: DataFrame, levels: Mapping[str, str], measures: Iterable[str]) -> DataFrame:
+    """Totals of every level of a hierarchy from one scan: ``level, area`` and the measures.
+
+    ``levels`` maps the name of a level to its area column. Each row meets every level
+    before the map-side combine, so a large area shuffles one row per task and level.
+    Members without a code at a level are that level's NULL area.
+    """
+    names = list(levels)
+    keys = [levels[name] for name in names]
+    totals = members.groupingSets([[key] for key in keys], *keys).agg(
+        F.grouping_id().alias("_set"), *[F.sum(m).alias(m) for m in measures]
+    )
+    # In a grouping set's number the bit of every column but its own is one.
+    everything = 2 ** len(keys) - 1
+    level, area = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for place, (name, key) in enumerate(zip(names, keys)):
+        here = F.col("_set") == everything - 2 ** (len(keys) - 1 - place)
+        level = F.when(here, F.lit(name)).otherwise(level)
+        area = F.when(here, F.col(key).cast("bigint")).otherwise(area)
+    return totals.select(level.alias("level"), area.alias("area"), *measures)
+
+
 def apportion_down(
     shares: DataFrame, cases: DataFrame, on: Sequence[str], share: str, measures: dict[str, str]
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from tessarea.operators.model import sir
 from tessarea.plans import levels as lv
 from tessarea.session import cut_lineage
 
-from .oracle import weighted_sql
+from .oracle import LEVEL_KEYS, weighted_sql
 from .registry import query, r
 from .tables import Tables
 
@@ -384,3 +384,23 @@ def study_frames(t: Tables):
 def complete_scores(t: Tables):
     scored = lv.level_scores(t, "Mesh").join(t.scored_blocks, "MB_CODE16", "left_semi")
     return scored.where(is_present(F.col("score")))
+
+
+def _level_totals_sql() -> str:
+    """One query per level, under each other."""
+    members = """SELECT p.*, c."count", c.expect FROM t_people p JOIN t_mesh_counts c USING (MB_CODE16)"""
+    parts = [
+        f"""SELECT '{level}' AS level, CAST({key} AS BIGINT) AS area, CAST(sum(mesh_population) AS BIGINT) AS population,
+  {r('sum("count")')} AS "count", {r("sum(expect)")} AS expect FROM members GROUP BY {key}"""
+        for level, key in LEVEL_KEYS.values()
+    ]
+    return f"WITH members AS MATERIALIZED ({members}) " + " UNION ALL ".join(parts)
+
+
+@query("level_totals", _level_totals_sql())
+def level_totals(t: Tables):
+    """Population, counts and expected counts of all five levels from one pass over the blocks."""
+    names = {"sa2_count": "count", "sa2_expect": "expect"}
+    split = hi.apportion_down(lv.mesh_shares(t), t.sa2, ["SA2_MAIN16", "SA2_NAME16"], "mesh_proportion", names)
+    known = fr.drop_missing(split, ["count", "expect"]).withColumnRenamed("mesh_population", "population")
+    return hi.level_totals(known, lv.AREA_KEYS, ["population", "count", "expect"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -346,21 +347,53 @@ def density_bins(t: Tables):
     return dr.density_bins(t.draws, BINS)
 
 
-@query(
-    "fit_criteria",
-    f"""WITH a AS (SELECT MB_CODE16, observed AS o, avg(ll) AS mean_ll, var_samp(ll) AS var_ll, ln(avg(exp(ll))) AS lppd,
+CRITERIA_SQL = f"""WITH a AS (SELECT MB_CODE16, observed AS o, avg(ll) AS mean_ll, var_samp(ll) AS var_ll, ln(avg(exp(ll))) AS lppd,
         ln(avg(exp(-ll))) AS inv, avg(fitted) AS mu
    FROM (SELECT MB_CODE16, observed, fitted, observed * ln(fitted) - fitted - lgamma(observed + 1) AS ll
          FROM t_draw_fits JOIN t_mesh_frame USING (MB_CODE16)) x GROUP BY MB_CODE16, observed),
 s AS (SELECT -2 * sum(mean_ll) AS dbar, -2 * sum(o * ln(mu) - mu - lgamma(o + 1)) AS dhat, sum(lppd) AS lppd,
         sum(var_ll) AS p_waic, -sum(inv) AS lmpl FROM a)
 SELECT {r("2 * dbar - dhat")} AS dic, {r("dbar - dhat")} AS p_dic, {r("-2 * (lppd - p_waic)")} AS waic, {r("p_waic")} AS p_waic,
-  {r("lmpl")} AS lmpl FROM s""",
-)
+  {r("lmpl")} AS lmpl FROM s"""
+
+
+@query("fit_criteria", CRITERIA_SQL)
 def fit_criteria(t: Tables):
     return dr.fit_criteria(t.draw_fits, t.stored_frame, "MB_CODE16")
 
 
+@query("chain_criteria", CRITERIA_SQL)
+def chain_criteria(t: Tables):
+    """The same from three chains' stored states, the draws of none read twice."""
+    chains = [t.draw_fits.where(F.col("iter") % 3 == k) for k in range(3)]
+    states = [cut_lineage(dr.criteria_state(c, t.stored_frame, "MB_CODE16"), "state") for c in chains]
+    return dr.criteria_of(dr.merge_criteria(states, "MB_CODE16"), "MB_CODE16")
+
+
+RELATIVE = 1e-3
+_CELL = f"""CASE WHEN value = 0 THEN 0 ELSE CAST(sign(value) AS BIGINT) *
+  (CAST(ceil(ln(abs(value)) / {math.log1p(RELATIVE)!r}::DOUBLE) AS BIGINT) + {dr.CELL_ZERO}) END"""
+
+
+def _cells_sql() -> str:
+    cuts = ", ".join(
+        f"{r(f'min(struct_pack(c := cell, m := mean)) FILTER (WHERE upto >= floor({p}::DOUBLE * (n_all - 1)) + 1).m')} AS {name}"
+        for name, p in dr.SUMMARY.items()
+    )
+    return f"""WITH cells AS (SELECT {_KEYS}, {_CELL} AS cell, count(*) AS n, avg(value) AS mean FROM t_draws WHERE value IS NOT NULL GROUP BY {_KEYS}, cell),
+w AS (SELECT *, sum(n) OVER (PARTITION BY {_KEYS} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {_KEYS}) AS n_all FROM cells),
+q AS (SELECT {_KEYS}, {cuts} FROM w GROUP BY {_KEYS})
+SELECT q.*, n_draws, {r("mean")} AS mean, {r("sd")} AS sd, {r("sd / sqrt(n_draws)")} AS naive_se
+FROM q JOIN (SELECT {_KEYS}, count(value) AS n_draws, avg(value) AS mean, stddev_samp(value) AS sd FROM t_draws GROUP BY {_KEYS}) m USING ({_KEYS})"""
+
+
+@query("chain_summary", _cells_sql())
+def chain_summary(t: Tables):
+    """Two chains, the second merged into the stored state of the first."""
+    states = [cut_lineage(dr.summary_state(t.draws.where(F.col("iter") % 2 == k)), "state") for k in (0, 1)]
+    return dr.summary_of(dr.merge_summaries(states))
+
+
 @query(
     "interval_table",
     f"""SELECT level, parameter, {r("m")} AS median, {r("lo")} AS lower, {r("hi")} AS upper, lo <= m AND m <= hi AS consistent

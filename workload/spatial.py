@@ -515,6 +515,39 @@ def key_audit(t: Tables):
     return ml.key_audit(t.mesh.where("STE_CODE16 = '3'"), t.partial_fit, "MB_CODE16")
 
 
+AUDIT_BUCKETS = 256
+
+
+def digests(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> list[DataFrame]:
+    """Digests as they would be stored with each release."""
+    return [stored(ml.release_digest(df, key, columns, AUDIT_BUCKETS), "digest") for df in (a, b)]
+
+
+@query("release_audit", """SELECT count(*) FILTER (WHERE b IS NULL) AS n_left_only, count(*) FILTER (WHERE a IS NULL) AS n_right_only,
+       count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both
+FROM (SELECT MB_CODE16 AS a FROM t_mesh WHERE STE_CODE16 = '3') x FULL JOIN (SELECT MB_CODE16 AS b FROM t_part) y ON a = b""")
+def release_audit(t: Tables):
+    """The audit of ``key_audit``, by digests of key buckets."""
+    one, other = t.mesh.where("STE_CODE16 = '3'"), stored(t.partial_fit, "release")
+    return ml.release_audit(one, other, *digests(one, other, "MB_CODE16", []), "MB_CODE16", AUDIT_BUCKETS)
+
+
+@query(
+    "release_changes",
+    """SELECT MB_CODE16, CASE WHEN SA2_MAIN16 = 3 THEN 'removed' WHEN SA2_MAIN16 = 7 THEN 'changed' END AS change
+FROM t_mesh WHERE SA2_MAIN16 IN (3, 7)
+UNION ALL SELECT -MB_CODE16, 'added' FROM t_mesh WHERE SA2_MAIN16 = 11""",
+)
+def release_changes(t: Tables):
+    """A release without one area, with another area renamed, and with new codes."""
+    columns = ["SA1_MAIN16", "SA2_MAIN16", "SA2_NAME16"]
+    old = t.mesh.select("MB_CODE16", *columns)
+    renamed = F.when(F.col("SA2_MAIN16") == 7, F.concat("SA2_NAME16", F.lit(" (new)"))).otherwise(F.col("SA2_NAME16"))
+    added = old.where("SA2_MAIN16 = 11").withColumn("MB_CODE16", -F.col("MB_CODE16"))
+    new = old.where("SA2_MAIN16 <> 3").withColumn("SA2_NAME16", renamed).unionByName(added)
+    return ml.release_changes(old, new, *digests(old, new, "MB_CODE16", columns), "MB_CODE16", columns, AUDIT_BUCKETS)
+
+
 @query(
     "append_rows",
     f"""SELECT MB_CODE16, {r("fitted")} AS fitted FROM t_part
