@@ -80,7 +80,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")
 
 
-@query("op8_exact_dedup")
+EXACT_SQL = """
+WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM t
+"""
+
+
+@query("op8_exact_dedup", EXACT_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("file", "row")
 
