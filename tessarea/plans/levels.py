@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ratio
+from ..functions import censored, first_present, ratio
 from ..operators.autocorrelation import moran_mc
 from ..operators.concordance import apply_concordance, collapse_strata
 from ..operators.deprivation import mesh_score, quintile, weighted_score
@@ -303,6 +303,34 @@ def sir_map(
     return map_layer(raw, inputs.layers[level], key, "sir", limits, box)
 
 
+def fitted_layers(
+    inputs: StudyInputs,
+    cases: DataFrame,
+    fits: DataFrame,
+    levels: Sequence[str] = LEVELS,
+    variants: Sequence[str] = VARIANTS,
+    uppers: Sequence[float] = (1.6, 2.0),
+) -> DataFrame:
+    """Map tables of fitted ratios for all levels, variants and scales: ``level, variant, upper, area, sir, rings``.
+
+    ``fits`` has ``level, variant, area, fitted, expected``, for instance as read from
+    stored fits. Areas without a fit show their raw ratio; values outside ``[0, upper]`` are missing.
+    Ratios and polygons of all levels meet in one join each; scales are added to the joined row.
+    """
+    counts = _stacked({lv: level_counts(inputs, lv, cases) for lv in levels}, "count", "expect")
+    raw = sir(counts, "count", "expect", "_raw").select("level", "area", "_raw")
+    offered = raw.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
+    keys = ["level", "variant", "area"]
+    ratios = fitted_sir(fits).select(*keys, "fitted_sir")
+    shown = offered.join(ratios, keys, "left").withColumn("sir", first_present(F.col("fitted_sir"), F.col("_raw")))
+    shapes = _stacked({lv: inputs.layers[lv] for lv in levels}, "rings")
+    scales = F.explode(F.array(*[F.lit(float(u)) for u in uppers])).alias("upper")
+    table = shown.join(shapes, ["level", "area"]).select("*", scales)
+    return table.select(
+        "level", "variant", "upper", "area", censored(F.col("sir"), F.lit(0.0), F.col("upper")).alias("sir"), "rings"
+    )
+
+
 def state_only(inputs: StudyInputs, column: str, value: str) -> StudyInputs:
     """Inputs limited to one state, by a filter the layer scans can push down."""
     return replace(

@@ -207,3 +207,38 @@ def test_smoothing_leaves_out_edges_to_absent_areas(spark, grid):
     fits = [mo.bym_map(df, spark.createDataFrame(e, "src long, dst long"), 0.3, 0.05) for e in (edges, more)]
     a, b = ({r.area: r.fitted for r in f.areas.collect()} for f in fits)
     assert a == pytest.approx(b)
+
+
+def test_general_design_against_newton_steps(spark):
+    rng = np.random.default_rng(11)
+    n = 400
+    x, z = rng.normal(size=n), rng.uniform(0.5, 2, n)
+    f, g = rng.integers(9, 12, n), rng.choice(["a", "b"], n)
+    e = rng.uniform(1, 20, n)
+    o = rng.poisson(e * np.exp(0.2 * x - 0.3 * (f == 10) + 0.4 * (f == 11) * x + 0.1 * (g == "b") * (f == 10)))
+    rows = [tuple(map(float, r[:4])) + (int(r[4]), str(r[5])) for r in zip(o, e, x, z, f, g)]
+    rows += [(5.0, 1.0, None, 1.0, 9, "a"), (5.0, 1.0, 1.0, float("nan"), 9, "a"), (5.0, 1.0, 1.0, 1.0, None, "a")]
+    df = spark.createDataFrame(rows, "observed double, expected double, x double, z double, f int, g string")
+    got = {r.term: r.estimate for r in mo.poisson_design(df, ["f", "g"], ["x", "z"], [("f", "x"), ("f", "g"), ("x", "z")]).collect()}
+    columns = {"(Intercept)": np.ones(n), "x": x, "z": z, "gb": g == "b", "x:z": x * z}
+    for q in (10, 11):
+        columns |= {f"f{q}": f == q, f"f{q}:x": (f == q) * x, f"f{q}:gb": (f == q) & (g == "b")}
+    design = np.column_stack([np.asarray(c, float) for c in columns.values()])
+    beta = np.zeros(design.shape[1])
+    for _ in range(60):
+        mu = e * np.exp(design @ beta)
+        beta += np.linalg.solve(design.T @ (design * mu[:, None]), design.T @ (o - mu))
+    assert got == pytest.approx(dict(zip(columns, beta)), abs=1e-6)
+
+
+def test_general_design_bounds_and_edges(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), 1.0, float(i % 7), 1) for i in range(1, 30)], "observed double, expected double, x double, one int")
+    # A factor of one level has no term, and neither has its interaction.
+    terms = {r.term for r in mo.poisson_design(df, ["one"], ["x"], [("one", "x")]).collect()}
+    assert terms == {"(Intercept)", "x"}
+    monkeypatch.setattr(mo, "MOST_COLUMNS", 5)
+    for fit in (lambda: mo.poisson_design(df, ["x"]), lambda: mo.poisson_glm(df, ["x"])):
+        with pytest.raises(ValueError, match="levels"):
+            fit()
+    with pytest.raises(ValueError, match="no covariates"):
+        mo.poisson_design(df, [], ["x"], [("x", "y")])

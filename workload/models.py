@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tessarea.operators import draws as dr
 from tessarea.operators import model as mo
 from tessarea.operators import smoothing as sm
-from tessarea.operators.graph import drop_islands
+from tessarea.operators.graph import drop_islands, envelope
 from tessarea.operators.smoothing import TOL
+from tessarea.plans import levels as lv
 from tessarea.plans.levels import MEDIAN_VARIANCES, Study, run_study, study_frames
 from tessarea.session import cut_lineage, scratch_path
 from tessarea.sources import read_fit, read_table, write_fit, write_text_table
 
+from .oracle import LEVEL_KEYS
 from .registry import query, r
 from .tables import Tables
 
@@ -50,6 +52,38 @@ def poisson_glm(t: Tables):
     return mo.poisson_glm(t.stored_frame, ["quintile"])
 
 
+DESIGN_STEPS = 25
+
+
+def _design_sql() -> str:
+    """With all interactions each class has its own line: Newton steps for its slope, its level in closed form."""
+    parts = [
+        """f AS MATERIALIZED (SELECT quintile AS q, observed AS o, expected AS e, (MB_CODE16 % 50) / 50e0 AS x FROM t_mesh_frame)""",
+        "n0 AS (SELECT DISTINCT q, 0e0 AS c FROM f)",
+    ]
+    sums = "sum(o) AS o, sum(o * x) AS ox, sum(e * exp(c * x)) AS s0, sum(e * exp(c * x) * x) AS s1, sum(e * exp(c * x) * x * x) AS s2"
+    for k in range(DESIGN_STEPS):
+        parts.append(
+            f"""n{k + 1} AS MATERIALIZED (SELECT q, c + (ox - o * s1 / s0) / (o * (s2 / s0 - (s1 / s0) * (s1 / s0))) AS c
+  FROM (SELECT q, c, {sums} FROM f JOIN n{k} USING (q) GROUP BY q, c) s)"""
+        )
+    parts.append(
+        f"l AS MATERIALIZED (SELECT q, c, ln(sum(o) / sum(e * exp(c * x))) AS b FROM f JOIN n{DESIGN_STEPS} USING (q) GROUP BY q, c)"
+    )
+    parts.append("low AS (SELECT c AS c0, b AS b0, q AS q0 FROM l ORDER BY q LIMIT 1)")
+    name = "'quintile' || CAST(q AS VARCHAR)"
+    return f"""WITH {", ".join(parts)}
+SELECT CASE WHEN q = q0 THEN '(Intercept)' ELSE {name} END AS term, {r("CASE WHEN q = q0 THEN b ELSE b - b0 END")} AS estimate FROM l, low
+UNION ALL SELECT CASE WHEN q = q0 THEN 'easting' ELSE {name} || ':easting' END, {r("CASE WHEN q = q0 THEN c ELSE c - c0 END")} FROM l, low"""
+
+
+@query("poisson_design", _design_sql())
+def poisson_design(t: Tables):
+    """A trend from west to east that differs by deprivation class."""
+    frame = t.stored_frame.withColumn("easting", (F.col("MB_CODE16") % 50) / 50)
+    return mo.poisson_design(frame, ["quintile"], ["easting"], [("quintile", "easting")])
+
+
 def bym_sql(frame: str, edges: str, select: str, tol: float = TOL) -> str:
     """Newton steps with conjugate gradients as a recursion, then ``select``.
 
@@ -247,6 +281,33 @@ def fit_roundtrip(t: Tables):
     return read_fit(t.spark, path, "Mesh", "wc").select("level", "variant", "MB_CODE16", "fitted")
 
 
+def _fitted_layers_sql() -> str:
+    fitted = bym_sql(_ALL, _ALL_EDGES, "SELECT level, variant, area, mu / e AS ratio FROM fitted")
+    raw, boxes = [], []
+    for short, (level, key) in LEVEL_KEYS.items():
+        raw.append(f"""SELECT '{level}' AS level, CAST({key} AS BIGINT) AS area, "count" / nullif(expect, 0) AS raw FROM t_{short}_counts""")
+        boxes.append(f"SELECT '{level}' AS level, CAST(area AS BIGINT) AS area, min(x) AS xmin, max(y) AS ymax FROM t_{short}_points GROUP BY area")
+    shown = "coalesce(ratio, raw)"
+    return f"""SELECT * FROM (WITH fits AS MATERIALIZED ({fitted}), raw AS ({" UNION ALL ".join(raw)}), box AS ({" UNION ALL ".join(boxes)})
+SELECT level, variant, CAST(upper AS DOUBLE) AS upper, area, {r(f"CASE WHEN {shown} BETWEEN 0 AND upper THEN {shown} END")} AS sir,
+  {r("xmin")} AS xmin, {r("ymax")} AS ymax
+FROM raw CROSS JOIN (VALUES ('nc'), ('wc')) v(variant) CROSS JOIN (VALUES (1.6), (2.0)) u(upper)
+LEFT JOIN fits USING (level, variant, area) JOIN box USING (level, area)) maps"""
+
+
+@query("fitted_layers", _fitted_layers_sql())
+def fitted_layers(t: Tables):
+    """The ten smoothed fits saved one by one, read back, and drawn at both scales."""
+    path = scratch_path(t.spark, "fits")
+    fitted = cut_lineage(settled_study(t).fitted(), "fitted").select("level", "variant", "area", "fitted", "expected")
+    for level, variant in _SAVED:
+        write_fit(fitted.where((F.col("level") == level) & (F.col("variant") == variant)), path)
+    saved = reduce(DataFrame.unionByName, [read_fit(t.spark, path, level, variant) for level, variant in _SAVED])
+    xmin, _, _, ymax = envelope()
+    shown = lv.fitted_layers(t, t.sa2, saved)
+    return shown.select("level", "variant", "upper", "area", "sir", xmin.alias("xmin"), ymax.alias("ymax"))
+
+
 _SAVED = [(level, variant) for level, variant, *_ in MEDIAN_VARIANCES]
 
 
