@@ -23,6 +23,8 @@ from .common import crc_of_id, cut_lineage, prepare, texts_of, worker_state
 
 # Training rows of a language at most: the bound on what the driver sees.
 SAMPLE = 250
+# Parts of a language that choose their rows apart.
+PARTS = 32
 LANDMARKS_PER_LANGUAGE = 32
 STRETCH = 2048
 FEATURES = 6000
@@ -132,11 +134,13 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
     ).where("doc_id IS NOT NULL AND lang IS NOT NULL").where(crc_of_id() % 5 != 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = cut_lineage(
-        known.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE}").select("doc_id", "lang"),
-        "language-sample",
-    )
+    # First within parts of a language, so that the last round holds SAMPLE * PARTS rows of it at most.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    ids = known.distinct().select("doc_id", "lang", part)
+    for group in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE}").drop("rank")
+    ids = cut_lineage(ids.select("doc_id", "lang"), "language-sample")
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),

@@ -185,10 +185,15 @@ def _platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return 6.0 / gap, low + 0.38 * gap if high > low else (low + high) / 2
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Train on labelled texts; without a word at fault, a constant."""
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, seed: int = 7) -> Model:
+    """Train on labelled texts; without a word at fault, a constant.
+
+    The constant is ``share``, that of toxic rows among all training labels; the
+    sample's own share depends on its bounds.
+    """
     prior = float(toxic.mean()) if len(toxic) else 0.0
-    empty = Model([], np.zeros(0), 0.0, 1.0, 0.0, prior)
+    share = prior if share is None else share
+    empty = Model([], np.zeros(0), 0.0, 1.0, 0.0, share)
     if not toxic.any() or toxic.all():
         return empty
     rnd = np.random.default_rng(seed)
@@ -247,7 +252,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         x = np.vstack([vectors(positive), vectors(negative)])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         w, bias = _svm(x, y, np.concatenate([count, np.ones(len(negative))]))
-        model = Model(landmarks, root @ w, bias, 1.0, 0.0, prior)
+        model = Model(landmarks, root @ w, bias, 1.0, 0.0, share)
         hard = np.argsort(-model.margins(clean, kernel), kind="stable")[:1500]
         known = set(negative)
         negative += [clean[i] for i in hard if clean[i] not in known]
@@ -257,9 +262,11 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
     """At most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled texts for training.
 
+    The last value is the share of toxic rows among all that could be chosen.
+
     Rows whose CRC-32 of the id is 2 modulo 4 are held out. Ids with two
     different labels, or null ones, teach nothing.
     """
@@ -281,7 +288,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     ]
     toxic = {r.doc_id: bool(r.toxic) for r in chosen}
     if not toxic:
-        return [], np.zeros(0, bool)
+        return [], np.zeros(0, bool), 0.0
+    share = float(known.agg(F.avg("toxic")).first()[0])
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in toxic], "doc_id long")
     rows = (
@@ -292,7 +300,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
         .collect()
     )
     rows.sort(key=lambda r: r.doc_id)
-    return [r.text or "" for r in rows], np.array([toxic[r.doc_id] for r in rows], bool)
+    return [r.text or "" for r in rows], np.array([toxic[r.doc_id] for r in rows], bool), share
 
 
 _STATE = worker_state("toxicity")
@@ -327,8 +335,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
 
     Whole texts are scored; a null or empty text has the score of a text without
-    a suspicious word. Without usable labels, or of one kind only, the score is
-    the share of toxic labels for every text. A null id has ``held_out`` false.
+    a suspicious word. Without usable labels, with labels of one kind only, or with
+    no word at fault, the score is the share of toxic labels for every text. A null id has ``held_out`` false.
     Repeated rows each have a row. Other columns are not read.
     """
     prepare(docs.sparkSession)
@@ -344,9 +352,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all columns.
+
+    Where nothing tells toxic texts from clean ones (no word at fault), all rows stay.
+    """
     prepare(docs.sparkSession)
     model = fit(*sample(docs, labels))
+    if not model.landmarks:
+        return docs
     run = scorer(model)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,16 @@ def test_nothing_to_learn_from(spark):
     assert L.predict(docs.limit(0)).count() == 0
 
 
+def test_sample_is_the_smallest_hashes_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 7)
+    rows = [(i, "abc", "en" if i % 3 else "de", None, None) for i in range(3000)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    texts, langs = L.sample(docs)
+    assert sorted(langs) == ["de"] * 7 + ["en"] * 7 and set(texts) == {"abc"}
+    got = L.predict(docs.limit(10).unionByName(docs.where("doc_id < 20")))
+    assert got.count() == 10 + 40
+
+
 def test_kernel_and_stretches():
     data = L.letters_of("Über  die 12 Häuser! " * 500)
     pieces = L.stretches(data)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessarea.llm import toxicity as T
 
@@ -57,6 +58,25 @@ def test_keep_clean_has_all_columns(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, y in labels if not y}
 
 
+def test_no_word_at_fault(spark, monkeypatch):
+    """The constant is the share of all labels, whatever the bounds of the sample; nothing is dropped."""
+    docs = spark.createDataFrame([(i, "the same words", "", "") for i in range(400)], DOCS)
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(400)]
+    monkeypatch.setattr(T, "SAMPLE_CLEAN", 20)
+    known = [y for i, _, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    frame = spark.createDataFrame(labels, LABELS)
+    assert {(r.score, r.predicted) for r in T.score(docs, frame).collect()} == {(sum(known) / len(known), 0)}
+    toxic = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(400)], LABELS)
+    assert T.keep_clean(docs, toxic).count() == 400
+
+
+def test_repeated_rows_each_have_a_row(spark):
+    docs, labels = corpus(400)
+    frame = spark.createDataFrame(docs + docs[:50] + docs[:50], DOCS)
+    got = T.score(frame, spark.createDataFrame(labels, LABELS)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("score").alias("d"))
+    assert {(r.doc_id, r.n, r.d) for r in got.collect()} == {(i, 3 if i < 50 else 1, 1) for i in range(400)}
+
+
 def test_kernel_is_the_sum_over_common_subsequences():
     def plain(a, b):
         def values(w):
