@@ -134,7 +134,8 @@ def poisson_design(
     offset = F.when(F.col("expected") > 0, F.ln("expected")).otherwise(
         F.raise_error(F.lit("expected counts must be positive: see replace_zero"))
     )
-    known = reduce(lambda a, b: a & b, [is_present(F.col(c)) for c in used])
+    present = [F.col(f).isNotNull() for f in factors] + [is_present(F.col(c).cast("double")) for c in continuous]
+    known = reduce(lambda a, b: a & b, present)
     table = frame.where(known).withColumn("_offset", offset)
     terms, place = {}, {}
     for f in factors:
