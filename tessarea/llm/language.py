@@ -152,16 +152,14 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     return [r.text for r in rows], [r.lang for r in rows]
 
 
-_STATE = worker_state("language")
-
-
 def _predict(model: Model):
     mark = repr((model.languages, model.features.tobytes(), model.weights.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("mark") != mark:
-            _STATE.update(mark=mark, place=model.place_of())
-        place = _STATE["place"]
+        state = worker_state("language")
+        if state.get("mark") != mark:
+            state.update(mark=mark, place=model.place_of())
+        place = state["place"]
         for batch in batches:
             pieces, owner, share = [], [], []
             lettered = batch.column("lettered").to_pylist()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare, texts_of
+from .common import cut_lineage, prepare, texts_of, tidy
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -125,7 +125,7 @@ def pack(
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = rows.mapInArrow(_pack(path or tokenizer_path(), window, open_windows, end), SCHEMA)
+    packed = rows.mapInArrow(tidy("tokens", _pack(path or tokenizer_path(), window, open_windows, end)), SCHEMA)
     stored = cut_lineage(packed, "packed")
     done = stored.where("NOT open")
     rest = stored.where("open").withColumn("merge", F.shiftright("sequence_id", 33).cast("long") % _groups(spark, stored))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, cut_lineage, prepare, scratch_path, text_bytes
+from .common import cells, cut_lineage, prepare, scratch_path, text_bytes, tidy
 from .components import components
 from .exact_dedup import _order as preference
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, *locator: Column) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *locator)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_fingerprints, f"mark long, {kept}")
+    return rows.mapInArrow(tidy("simhash", _fingerprints), f"mark long, {kept}")
 
 
 def _bands(mark: Column) -> Column:
@@ -213,7 +213,7 @@ def links(marks: DataFrame, tile: int = TILE) -> DataFrame:
     return (
         tiled.repartition("band", "t1", "t2")
         .sortWithinPartitions("band", "t1", "t2", "ones", "mark")
-        .mapInArrow(_links, "a long, b long")
+        .mapInArrow(tidy("simhash", _links), "a long, b long")
     )
 
 

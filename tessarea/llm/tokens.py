@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import gc
 import os
 
 import numpy as np
 
-from .common import forget_states
+from .common import worker_state
 
 WORD_BPE = "word_bpe_49k.json"
 # Bytes of words and ids that a worker remembers, what an entry takes beside its text
@@ -123,8 +122,9 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder; it stays over tasks. What other operators left in the worker goes."""
-    forget_states()
-    return WordEncoder(path)
+    state = worker_state("tokens")
+    if state.get("path") != path:
+        state.update(path=path, encoder=WordEncoder(path))
+    return state["encoder"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut_lineage, prepare, texts_of, worker_state
+from .common import crc_of_id, cut_lineage, prepare, texts_of, tidy, worker_state
 
 # Rows of the training sample: the bound on what the driver sees.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
@@ -303,17 +303,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, f
     return [r.text or "" for r in rows], np.array([toxic[r.doc_id] for r in rows], bool), share
 
 
-_STATE = worker_state("toxicity")
-
-
 def scorer(model: Model):
     """Function of Arrow batches ``(doc_id, text)`` for ``mapInArrow``."""
     mark = repr((model.landmarks, model.weights.tobytes(), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("mark") != mark:  # a worker serves many tasks
-            _STATE.update(mark=mark, kernel=Kernel(model.landmarks), known={})
-        kernel, known = _STATE["kernel"], _STATE["known"]
+        state = worker_state("toxicity")
+        if state.get("mark") != mark:  # a worker serves many tasks
+            state.update(mark=mark, kernel=Kernel(model.landmarks), known={})
+        kernel, known = state["kernel"], state["known"]
         for batch in batches:
             texts = [instances(t) for t in texts_of(batch.column(1))]
             if model.landmarks:
@@ -342,7 +340,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     model = fit(*sample(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(scorer(model), "doc_id long, score double")
+    scored = rows.mapInArrow(tidy("toxicity", scorer(model)), "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"),
@@ -368,4 +366,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             (scored,) = run(iter([short]))
             yield batch.filter(pa.array(scored.column("score").to_numpy() < THRESHOLD))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return docs.mapInArrow(tidy("toxicity", passing), docs.schema)
