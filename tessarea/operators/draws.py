@@ -205,7 +205,9 @@ def criteria_state(draw_fits: DataFrame, frame: DataFrame, key: str, by: Sequenc
     mu, o = F.col("fitted"), F.col("observed")
     # Shifted log density: log p(o | mu) - log p(o | o), never above zero.
     at_peak = F.when(o > 0, o * F.ln(o) - o).otherwise(0.0)
-    draws = draw_fits.select(*by, key, "fitted").join(frame.select(*by, key, "observed"), [*by, key])
+    # Exploded draws look as small as what they were exploded from, so neither side may be
+    # broadcast: a merge join, whose skewed keys adaptive execution can still split.
+    draws = draw_fits.select(*by, key, "fitted").join(frame.select(*by, key, "observed").hint("merge"), [*by, key])
     impossible = F.lit(float("-inf"))
     density = F.when(o == 0, -mu).when(mu > 0, o * F.ln(mu) - mu - at_peak).otherwise(impossible)
     band = F.when(F.col("_l") == impossible, F.lit(LOWEST_BAND)).otherwise(F.floor(F.col("_l") / BAND))
