@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarea.session import cut_lineage, scratch_path, tune
+from tessarea.session import cut_lineage, scratch_path, ship, tune
 
 __all__ = ["cut_lineage", "prepare", "scratch_path", "text_bytes", "texts_of", "crc_of_id", "WHITE", "cells"]
 
@@ -20,7 +17,6 @@ __all__ = ["cut_lineage", "prepare", "scratch_path", "text_bytes", "texts_of", "
 WHITE = r"[\x20\x09-\x0D]+"
 # Rows per Arrow batch: a batch holds whole texts, so it is kept small.
 BATCH_ROWS = 512
-_SHIPPED: set[str] = set()
 # What operators keep in a Python worker over tasks, by operator.
 _STATES: dict[str, dict] = {}
 
@@ -67,15 +63,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings, and the package on the executors' Python path."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        folder = tempfile.mkdtemp(prefix="ship-")  # the driver serves it from here
-        archive = shutil.make_archive(
-            os.path.join(folder, "tessarea"), "zip", os.path.dirname(package), os.path.basename(package)
-        )
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
+    ship(spark)
     return spark
 
 

@@ -11,14 +11,17 @@ every combination is tested by itself, all in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normal_upper_tail, ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from .graph import edges_between
 
 # The leading bits of the key by which areas are numbered split them into
@@ -26,8 +29,11 @@ from .graph import edges_between
 BUCKET_BITS = 12
 # The key is the number in the first 15 hex digits of the hash: 60 bits.
 KEY_DIGITS = 15
-# Permutations that travel together in one array along the edges of a large graph.
-BLOCK = 256
+# Fewest permutations of a unit of work on a large graph, about how many edges its part of
+# the graph has, and how many units a slot of the cluster gets.
+BLOCK, PART_EDGES, UNITS_PER_SLOT = 16, 1_000_000, 4
+# Values or edges that travel in one row, and that are permuted at once (they stay in cache).
+PIECE, AT_ONCE = 2048, 16_384
 # Graphs of at most so many areas and edges, all tests together, go to every task.
 PACKED = 1_000_000
 # Rounds of the keyed bijection (an even number) and hex digits of a round's key.
@@ -195,45 +201,65 @@ def _grid(n: Column) -> Column:
     return F.array_min(F.transform(sides, sized))
 
 
-def _round_keys(seed: int) -> Column:
+def _round_keys(seed: int, sim: int) -> list[int]:
     """The keys of one permutation: the first 28 bits of ``md5(seed|sim|round)``."""
-    digests = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_sim").cast("string"), F.lit(str(k)))) for k in range(ROUNDS)]
-    return F.array(*[F.conv(F.substring(d, 1, ROUND_DIGITS), 16, 10).cast("bigint") for d in digests])
+    return [int(hashlib.md5(f"{seed}|{sim}|{k}".encode()).hexdigest()[:ROUND_DIGITS], 16) for k in range(ROUNDS)]
 
 
-def _bijection(number: Column, n: Column, a: Column, b: Column, excess: Column, keys: Column) -> Column:
+def _remainder(x: np.ndarray, m: int) -> np.ndarray:
+    """``x % m``; NumPy divides by one number faster than it takes the remainder."""
+    return x - x // np.uint64(m) * np.uint64(m)
+
+
+def _walk(x: np.ndarray, a: int, b: int, keys: Sequence[int]) -> np.ndarray:
+    """One pass of the rounds over cells of the a x b grid."""
+
+    def mixed(half: np.ndarray, key: int) -> np.ndarray:
+        t = _remainder(half * np.uint64(FACTORS[0]) + np.uint64(key), PRIME)
+        t = _remainder((t ^ (t >> np.uint64(15))) * np.uint64(FACTORS[1]), PRIME)
+        return _remainder((t ^ (t >> np.uint64(13))) * np.uint64(FACTORS[2]), PRIME)
+
+    left = x // np.uint64(b)
+    right = x - left * np.uint64(b)
+    for k in range(0, ROUNDS, 2):
+        left = _remainder(left + mixed(right, keys[k]), a)
+        right = _remainder(right + mixed(left, keys[k + 1]), b)
+    return left * np.uint64(b) + right
+
+
+def _bijection(number: np.ndarray, n: int, a: int, b: int, keys: Sequence[int]) -> np.ndarray:
     """Where a permutation sends ``number``: a Feistel network on the cells of the a x b grid.
 
     Rounds add a keyed function of one half to the other in turn. A cell beyond n is
-    walked on along its cycle; there are ``excess`` such cells, so as many walks suffice.
+    walked on along its cycle.
     """
-
-    def mixed(half: Column, key: Column) -> Column:
-        t = (half * FACTORS[0] + key) % PRIME
-        t = (t.bitwiseXOR(F.shiftright(t, 15)) * FACTORS[1]) % PRIME
-        return (t.bitwiseXOR(F.shiftright(t, 13)) * FACTORS[2]) % PRIME
-
-    def cell(left: Column, right: Column, high: Column, wide: Column) -> Column:
-        return F.struct(left.alias("l"), right.alias("r"), high.alias("a"), wide.alias("b"))
-
-    def walk(x: Column) -> Column:
-        # A round changes the left half, and the halves swap: an even number of rounds.
-        return F.aggregate(
-            keys,
-            cell(F.floor(x / b), x % b, a, b),
-            lambda h, key: cell(h["r"], (h["l"] + mixed(h["r"], key)) % h["a"], h["b"], h["a"]),
-            lambda h: h["l"] * b + h["r"],
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), excess + 1), walk(number), lambda x, _: F.when(x < n, x).otherwise(walk(x)))
+    x = _walk(number, a, b, keys)
+    while len(beyond := np.flatnonzero(x >= np.uint64(n))):
+        x[beyond] = _walk(x[beyond], a, b, keys)
+    return x
+
+
+def _cross_sums(
+    values: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int, a: int, b: int, seed: int, sims: Sequence[int]
+) -> list[float]:
+    """Per permutation: twice the sum over the edges of the products of the permuted values."""
+    ends, places = np.unique(np.concatenate([src, dst]).astype(np.uint64), return_inverse=True)
+    src, dst = places[: len(src)], places[len(src) :]
+    out = []
+    for sim in sims:
+        keys = _round_keys(seed, sim)
+        moved = [values[_bijection(ends[k : k + AT_ONCE], n, a, b, keys)] for k in range(0, len(ends), AT_ONCE)]
+        y = np.concatenate(moved) if moved else np.zeros(0)
+        out.append(2.0 * float(y[src] @ y[dst]))
+    return out
 
 
 def _packed_crosses(z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int, seed: int) -> DataFrame:
-    """``by..., _sim, _permuted`` of graphs that fit into a task: one row per permutation, no shuffle of values.
+    """``by..., _sim, _permuted`` of graphs that fit into a task, without a shuffle of values.
 
     A test's values, in the order of their numbers, and its edges, as pairs of
-    numbers, are one row. It is joined to every permutation, which then permutes
-    the values and sums the products along the edges by itself.
+    numbers, are one row. It is joined to every block of permutations, which then
+    permutes the values and sums the products along the edges by itself.
     """
     key = list(by) or ["_one"]
     one = F.lit(1).alias("_one")
@@ -251,68 +277,124 @@ def _packed_crosses(z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int,
     pairs = edges.groupBy(*key).agg(F.collect_list(F.struct("_src", "_dst")).alias("_pairs"))
     n = F.size("_values").cast("bigint")
     graphs = cut_lineage(
-        values.join(pairs, key)
-        .select(*key, F.transform("_values", lambda v: v["_z"]).alias("_values"), "_pairs", n.alias("_n"), _grid(n).alias("_grid")),
+        values.join(pairs, key).select(
+            *key,
+            F.transform("_values", lambda v: v["_z"]).alias("_values"),
+            F.transform("_pairs", lambda e: e["_src"].cast("bigint")).alias("_src"),
+            F.transform("_pairs", lambda e: e["_dst"].cast("bigint")).alias("_dst"),
+            n.alias("_n"),
+            _grid(n).alias("_grid"),
+        ),
         "graphs",
     )
     spread = graphs.sparkSession.sparkContext.defaultParallelism * 4
-    sims = (
-        graphs.select(*key, F.explode(F.sequence(F.lit(1), F.lit(nsim))).alias("_sim"))
-        .withColumn("_keys", _round_keys(seed))
-        .repartition(spread)
-    )
-    grid = F.col("_grid")
-    permuted = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda i: F.col("_values")[
-            _bijection(i, F.col("_n"), grid["a"], grid["b"], grid["excess"], F.col("_keys")).cast("int")
-        ],
+    width = -(-nsim // spread)
+    sims = graphs.select(*key, F.explode(F.sequence(F.lit(1), F.lit(nsim), F.lit(width))).alias("_first")).repartition(spread)
+    work = sims.join(F.broadcast(graphs), key).select(
+        F.struct(*key).alias("_test"), "_first", "_values", "_src", "_dst", "_n", F.col("_grid.a").alias("_a"), F.col("_grid.b").alias("_b")
     )
-    # Bound by an array of one element: a plain column would be computed for each edge.
-    cross = F.transform(
-        F.array(permuted),
-        lambda y: F.aggregate("_pairs", F.lit(0.0), lambda total, e: total + y[e["_src"]] * y[e["_dst"]]),
-    )
-    return sims.join(F.broadcast(graphs), key).select(*by, "_sim", (2.0 * cross[0]).alias("_permuted"))
+    ship(z.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                arrays = [row[c].values.to_numpy(zero_copy_only=False) for c in ("_values", "_src", "_dst")]
+                first = row["_first"].as_py()
+                at = range(first, min(first + width, nsim + 1))
+                sums = _cross_sums(*arrays, *(row[c].as_py() for c in ("_n", "_a", "_b")), seed, at)
+                test = pa.repeat(row["_test"], len(at))
+                yield pa.record_batch([test, pa.array(at, pa.int32()), pa.array(sums, pa.float64())], ["_test", "_sim", "_permuted"])
+
+    test = work.select("_test").schema.fields[0].dataType.simpleString()
+    found = work.mapInArrow(run, f"_test {test}, _sim int, _permuted double")
+    return found.select(*[F.col("_test")[c].alias(c) for c in by], "_sim", "_permuted")
 
 
-def _joined_crosses(
+def _streamed_crosses(
     z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int, seed: int, block: int, bucket_bits: int
 ) -> DataFrame:
-    """The same for graphs of any size: values meet their permuted area by a join.
+    """The same for large graphs: no task holds more than the values and a part of the edges.
 
-    An area's permuted values travel in arrays of ``block`` permutations, so a row has
-    the same size for any ``nsim``, and sums leave an edge once per block.
+    A unit of work is a part of a graph's edges, near in the order of the areas, and a range of
+    permutations. The values, in the order of their numbers, and the edges of its part are sent
+    to it in small rows, sorted, by one shuffle; the units of a graph follow from the slots of the
+    cluster, so that this shuffle grows with the graph and not with ``nsim``. Its sums are added up.
     """
+    spark = z.sparkSession
     numbered = cut_lineage(_numbers(z, by, seed, bucket_bits), "numbered")
+    edges = half
+    for end in ("src", "dst"):
+        edges = edges.join(numbered.select(*by, F.col("_area").alias(end), F.col("_number").alias(f"_{end}")), [*by, end])
+    parts = half.count() // PART_EDGES + 1
+    edges = edges.repartitionByRange(parts, *by, "src", "dst").select(*by, "_src", "_dst", F.spark_partition_id().alias("_part"))
+    edges = cut_lineage(edges, "numbered-edges")
+
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_grid", _grid(F.col("_n")))
-    sized = _attach(numbered, cut_lineage(sizes, "sizes"), by)
-    grid = F.col("_grid")
-    target = _bijection(F.col("_number"), F.col("_n"), grid["a"], grid["b"], grid["excess"], F.col("_keys"))
-    targets = (
-        sized.drop("_z")
-        .withColumn("_sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
-        .withColumn("_keys", _round_keys(seed))
-        .select(*by, "_area", "_sim", target.alias("_number"))
+    sizes = cut_lineage(sizes, "sizes")
+    shares = edges.select(*by, "_part").distinct()
+    wanted = -(-spark.sparkContext.defaultParallelism * UNITS_PER_SLOT // max(1, shares.count()))
+    width = max(block, -(-nsim // wanted))
+    units = _attach(shares, sizes, by).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(nsim), F.lit(width))))
+    # One row per unit: a few for each slot of the cluster, or one for each test.
+    units = cut_lineage(
+        units.withColumn("_unit", F.row_number().over(W.orderBy(*by, "_part", "_first")) - 1), "units"
     )
-    permuted = (
-        targets.join(numbered.select(*by, "_number", "_z"), [*by, "_number"])
-        .groupBy(*by, "_area", F.floor((F.col("_sim") - 1) / block).alias("_block"))
-        .agg(F.array_sort(F.collect_list(F.struct("_sim", "_z"))).alias("_packed"))
-        .select(*by, "_area", "_block", F.transform("_packed", lambda p: p["_z"]).alias("_draws"))
-    )
-    # Joined at both ends of an edge, and an area may have very many edges.
-    permuted = cut_lineage(permuted, "permuted")
-
-    def end(name: str, draws: str) -> DataFrame:
-        return permuted.select(*by, F.col("_area").alias(name), "_block", F.col("_draws").alias(draws))
+    count = units.count()
 
-    products = (
-        half.join(end("src", "_di"), [*by, "src"])
-        .join(end("dst", "_dj"), [*by, "dst", "_block"])
-        .select(*by, "_block", F.posexplode(F.zip_with("_di", "_dj", lambda a, b: a * b)).alias("_at", "_product"))
+    pieces = numbered.groupBy(*by, F.floor(F.col("_number") / PIECE).alias("_piece")).agg(
+        F.array_sort(F.collect_list(F.struct("_number", "_z"))).alias("_packed")
+    )
+    nothing = F.array().cast("array<bigint>")
+    values = pieces.select(
+        *by, "_piece", F.transform("_packed", lambda p: p["_z"]).alias("_values"), nothing.alias("_src"), nothing.alias("_dst")
+    )
+    bundle = F.pmod(F.xxhash64("_src", "_dst"), F.lit(PART_EDGES // PIECE + 1))
+    packed = edges.groupBy(*by, "_part", bundle.alias("_bundle")).agg(F.collect_list(F.struct("_src", "_dst")).alias("_pairs"))
+    pairs = packed.select(
+        *by,
+        "_part",
+        F.lit(None).cast("bigint").alias("_piece"),
+        F.array().cast("array<double>").alias("_values"),
+        F.transform("_pairs", lambda e: e["_src"]).alias("_src"),
+        F.transform("_pairs", lambda e: e["_dst"]).alias("_dst"),
     )
-    return products.groupBy(*by, "_block", "_at").agg((2.0 * F.sum("_product")).alias("_permuted"))
+    plan = units.select(*by, "_part", "_unit", "_first", "_n", F.col("_grid.a").alias("_a"), F.col("_grid.b").alias("_b"))
+    to_all = values.join(F.broadcast(plan), list(by)) if by else values.crossJoin(F.broadcast(plan))
+    sent = to_all.drop("_part").unionByName(pairs.join(F.broadcast(plan), [*by, "_part"]).drop("_part"))
+    columns = ["_unit", "_first", "_n", "_a", "_b", "_piece", "_values", "_src", "_dst"]
+    dealt = sent.select(*columns).repartitionById(max(1, count), F.col("_unit").cast("int")).sortWithinPartitions("_unit", "_piece")
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, {"_values": [], "_src": [], "_dst": []}
+
+        def summed() -> pa.RecordBatch:
+            number, first, n, a, b = unit
+            arrays = [np.concatenate(held[c]) for c in held]
+            at = range(first, min(first + width, nsim + 1))
+            sums = _cross_sums(*arrays, n, a, b, seed, at)
+            return pa.record_batch(
+                [pa.array([number] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(sums, pa.float64())],
+                ["_unit", "_sim", "_permuted"],
+            )
+
+        for batch in batches:
+            numbers = batch.column("_unit").to_numpy()
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else []
+            for lo, hi in zip(starts, [*starts[1:], len(numbers)]):
+                rows = batch.slice(lo, hi - lo)
+                if unit is not None and unit[0] != numbers[lo]:
+                    yield summed()
+                    held = {c: [] for c in held}
+                unit = tuple(rows.column(c)[0].as_py() for c in ("_unit", "_first", "_n", "_a", "_b"))
+                for c in held:
+                    held[c].append(rows.column(c).flatten().to_numpy(zero_copy_only=False).copy())
+        if unit is not None:
+            yield summed()
+
+    found = dealt.mapInArrow(run, "_unit int, _sim int, _permuted double")
+    return found.join(F.broadcast(units.select(*by, "_unit")), "_unit").groupBy(*by, "_sim").agg(F.sum("_permuted").alias("_permuted"))
 
 
 def moran_mc(
@@ -333,9 +415,8 @@ def moran_mc(
     ``p = (#{permuted I >= observed I} + 1) / (nsim + 1)``. A permutation is a keyed
     bijection of the areas' numbers, so nothing is sorted or ranked per permutation;
     it follows from ``seed`` alone and does not depend on partitioning. Tests of at
-    most ``packed`` areas and edges together are copied to every task, where each
-    permutation is one row; larger ones meet their values by a join. Both give the
-    same numbers.
+    most ``packed`` areas and edges together are copied to every task; of larger ones
+    a task gets the values and a part of the edges. Both give the same numbers.
     """
     by = list(by)
     z = cut_lineage(_centred(values, by, area, x), "centred")
@@ -344,7 +425,7 @@ def moran_mc(
     if z.count() + half.count() <= packed:
         crosses = _packed_crosses(z, half, by, nsim, seed)
     else:
-        crosses = _joined_crosses(z, half, by, nsim, seed, block, bucket_bits)
+        crosses = _streamed_crosses(z, half, by, nsim, seed, block, bucket_bits)
     observed = cut_lineage(
         _parts(z, linked, by, adjust_n).select(*by, "moran_i", "_cross", "_zz"), "observed"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +35,22 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return tune(builder.getOrCreate())
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """The package on the executors' Python path, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="ship-")  # the driver serves it from here
+        archive = shutil.make_archive(
+            os.path.join(folder, "tessarea"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only on ``local``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

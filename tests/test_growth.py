@@ -1,7 +1,9 @@
 """What grows with the data stays on the executors."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessarea.operators import autocorrelation as ac
 from tessarea.operators import draws as dr
 from tessarea.session import scratch_path
 
@@ -22,3 +24,39 @@ def test_criteria_broadcast_neither_draws_nor_areas(spark):
     state.collect()
     plan = state._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_permutations_of_large_graphs_shuffle_no_area_per_permutation(spark):
+    """What is shuffled is the graph, once per unit of work, not once per permutation."""
+    n = 3_000
+    values = spark.range(n).select(F.col("id").alias("area"), (F.col("id") % 7).cast("double").alias("x"))
+    ends = values.select("area", F.explode(F.array(F.col("area") + 1, F.col("area") - 1)).alias("dst"))
+    graph = ends.where(f"dst BETWEEN 0 AND {n - 1}").withColumnRenamed("area", "src")
+    large, small = (ac.moran_mc(values, graph, 500, packed=packed) for packed in (0, ac.PACKED))
+    assert tuple(large.first()) == pytest.approx(tuple(small.first()))
+    z = ac._centred(values, [], "area", "x")
+    crosses = ac._streamed_crosses(z, graph.where("src < dst"), [], 500, 1, ac.BLOCK, ac.BUCKET_BITS)
+    rows = crosses.collect()
+    assert len(rows) == 500
+    sent = rows_sent(crosses)
+    assert 0 < sent < 500 * n / 10
+
+
+def rows_sent(df):
+    """Rows that all exchanges of a finished query wrote."""
+    node = df._jdf.queryExecution().executedPlan()
+    total, stack = 0, [node]
+    while stack:
+        plan = stack.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(plan.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            stack.append(plan.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        stack.extend(children.apply(i) for i in range(children.size()))
+    return total
