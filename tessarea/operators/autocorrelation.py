@@ -240,17 +240,24 @@ def _bijection(number: np.ndarray, n: int, a: int, b: int, keys: Sequence[int])
 
 
 def _cross_sums(
-    values: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int, a: int, b: int, seed: int, sims: Sequence[int]
-) -> list[float]:
-    """Per permutation: twice the sum over the edges of the products of the permuted values."""
+    values: pa.Array, src: np.ndarray, dst: np.ndarray, n: int, a: int, b: int, seed: int, sims: Sequence[int]
+) -> list[float | None]:
+    """Per permutation: twice the sum over the edges of the products of the permuted values.
+
+    None where an edge meets a missing value.
+    """
+    missing = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
+    values = values.to_numpy(zero_copy_only=False)
     ends, places = np.unique(np.concatenate([src, dst]).astype(np.uint64), return_inverse=True)
     src, dst = places[: len(src)], places[len(src) :]
     out = []
     for sim in sims:
         keys = _round_keys(seed, sim)
-        moved = [values[_bijection(ends[k : k + AT_ONCE], n, a, b, keys)] for k in range(0, len(ends), AT_ONCE)]
-        y = np.concatenate(moved) if moved else np.zeros(0)
-        out.append(2.0 * float(y[src] @ y[dst]))
+        places = [_bijection(ends[k : k + AT_ONCE], n, a, b, keys) for k in range(0, len(ends), AT_ONCE)]
+        y = np.concatenate([values[at] for at in places]) if places else np.zeros(0)
+        # Every end has an edge.
+        gap = missing is not None and any(missing[at].any() for at in places)
+        out.append(None if gap else 2.0 * float(y[src] @ y[dst]))
     return out
 
 
@@ -299,7 +306,7 @@ def _packed_crosses(z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int,
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                arrays = [row[c].values.to_numpy(zero_copy_only=False) for c in ("_values", "_src", "_dst")]
+                arrays = [row["_values"].values, *(row[c].values.to_numpy() for c in ("_src", "_dst"))]
                 first = row["_first"].as_py()
                 at = range(first, min(first + width, nsim + 1))
                 sums = _cross_sums(*arrays, *(row[c].as_py() for c in ("_n", "_a", "_b")), seed, at)
@@ -371,7 +378,7 @@ def _streamed_crosses(
 
         def summed() -> pa.RecordBatch:
             number, first, n, a, b = unit
-            arrays = [np.concatenate(held[c]) for c in held]
+            arrays = [pa.array(np.concatenate(held["_values"])), *(np.concatenate(held[c]) for c in ("_src", "_dst"))]
             at = range(first, min(first + width, nsim + 1))
             sums = _cross_sums(*arrays, n, a, b, seed, at)
             return pa.record_batch(
@@ -388,8 +395,8 @@ def _streamed_crosses(
                     yield summed()
                     held = {c: [] for c in held}
                 unit = tuple(rows.column(c)[0].as_py() for c in ("_unit", "_first", "_n", "_a", "_b"))
-                for c in held:
-                    held[c].append(rows.column(c).flatten().to_numpy(zero_copy_only=False).copy())
+                for c in held:  # products with a missing value do not count
+                    held[c].append(rows.column(c).flatten().fill_null(0).to_numpy().copy())
         if unit is not None:
             yield summed()
 

@@ -60,3 +60,11 @@ def rows_sent(df):
         children = plan.children()
         stack.extend(children.apply(i) for i in range(children.size()))
     return total
+
+
+def test_missing_values_reach_no_permutation(spark):
+    """A missing value is not taken for a number: a permutation that meets one does not count."""
+    values = spark.range(30).select(F.col("id").alias("area"), F.expr("if(id = 4, NULL, CAST(id % 7 AS DOUBLE))").alias("x"))
+    graph = spark.range(29).selectExpr("inline(array(struct(id AS src, id + 1 AS dst), struct(id + 1 AS src, id AS dst)))")
+    assert ac.moran_mc(values, graph, 40).first().n_at_least == 0
+    assert ac.moran_mc(values, graph, 40, packed=0).first().n_at_least <= 40
