@@ -18,31 +18,51 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, ship
+from .blocks import (
+    EFFECTS,
+    FIXED_SCHEMA,
+    MESSAGES,
+    NUMBERS,
+    SENT,
+    SENT_STATE,
+    STATE_SCHEMA,
+    STEP_LENGTHS,
+    SUMS,
+    VECTORS,
+    Scalars,
+    build,
+    effects,
+    receiver,
+    sender,
+    started,
+)
 from .graph import edges_between
 
 ZERO_CASES = 0.001
-# Edges of one area beyond this number are spread over several join keys.
+# An area of more neighbours than this gets their sum from each block, not their values.
 HOT_DEGREE = 4096
-# Edges of a bucket, about; there are no more buckets than shuffle partitions.
-EDGES_PER_BUCKET = 100_000
+# Rows of a block, about, or more where there would be more blocks than the second number.
+ROWS_PER_BLOCK, MOST_BLOCKS = 16_384, 4096
+# Rows of a task, about; there are no more tasks than shuffle partitions.
+ROWS_PER_TASK = 32_768
 # Settled: the gradient's Euclidean norm is below this.
 TOL = 1e-6
 # A solve ends once its preconditioned residual fell to this share of the first.
 FORCING = 0.03
-# Step lengths that are tried, longest first: the first that does not lose is taken.
-STEP_LENGTHS = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625)
 # What an objective may lose by rounding, relative to its size.
 SLACK = 1e-12
 # Models x factor classes whose sums may pass through the driver.
@@ -84,17 +104,9 @@ def bucketed_copy(
     return df.sparkSession.table(table), table
 
 
-# Expressions over the state's columns, as SQL text: they are built anew in every
-# round, and text is parsed at once.
+# Fitted counts from the effects.
 MU = "(e * exp(beta + phi + theta))"
-THETA_GRADIENT = f"(o - {MU} - theta / sigma2)"
-# Curvature of an area that is left once theta is eliminated, and its part of the
-# right-hand side of its class.
-WEIGHT = f"({MU} / (1 + {MU} * sigma2))"
-REDUCED = f"(o - {MU} - {WEIGHT} * sigma2 * {THETA_GRADIENT})"
-SCALE = f"({WEIGHT} + n / tau2)"
-PHI_GRADIENT = f"(o - {MU} - lap / tau2)"
-THETA_STEP = f"(({THETA_GRADIENT} - {MU} * (x + xb)) / ({MU} + 1 / sigma2))"
+ClassSums = namedtuple("ClassSums", ["q", *SUMS])
 
 
 class _Model:
@@ -104,6 +116,7 @@ class _Model:
         self.rows = sum(c.rows for c in classes)
         self.beta = {c.q: math.log(max(c.o, ZERO_CASES) / c.e) for c in classes}
         self.step, self.products, self.solving = 0, 0, False
+        self.before = {q: (0.0, 0.0) for q in self.beta}
         self._clear()
         self.kind, self.length, self.centre = "move", 0.0, 0.0
 
@@ -147,7 +160,7 @@ class _Model:
         now = sum(c.objective_0 for c in classes)
         self.length = STEP_LENGTHS[-1]
         for k, length in enumerate(STEP_LENGTHS, 1):
-            there = sum(c[f"objective_{k}"] for c in classes)
+            there = sum(getattr(c, f"objective_{k}") for c in classes)
             if there >= now - SLACK * abs(now):
                 self.length = length
                 break
@@ -159,16 +172,17 @@ class _Model:
         for q in self.beta:
             self.beta[q] += self.length * self.x[q] + self.centre
 
-    def scalars(self) -> list[tuple]:
-        """One row per class for the next job."""
+    def scalars(self) -> tuple[tuple[bool, float, float], dict[str, tuple]]:
+        """For the next round: whether it moves, two factors, and the class parts before and after."""
         if self.kind == "move":
-            return [(q, True, self.length, self.centre, self.beta[q], 0.0, 0.0) for q in self.beta]
-        return [
-            (q, False, self.next_a, self.next_bc, self.beta[q], self.x[q], self.r[q] / self.w[q]) for q in self.beta
-        ]
-
-
-SCALARS = "q string, moves boolean, first double, second double, beta_next double, xb_next double, ub double"
+            factors = (True, self.length, self.centre)
+            after = {q: (self.beta[q], 0.0, 0.0) for q in self.beta}
+        else:
+            factors = (False, self.next_a, self.next_bc)
+            after = {q: (self.beta[q], self.x[q], self.r[q] / self.w[q]) for q in self.beta}
+        parts = {q: (*self.before[q], *after[q]) for q in self.beta}
+        self.before = {q: after[q][:2] for q in self.beta}
+        return factors, parts
 
 
 def bym_map(
@@ -196,25 +210,18 @@ def bym_map(
     its gradient is shorter than ``tol``; ``max_steps`` Newton steps are a guard. Phi
     has mean zero per model.
 
-    Edges are written once, bucketed on the join key, so no product shuffles them;
-    an area with very many neighbours is spread over several buckets. The state is
-    written once per product, in turn to two paths. Sums per model and class pass
-    through the driver; more than ``MOST_CLASSES`` of them are refused.
+    Areas are dealt into blocks once, by ranges of their keys, each with its part of the
+    graph in positions (``blocks``). A product exchanges the values at the borders of
+    blocks only; of an area with more than ``hot_degree`` neighbours, their sum per block.
+    The state is written once per product, in turn to two paths. Sums per block and class
+    pass through the driver; more than ``MOST_CLASSES`` classes are refused.
     """
     by, edge_by = list(by), list(edge_by)
     spark = frame.sparkSession
+    ship(spark)
     root = scratch_path(spark, "bym")
 
-    areas = frame.select(*edge_by, F.col(area).alias("area")).distinct()
-    used_edges = cut_lineage(edges_between(areas, edges, "area", edge_by), "bym", f"{root}/used-edges")
-    # Small graphs get few buckets: a product is many small jobs there.
-    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(most, used_edges.count() // EDGES_PER_BUCKET + 1)
-    degrees = used_edges.groupBy(*edge_by, F.col("dst").alias("area")).agg(
-        F.count(F.lit(1)).cast("double").alias("n")
-    )
     factor = F.lit(None).cast("string") if covariate is None else F.col(covariate).cast("string")
-    zero = F.lit(0.0)
     start = frame.select(
         *by,
         F.col(area).alias("area"),
@@ -223,107 +230,93 @@ def bym_map(
         F.coalesce(factor, F.lit("")).alias("q"),
         (F.lit(float(tau2)) if not isinstance(tau2, Column) else tau2.cast("double")).alias("tau2"),
         (F.lit(float(sigma2)) if not isinstance(sigma2, Column) else sigma2.cast("double")).alias("sigma2"),
-    ).join(degrees, [*edge_by, "area"], "left")
-    n = F.coalesce("n", zero)
-    empty = {name: zero for name in ("beta", "phi", "theta", "lap", "x", "r", "p", "s", "v", "xb")}
-    start = start.withColumns(
-        {"n": n, "slots": F.ceil(F.greatest(n, F.lit(1.0)) / hot_degree).cast("int"), **empty}
     )
-    state = cut_lineage(start, "bym", f"{root}/state-0")
-    columns = state.columns
-    by_text = [f"`{c}`" for c in by]
-    keys, fixed = [*by_text, "area"], ("o", "e", "q", "tau2", "sigma2", "n", "slots")
-
-    slots = state.select(*edge_by, F.col("area").alias("dst"), F.col("slots")).distinct()
-    slot = F.pmod(F.xxhash64("src"), F.col("slots")).cast("int")
-    slotted = used_edges.join(slots, [*edge_by, "dst"]).withColumn("slot", slot).drop("slots")
-    bucket_key = [*edge_by, "dst", "slot"]
-    bucketed, table = bucketed_copy(slotted, bucket_key, f"{root}/edges", buckets)
-
-    key_fields = [f for f in state.schema.fields if f.name in by]
-    scalar_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields), SCALARS])
+    # Read several times below; what is behind the frame runs once.
+    rows = cut_lineage(start.withColumn("log_e", F.ln("e")), "bym", f"{root}/rows")
+    areas = rows.select(*edge_by, "area").distinct()
+    used_edges = cut_lineage(edges_between(areas, edges, "area", edge_by), "bym", f"{root}/used-edges")
+    degrees = used_edges.groupBy(*edge_by, F.col("dst").alias("area")).agg(
+        F.count(F.lit(1)).cast("double").alias("n")
+    )
+    key_fields = [f for f in rows.schema.fields if f.name in by]
     key_names = [f.name for f in key_fields]
+    key_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields]
 
-    def local_table(rows: list[tuple], schema: str) -> DataFrame:
+    def local_table(found: list[tuple], schema: str) -> DataFrame:
         """A few rows that stay a local relation of the plan: no job is run for them."""
         arrow = to_arrow_schema(StructType.fromDDL(schema))
-        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), arrow.types)]
-        return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
-
-    def by_class(sums: DataFrame) -> dict[tuple, list[Row]]:
-        found = sums.limit(MOST_CLASSES + 1).collect()
-        if len(found) > MOST_CLASSES:
-            raise ValueError(f"more than {MOST_CLASSES} classes of all models together")
-        groups = defaultdict(list)
-        for row in sorted(found, key=lambda c: c.q):
-            groups[tuple(row[k] for k in key_names)].append(row)
-        return groups
-
-    def advance(now: DataFrame, scalars: DataFrame) -> DataFrame:
-        """Every unsettled row after its model's next move or iteration."""
-        stepped = now.join(F.broadcast(scalars), [*by, "q"]).selectExpr(
-            *keys, *fixed, "moves", "v", "lap", "ub", "xb_next as xb", "beta_next as beta", f"{SCALE} as scale",
-            "if(moves, phi + first * x - second, phi) as phi",
-            f"if(moves, theta + first * {THETA_STEP}, theta) as theta",
-            f"if(moves, 0D, r / {SCALE} + second * p) as p",
-            "if(moves, 0D, v + second * s) as s",
-            f"if(moves, 0D, x + first * (r / {SCALE} + second * p)) as x",
-            "if(moves, 0D, r - first * (v + second * s)) as r",
-        ).withColumn("message", F.expr("if(moves, phi, r / scale)"))
-        sent = stepped.selectExpr(*by_text, "area as dst", "message", "explode(sequence(0, slots - 1)) as slot")
-        around = (
-            bucketed.join(sent, bucket_key)
-            .groupBy(*by, F.col("src").alias("area"))
-            .agg(F.sum("message").alias("around"))
-        )
-        met = stepped.join(around, [*by, "area"], "left").withColumn(
-            "spread", F.expr("n * message - coalesce(around, 0D)")
-        )
-        met = met.withColumn("lap", F.expr("if(moves, spread, lap)"))
-        kept = [c for c in columns if c not in ("v", "r")]
-        return met.selectExpr(
-            *(f"`{c}`" for c in kept),
-            f"if(moves, {REDUCED} - lap / tau2, r) as r",
-            f"if(moves, 0D, {WEIGHT} * (message + ub) + spread / tau2) as v",
-        )
+        columns = zip(*found) if found else [()] * len(arrow)
+        arrays = [pa.array(values, kind) for values, kind in zip(columns, arrow.types)]
+        return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow))
+
+    first = rows.groupBy(*by, "q").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o").alias("o"), F.sum("e").alias("e")
+    )
+    found = first.limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes of all models together")
+    groups = defaultdict(list)
+    for row in sorted(found, key=lambda c: c.q):
+        groups[tuple(row[k] for k in key_names)].append(row)
+    models = {k: _Model(classes) for k, classes in groups.items()}
+    numbers = {k: number for number, k in enumerate(models)}
+    class_number = {(k, row.q): n for n, (k, row) in enumerate((k, row) for k, rows_of in groups.items() for row in rows_of)}
+    class_name = {n: (k, q) for (k, q), n in class_number.items()}
+
+    # Ranges of keys, as areas with near keys are often neighbours; a range of two models gives two blocks.
+    total = sum(row.rows for row in found)
+    ranges = max(1, math.ceil(total / max(ROWS_PER_BLOCK, total // MOST_BLOCKS)))
+    ranged = rows.repartitionByRange(ranges, *by, "area").withColumn("part", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "bym", f"{root}/ranged")
+    parts = [tuple(row) for row in ranged.select(*key_names, "part").distinct().collect()]
+    parts = [(*row, number, numbers[row[:-1]]) for number, row in enumerate(sorted(parts, key=lambda row: (numbers[row[:-1]], row[-1])))]
+    part_table = local_table(parts, ", ".join([*key_schema, "part int, block int, model int"]))
+    class_table = local_table(
+        [(*k, q, n) for (k, q), n in class_number.items()], ", ".join([*key_schema, "q string, class int"])
+    )
+    in_block = W.partitionBy("block").orderBy("area")
+    placed = (
+        ranged.join(F.broadcast(part_table), [*by, "part"])
+        .join(F.broadcast(class_table), [*by, "q"])
+        .join(degrees, [*edge_by, "area"], "left")
+        .withColumn("n", F.coalesce("n", F.lit(0.0)))
+        .drop("part")
+        .withColumns({"pos": F.row_number().over(in_block) - 1, "key": F.dense_rank().over(in_block) - 1})
+    )
+    placed = cut_lineage(placed, "bym", f"{root}/placed")
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROWS_PER_TASK + 1))
+    tables = [f"tessarea_{uuid.uuid4().hex}" for _ in range(3)]
 
-    def sums_of(now: DataFrame) -> DataFrame:
-        """Per model and class: all that the next decision needs, in one pass."""
-        # A x = rhs - r, so the Laplacian of x needs no product of its own.
-        once = now.selectExpr(
-            *by_text, "q", "o", "e", "tau2", "sigma2", "beta", "phi", "theta", "lap", "x", "xb", "r", "v",
-            f"{WEIGHT} as w", f"r / {SCALE} as u", f"{REDUCED} as rb", f"{THETA_GRADIENT} as gt",
-            f"{PHI_GRADIENT} as gp", f"o - {MU} as gap", f"{THETA_STEP} as theta_step",
-        ).withColumn("lap_x", F.expr("tau2 * (rb - lap / tau2 - r - w * (x + xb))"))
-
-        def objective(t: float) -> str:
-            eta = f"(beta + {t}D * xb + phi + {t}D * x + theta + {t}D * theta_step)"
-            return (
-                f"sum(o * (ln(e) + {eta}) - e * exp({eta}) - (phi + {t}D * x) * (lap + {t}D * lap_x) / (2 * tau2)"
-                f" - (theta + {t}D * theta_step) * (theta + {t}D * theta_step) / (2 * sigma2))"
-            )
-
-        parts = {
-            "w": "sum(w)", "rb": "sum(rb)", "g_theta": "sum(gt * gt)", "g_phi": "sum(gp * gp)", "gap": "sum(gap)",
-            "ru": "sum(r * u)", "uv": "sum(u * v)", "wu": "sum(w * u)", "phi": "sum(phi)", "x": "sum(x)",
-        } | {f"objective_{k}": objective(t) for k, t in enumerate((0.0, *STEP_LENGTHS))}
-        return once.groupBy(*by, "q").agg(*[F.expr(text).alias(name) for name, text in parts.items()])
+    def stored(df: DataFrame, path: str, table: str) -> DataFrame:
+        """A copy that joins and groups by block without a shuffle."""
+        writer = df.write.mode("overwrite").bucketBy(buckets, "block").sortBy("block").option("path", f"{root}/{path}")
+        writer.saveAsTable(table)
+        return spark.table(table)
 
     trace: list[tuple] = []
     finished: list[DataFrame] = []
+    betas: dict[tuple, float] = {}
     rounds = 0
     try:
-        first = state.groupBy(*by, "q").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("o").alias("o"), F.sum("e").alias("e")
-        )
-        models = {k: _Model(classes) for k, classes in by_class(first).items()}
+        rows_of = placed.select("block", "model", "pos", "key", "class", *NUMBERS)
+        links = cut_lineage(_links(placed, used_edges, by, edge_by, hot_degree), "bym", f"{root}/links")
+        built = rows_of.groupBy("block").cogroup(links.groupBy("block")).applyInArrow(build, FIXED_SCHEMA)
+        fixed = stored(built, "blocks", tables[2])
+        state = stored(fixed.select("block", "model", "classes", "key").mapInArrow(started, STATE_SCHEMA), "state-0", tables[0])
         working = dict(models)
         while working:
-            rows = [(*k, *scalars) for k, m in working.items() for scalars in m.scalars()]
-            scalars = local_table(rows, scalar_schema)
             rounds += 1
-            state = cut_lineage(advance(state, scalars), "bym", f"{root}/state-{rounds % 2}")
-            sums = by_class(sums_of(state))
+            values = np.zeros((len(class_number), 5))
+            factors = {}
+            for k, model in working.items():
+                factors[numbers[k]], after = model.scalars()
+                for q, of_class in after.items():
+                    values[class_number[k, q]] = of_class
+            state = stored(advance(fixed, state, Scalars(factors, values), buckets), f"state-{rounds % 2}", tables[rounds % 2])
+            sums = defaultdict(list)
+            for n, of_class in _sums_of(state).items():
+                k, q = class_name[n]
+                sums[k].append(ClassSums(q, *of_class))
             leaving = []
             for k, model in list(working.items()):
                 model.products += 1
@@ -338,37 +331,86 @@ def bym_map(
                 if model.settled or model.step >= max_steps:
                     leaving.append(k)
                     del working[k]
+                    betas |= {(k, q): beta for q, beta in model.beta.items()}
                 model.step += 1
             if leaving:
-                left = local_table([(*k, True) for k in leaving], _keys_schema(key_fields))
-                rest = state.join(F.broadcast(left), by, "left_semi") if by else state
-                finished.append(cut_lineage(rest, "bym", f"{root}/done-{len(finished)}"))
+                rest = state.where(F.col("model").isin([numbers[k] for k in leaving])).select("block", "phi", "theta")
+                finished.append(cut_lineage(rest.mapInArrow(effects, EFFECTS), "bym", f"{root}/done-{len(finished)}"))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    done = reduce(DataFrame.unionByName, finished) if finished else state
-    found = done.select(
-        *by,
-        F.col("area").alias(area),
-        F.col("o").alias("observed"),
-        F.col("e").alias("expected"),
-        *([F.col("q").alias(covariate)] if covariate is not None else []),
-        "beta",
-        "phi",
-        "theta",
-        F.expr(MU).alias("fitted"),
-    )
-    trace_schema = ", ".join(
-        [
-            *(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields),
-            "step int, objective double, gradient double, products int",
-        ]
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    done = reduce(DataFrame.unionByName, finished) if finished else local_table([], EFFECTS)
+    ended = local_table([(class_number[key], beta) for key, beta in betas.items()], "class int, beta double")
+    lost = F.col("o").isNull() | F.col("e").isNull() | F.col("tau2").isNull() | F.col("sigma2").isNull()
+    effect = {name: F.when(~(lost & F.isnan(name)), F.col(name)) for name in ("phi", "theta")}
+    found = (
+        placed.join(done, ["block", "pos"])
+        .withColumns(effect)
+        .join(F.broadcast(ended), "class")
+        .select(
+            *by,
+            F.col("area").alias(area),
+            F.col("o").alias("observed"),
+            F.col("e").alias("expected"),
+            *([F.col("q").alias(covariate)] if covariate is not None else []),
+            "beta",
+            "phi",
+            "theta",
+            F.expr(MU).alias("fitted"),
+        )
     )
+    trace_schema = ", ".join([*key_schema, "step int, objective double, gradient double, products int"])
     settled = all(m.settled for m in models.values())
     return BymFit(found, spark.createDataFrame(trace, trace_schema).select(*by, "step", "objective", "gradient", "products"), settled, rounds)
 
 
-def _keys_schema(fields) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "leaves boolean"])
+def _links(placed: DataFrame, edges: DataFrame, by: list[str], edge_by: list[str], hot_degree: int) -> DataFrame:
+    """Both ends of what blocks send: ``block, other, label, key, times, receives``.
+
+    A label names a slot between two blocks: the key that is sent, or, below zero, the
+    key of very many neighbours that takes a sum.
+    """
+    keys = placed.select(*by, "area", "block", "key", (F.col("n") > hot_degree).alias("hot")).distinct()
+    to = keys.withColumnRenamed("area", "src")
+    of = keys.select(*by, F.col("area").alias("dst"), F.col("block").alias("other"), F.col("key").alias("far"))
+    met = edges.join(to, [*edge_by, "src"]).join(of, [*by, "dst"])
+    label = F.when(F.col("hot"), -1 - F.col("key")).otherwise(F.col("far"))
+    met = met.select("block", "key", "other", "far", label.alias("label"), "hot")
+    count = F.count(F.lit(1)).cast("double")
+    received = met.groupBy("block", "other", "label", "key", "hot").agg(count.alias("times"))
+    sent = met.groupBy(
+        F.col("other").alias("block"), F.col("block").alias("other"), "label", F.col("far").alias("key"), "hot"
+    ).agg(count.alias("times"))
+    # Repeated edges count once: in the sum that is sent, or where a key's value is taken.
+    received = received.withColumn("times", F.when(F.col("hot"), F.lit(1.0)).otherwise(F.col("times")))
+    sent = sent.withColumn("times", F.when(F.col("hot"), F.col("times")).otherwise(F.lit(1.0)))
+    return received.withColumn("receives", F.lit(True)).unionByName(sent.withColumn("receives", F.lit(False))).drop("hot")
+
+
+def border_values(fixed: DataFrame, state: DataFrame, scalars: Scalars) -> DataFrame:
+    """What blocks send each other in a round: ``block, sender, data``."""
+    own = fixed.select(*SENT).hint("merge").join(state.select("block", *SENT_STATE), "block")
+    return own.mapInArrow(sender(scalars), MESSAGES)
+
+
+def advance(fixed: DataFrame, state: DataFrame, scalars: Scalars, buckets: int) -> DataFrame:
+    """The blocks of every unsettled model after its next move or iteration.
+
+    Only the values at the borders are exchanged; the step before them is done twice.
+    """
+    messages = border_values(fixed, state, scalars).repartition(buckets, "block")
+    own = fixed.hint("merge").join(state.select("block", *VECTORS), "block")
+    return own.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(receiver(scalars), STATE_SCHEMA)
+
+
+def _sums_of(state: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of each class over its blocks, in the order of the blocks."""
+    found: dict[int, np.ndarray] = {}
+    for _, classes, sums in sorted(state.select("block", "classes", "sums").collect()):
+        table = np.frombuffer(sums, np.float64).reshape(-1, len(SUMS))
+        for n, of_class in zip(np.frombuffer(classes, np.int32).tolist(), table):
+            found[n] = found[n] + of_class if n in found else of_class
+    return dict(sorted((n, of_class.tolist()) for n, of_class in found.items()))
 
 
 def fit_all(

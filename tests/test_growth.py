@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessarea.operators import autocorrelation as ac
 from tessarea.operators import draws as dr
+from tessarea.operators import smoothing as sm
 from tessarea.session import scratch_path
 
 
@@ -68,3 +69,44 @@ def test_missing_values_reach_no_permutation(spark):
     graph = spark.range(29).selectExpr("inline(array(struct(id AS src, id + 1 AS dst), struct(id + 1 AS src, id AS dst)))")
     assert ac.moran_mc(values, graph, 40).first().n_at_least == 0
     assert ac.moran_mc(values, graph, 40, packed=0).first().n_at_least <= 40
+
+
+def test_products_exchange_only_the_values_at_borders(spark, monkeypatch):
+    """Blocks of a line owe each other their ends, of a hub's neighbours one sum; one block gives the same fit."""
+    n = 400
+    frame = spark.range(n + 1).selectExpr("id AS area", "CAST(1 + id % 7 AS DOUBLE) AS observed", "3D AS expected")
+    ends = [(a, a + 1) for a in range(n - 1)] + [(n, a) for a in range(0, n, 2)]
+    edges = spark.createDataFrame(ends + [(b, a) for a, b in ends], "src long, dst long")
+    counts, fits = [], []
+    sent = sm.border_values
+
+    def counted(*args):
+        found = sent(*args)
+        counts.append(found.selectExpr("sum(length(data)) / 8").first()[0])
+        return found
+
+    monkeypatch.setattr(sm, "border_values", counted)
+    for rows in (50, n + 1):
+        monkeypatch.setattr(sm, "ROWS_PER_BLOCK", rows)
+        fit = sm.bym_map(frame, edges, 0.3, 0.05, max_steps=1, hot_degree=100)
+        fits.append({r.area: (r.beta, r.phi, r.theta, r.fitted) for r in fit.areas.collect()})
+        if rows == 50:
+            # Two ends of eight or nine borders, sums for the hub, and the hub's value for every block.
+            assert 0 < max(counts) <= 4 * (n // rows + 2)
+            counts.clear()
+    assert not any(counts)
+    assert len(fits[0]) == n + 1
+    for area, effects in fits[0].items():
+        assert effects == pytest.approx(fits[1][area], rel=1e-9, abs=1e-9)
+
+
+def test_smoothing_takes_repeated_and_missing_rows(spark):
+    """A repeated edge or area counts each time; a row without a count changes no other area's sums."""
+    rows = [(0, 3.0, 2.0), (1, 1.0, 2.0), (1, 2.0, 2.0), (2, None, 2.0), (3, 4.0, 2.0), (None, 2.0, 2.0)]
+    frame = spark.createDataFrame(rows, "area long, observed double, expected double")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)], "src long, dst long")
+    fit = sm.bym_map(frame, edges, 0.3, 0.05, max_steps=1)
+    found = {(r.area, r.observed): (r.phi, r.theta) for r in fit.areas.collect()}
+    assert set(found) == {(a, o) for a, o, _ in rows}
+    assert found[2, None] == (None, None)
+    assert all(None not in effects for key, effects in found.items() if key != (2, None))

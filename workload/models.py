@@ -185,7 +185,7 @@ def settled(fit: mo.BymFit) -> mo.BymFit:
 
 def mesh_bym(t: Tables, covariate: str | None = None) -> mo.BymFit:
     edges = cut_lineage(t.mesh_edges, "edges")
-    frame = drop_islands(t.mesh_frame, edges, "MB_CODE16")
+    frame = drop_islands(t.stored_frame, edges, "MB_CODE16")
     return settled(mo.bym_map(frame, edges, TAU2, SIGMA2, area="MB_CODE16", covariate=covariate))
 
 
