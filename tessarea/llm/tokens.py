@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
+from collections.abc import Collection
 
 import numpy as np
 
@@ -26,6 +29,25 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+# A full stop or comma that ends a word after an ASCII letter or digit, and signs that may change the letter before them.
+_SIGN = re.compile(r"[.,](?<=[A-Za-z0-9].)(?= |$)")
+_COMPOSING = re.compile("[\u0300-\U0010ffff]")
+# How a tokenizer must prepare texts, so that words of a to z need no preparation.
+_NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+def _words(text: str) -> list[str]:
+    """Words between white space, without special tokens with their final signs split off and A to Z lowered where safe."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<" not in text:
+        if text.isascii():
+            text = text.lower()
+        elif not _COMPOSING.search(text):
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        text = _SIGN.sub(r" \g<0>", text)
+    return text.split(" ")
+
+
 def _core(word: str) -> tuple[str, str]:
     """A word in lower case without a final full stop or comma, and that sign.
 
@@ -56,11 +78,25 @@ class WordEncoder:
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.closes[number] = token.endswith(WORD_END)
+        self.letters = self._unprepared(path)
         self.known: dict[str, bytes] = {"": b""}
         self.bytes = 0
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _unprepared(self, path: str):
+        """The same merges cut at white space only, for words of a to z; the tokenizer itself where it prepares texts otherwise."""
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        names = [
+            [step["type"] for step in (parts[key] or {}).get(steps, [])]
+            for key, steps in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+        ]
+        if names != [_NORMALIZERS, _PRE_TOKENIZERS]:
+            return self.tokenizer
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        return type(self.tokenizer).from_str(json.dumps(parts))
+
+    def _batch(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -69,14 +105,18 @@ class WordEncoder:
 
     def _some(self, words: list[str]) -> list[bytes]:
         """Words of letters alone close one token each: many go in one text."""
-        plain = [w for w in words if w.isalpha()]
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         found: dict[str, bytes] = {}
-        for group, ids in zip(groups, self._batch([" ".join(g) for g in groups])):
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                data = ids.tobytes()
-                found.update(zip(group, (data[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
+        plain, other = [], []
+        for w in words:
+            if w.isalpha():
+                (plain if w.isascii() and w.islower() else other).append(w)
+        for alike, tokenizer in ((plain, self.letters), (other, self.tokenizer)):
+            groups = [alike[k : k + TOGETHER] for k in range(0, len(alike), TOGETHER)]
+            for group, ids in zip(groups, self._batch([" ".join(g) for g in groups], tokenizer)):
+                ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    data = ids.tobytes()
+                    found.update(zip(group, (data[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
         rest = [w for w in words if w not in found]
         found.update(zip(rest, (ids.tobytes() for ids in self._batch(rest))))
         return [found[w] for w in words]
@@ -98,28 +138,42 @@ class WordEncoder:
         self.bytes = sum(ENTRY + len(w) + len(ids) for w, ids in kept)
 
     def _ids_of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
         if self.bytes > REMEMBERED:
             self._forget()
-            new = set().union(*split).difference(self.known)
         known, passing = self.known, {}
-        parts = {w: _core(w) for w in new if w}
-        wanted = {c for pair in parts.values() for c in pair}.difference(known)
+        split = [_words(t) for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found) if None in ids for w, known_ids in zip(words, ids) if known_ids is None}
+        parts = {
+            w: pair
+            for w in new
+            if not (w.isascii() and w.isalpha() and w.islower()) and (pair := _core(w)) != (w, "")
+        }
+        wanted = new.difference(parts) | {c for pair in parts.values() for c in pair}.difference(known)
         for store, words in (
             (known, [w for w in wanted if len(w) <= LONGEST]),
             (passing, [w for w in wanted if len(w) > LONGEST]),
         ):
-            store.update(zip(words, self._encode(words)))
+            encoded = self._encode(words)
+            store.update(zip(words, encoded))
+            if store is known:
+                self._count(words, encoded)
+        put_together = {}
         for word, (core, sign) in parts.items():
-            ids = passing[core] if core in passing else known[core]
-            (known if len(word) <= LONGEST else passing)[word] = ids + known[sign]
-        self.bytes += sum(ENTRY + len(w) + len(known[w]) for w in {*parts, *wanted} if w in known)
-        known.update(passing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in passing:
-            del known[word]
-        return out
+            ids = (passing[core] if core in passing else known[core]) + known[sign]
+            (put_together if len(word) <= LONGEST else passing)[word] = ids
+        self._count(put_together, put_together.values())
+        known.update(put_together)
+        for words, ids in zip(split, found):
+            if None in ids:
+                for k, known_ids in enumerate(ids):
+                    if known_ids is None:
+                        word = words[k]
+                        ids[k] = passing[word] if word in passing else known[word]
+        return [b"".join(ids) for ids in found]
+
+    def _count(self, words: Collection[str], ids: Collection[bytes]) -> None:
+        self.bytes += ENTRY * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
 
 def encoder(path: str) -> WordEncoder:

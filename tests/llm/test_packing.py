@@ -76,3 +76,19 @@ def test_little_padding_and_empty(spark):
     found = packing.pack(docs).groupBy("sequence_id").sum("length").collect()
     assert sum(2048 - r[1] for r in found) < 0.03 * sum(r[1] for r in found)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_signs_and_case_of_whole_texts_change_no_ids_and_fill_no_memory():
+    """A word at the end of a sentence, or in capitals, is remembered once; what follows it decides nothing."""
+    odd = ["Éa. Tail, a.. b,. c., d... 1. 2, É. ñ, x.", "J̌ J. Ǩ, İ. İa. ΣΑΣ. end.", "A<|endoftext|>. B, C.", "word.\nWORD,\tWord.\rword",
+           "a.\x0bb.\x0cc.", "a.\xa0b, .a ,b .", "It's. WE'LL, don't.", "ﬁx. K. K, \xb2. a\xb2, ss. ß."]
+    plain = Tokenizer.from_file(tokenizer_path())
+    encoder = WordEncoder(tokenizer_path())
+    for text, ids in zip(odd, encoder.encode(odd)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    letters = ["thing", "loweischaft", "a", "zzyzx", "ing", "qqqq"]
+    for word, ids in zip(letters, encoder._batch(letters, encoder.letters)):
+        assert ids.tolist() == plain.encode(word, add_special_tokens=False).ids
+    once = WordEncoder(tokenizer_path())
+    once.encode(["Loweischaft loweischaft, LOWEISCHAFT. é"])
+    assert {w for w in once.known if "schaft" in w.lower()} == {"loweischaft"}
