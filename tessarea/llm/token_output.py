@@ -13,13 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare, scratch_path, texts_of
+from .common import cut_lineage, prepare, scratch_path, texts_of, tidy
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -96,7 +95,7 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH, id
     """``part, local, used, records``: the documents' ids, each closed by the id ``END``, in fixed lengths."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_sequences(path or tokenizer_path(), length, id_type), SEQUENCES)
+    return texts.mapInArrow(tidy("tokens", _sequences(path or tokenizer_path(), length, id_type)), SEQUENCES)
 
 
 def _shards(shard: int, stride: int):
@@ -145,9 +144,9 @@ def write_shards(
     offsets = cut_lineage(counts.withColumn("start", F.expr("sum(n) OVER (ORDER BY part) - n")), "sequence-offsets")
     count = offsets.agg(F.sum("n")).first()[0] or 0
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), count, key))
+    @F.arrow_udf("long")
+    def slot(index: pa.Array) -> pa.Array:
+        return pa.array(permute(index.to_numpy(zero_copy_only=False), count, key))
 
     placed = stored.join(offsets, "part").withColumn("origin", F.col("start") + F.col("local"))
     placed = placed.withColumn("slot", slot("origin")).withColumn("shard", F.floor(F.col("slot") / shard))

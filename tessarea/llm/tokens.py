@@ -7,17 +7,20 @@ import json
 import os
 import re
 from collections.abc import Collection
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_state
 
 WORD_BPE = "word_bpe_49k.json"
 # Bytes of words and ids that a worker remembers, what an entry takes beside its text
 # and ids (two objects and a place in the table), and the longest word remembered.
-REMEMBERED, ENTRY, LONGEST = 128_000_000, 190, 64
+REMEMBERED, ENTRY, LONGEST = 96_000_000, 190, 64
 # New words that are encoded in one call, which bounds what the tokenizer takes meanwhile.
-AT_ONCE = 50_000
+AT_ONCE = 20_000
 # What closes the last token of a word in the vocabulary, and words encoded together.
 WORD_END = "</w>"
 TOGETHER = 50
@@ -29,36 +32,44 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-# A full stop or comma that ends a word after an ASCII letter or digit, and signs that may change the letter before them.
-_SIGN = re.compile(r"[.,](?<=[A-Za-z0-9].)(?= |$)")
-_COMPOSING = re.compile("[\u0300-\U0010ffff]")
+# A full stop or comma that ends a word after an ASCII letter or digit, and signs that the tokenizer splits off any letters before them.
+_SIGN = re.compile(rb"[.,](?<=[A-Za-z0-9].)(?= |$)")
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+# White space becomes a space; A to Z in lower case too. Characters from U+0300 on, which may change the letter before them, begin with this byte or a larger one.
+_BLANK = bytes.maketrans(b"\n\t\r", b"   ")
+_LOWER = bytes(_BLANK[c] for c in bytes(range(256)).lower())
+_COMPOSING = 0xCC
 # How a tokenizer must prepare texts, so that words of a to z need no preparation.
 _NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
 
-def _words(text: str) -> list[str]:
-    """Words between white space, without special tokens with their final signs split off and A to Z lowered where safe."""
-    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    if "<" not in text:
-        if text.isascii():
-            text = text.lower()
-        elif not _COMPOSING.search(text):
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        text = _SIGN.sub(r" \g<0>", text)
-    return text.split(" ")
+def _spaced(text: str) -> bytes:
+    """A text in UTF-8 whose words have spaces between them.
+
+    Without special tokens their final signs are split off, and A to Z lowered where safe.
+    """
+    data = text.encode()
+    if b"<" in data:
+        return data.translate(_BLANK)
+    safe = data.isascii() or np.frombuffer(data, np.uint8).max() < _COMPOSING
+    return _SIGN.sub(rb" \g<0>", data.translate(_LOWER if safe else _BLANK))
 
 
 def _core(word: str) -> tuple[str, str]:
-    """A word in lower case without a final full stop or comma, and that sign.
+    """A word in lower case without its final signs, and those signs.
 
-    The tokenizer lowers case itself and splits the sign off when a letter or
-    digit stands before it. Words beyond Latin-1, whose case or composition may
+    The tokenizer lowers case itself and splits a full stop or comma off when a letter
+    or digit stands before it, and ASCII signs other than an apostrophe when only letters
+    stand before them. Words beyond Latin-1, whose case or composition may
     depend on neighbours, and special tokens stay as they are.
     """
     if "<" in word or not (word.isascii() or max(word) <= "\xff"):
         return word, ""
     if len(word) > 1 and word[-1] in ".," and word[-2].isalnum():
         return word[:-1].lower(), word[-1]
+    core = word.rstrip(_SIGNS)
+    if core.isalpha():
+        return core.lower(), word[len(core) :]
     return word.lower(), ""
 
 
@@ -132,45 +143,55 @@ class WordEncoder:
                 gc.enable()
 
     def _forget(self) -> None:
-        """Drop the older half of the words."""
-        kept = list(self.known.items())[len(self.known) // 2 :]
-        self.known = {"": b"", **dict(kept)}
-        self.bytes = sum(ENTRY + len(w) + len(ids) for w, ids in kept)
+        """Drop the older half of the words, without a second table of those that stay."""
+        known = self.known
+        for word in list(islice(known, len(known) // 2)):
+            if word:
+                self.bytes -= ENTRY + len(word) + len(known.pop(word))
 
     def _ids_of(self, texts: list[str]) -> list[bytes]:
+        """Each distinct word of the texts is looked up once; Arrow cuts the texts and puts their ids together."""
         if self.bytes > REMEMBERED:
             self._forget()
-        known, passing = self.known, {}
-        split = [_words(t) for t in texts]
-        found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, known_ids in zip(words, ids) if known_ids is None}
-        parts = {
-            w: pair
-            for w in new
-            if not (w.isascii() and w.isalpha() and w.islower()) and (pair := _core(w)) != (w, "")
-        }
-        wanted = new.difference(parts) | {c for pair in parts.values() for c in pair}.difference(known)
-        for store, words in (
-            (known, [w for w in wanted if len(w) <= LONGEST]),
-            (passing, [w for w in wanted if len(w) > LONGEST]),
-        ):
-            encoded = self._encode(words)
-            store.update(zip(words, encoded))
-            if store is known:
-                self._count(words, encoded)
-        put_together = {}
+        spaced = pa.array(map(_spaced, texts), pa.large_binary(), size=len(texts))
+        split = pc.split_pattern(spaced, b" ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        if None in found:
+            at = [k for k, ids in enumerate(found) if ids is None]
+            for k, ids in zip(at, self._learn([words[k] for k in at])):
+                found[k] = ids
+        placed = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, data = placed.buffers()
+        if data is None or not len(placed):
+            return [b""] * len(texts)
+        cuts = np.frombuffer(ends, np.int64)[np.asarray(split.offsets)].tolist()
+        view = memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of distinct new words; those that are not too long stay known."""
+        known = self.known
+        parts = {}
+        for w in new:
+            if not (w.isascii() and w.isalpha() and w.islower()):
+                pair = _core(w)
+                if pair[1] or pair[0] != w:
+                    parts[w] = pair
+        whole = set(new).difference(parts)
+        whole.update(core for core, _ in parts.values())
+        whole.update({sign for _, sign in parts.values()})
+        words = list(whole.difference(known))
+        known.update(zip(words, self._encode(words)))
         for word, (core, sign) in parts.items():
-            ids = (passing[core] if core in passing else known[core]) + known[sign]
-            (put_together if len(word) <= LONGEST else passing)[word] = ids
-        self._count(put_together, put_together.values())
-        known.update(put_together)
-        for words, ids in zip(split, found):
-            if None in ids:
-                for k, known_ids in enumerate(ids):
-                    if known_ids is None:
-                        word = words[k]
-                        ids[k] = passing[word] if word in passing else known[word]
-        return [b"".join(ids) for ids in found]
+            known[word] = known[core] + known[sign]
+        found = list(map(known.__getitem__, new))
+        words += parts
+        for word in [w for w in words if len(w) > LONGEST]:
+            known.pop(word, None)
+        self._count(words := [w for w in words if len(w) <= LONGEST], list(map(known.__getitem__, words)))
+        return found
 
     def _count(self, words: Collection[str], ids: Collection[bytes]) -> None:
         self.bytes += ENTRY * len(words) + sum(map(len, words)) + sum(map(len, ids))

@@ -92,3 +92,29 @@ def test_signs_and_case_of_whole_texts_change_no_ids_and_fill_no_memory():
     once = WordEncoder(tokenizer_path())
     once.encode(["Loweischaft loweischaft, LOWEISCHAFT. é"])
     assert {w for w in once.known if "schaft" in w.lower()} == {"loweischaft"}
+
+
+def test_letters_and_the_signs_after_them_are_encoded_apart(monkeypatch):
+    """A word with signs behind it costs no encoding of its own, also where an apostrophe, digit or long word stands there."""
+    odd = ["Thing*** thing### thing??! thing,. Thing", "été*** É!! ñ-. x'. it's' a'' a'*", "1*** 1.. ²** a² a1!! _ a_ _a **", "ĳ** ſ!! ʼ?? ª@@ µ$ ß%% ́** é**",
+           "b**<|endoftext|>** c<d>** c<", "z" * 200 + "***", "***\n###\t. , ,. ., a,b. a.b,c"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    encoder = WordEncoder(tokenizer_path())
+    encoded, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda words: [encoded.extend(words), encode(words)][1])
+    for _ in range(2):
+        for text, ids in zip(odd, encoder.encode(odd)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert "thing" in encoded and not any("thing" in w.lower() and w != "thing" for w in encoded)
+    assert not any(len(w) > 64 for w in encoder.known)
+
+
+def test_forgetting_needs_no_second_table(monkeypatch):
+    encoder = WordEncoder(tokenizer_path())
+    known = encoder.known
+    encoder.encode(["one two three four"])
+    full = encoder.bytes
+    monkeypatch.setattr("tessarea.llm.tokens.REMEMBERED", full - 1)
+    assert encoder.encode(["", "five"])[0] == b""
+    assert encoder.known is known and known[""] == b"" and len(known) < 6
+    assert encoder.bytes == sum(190 + len(w) + len(ids) for w, ids in known.items() if w)
