@@ -40,7 +40,7 @@ LETTERS = 41
 LONGEST = 32
 THRESHOLD = 0.3
 # Scores of words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -90,29 +90,41 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Kernel:
-    """Kernel values of words against the landmarks."""
+    """Kernel values of words against the landmarks.
+
+    ``table`` has a row for each triple of the landmarks, and a first one of zeros
+    for all others; ``row`` finds it by the triple's code.
+    """
 
     landmarks: list[str]
     table: np.ndarray = field(init=False, repr=False)
+    row: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.table = np.zeros((LETTERS**3, len(self.landmarks)), np.float32)
-        for m, word in enumerate(self.landmarks):
+        found = []
+        for word in self.landmarks:
             at, weight = _triples(len(word))
-            c = _codes([word])[0]
-            code = (c[at[:, 0]] * LETTERS + c[at[:, 1]]) * LETTERS + c[at[:, 2]]
-            np.add.at(self.table[:, m], code, weight / np.linalg.norm(weight))
+            found.append((self._triple(_codes([word]), at)[0], weight / np.linalg.norm(weight)))
+        present = np.unique(np.concatenate([code for code, _ in found])) if found else np.zeros(0, np.int64)
+        self.row = np.zeros(LETTERS**3, np.int32)
+        self.row[present] = np.arange(1, len(present) + 1)
+        self.table = np.zeros((len(present) + 1, len(self.landmarks)), np.float32)
+        for m, (code, weight) in enumerate(found):
+            np.add.at(self.table[:, m], self.row[code], weight)
+
+    @staticmethod
+    def _triple(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (c[:, at[:, 0]] * LETTERS + c[:, at[:, 1]]) * LETTERS + c[:, at[:, 2]]
 
     def values(self, words: list[str]) -> np.ndarray:
         """One row per word, all of the same length of at least three."""
         at, weight = _triples(len(words[0]))
         out = np.empty((len(words), len(self.landmarks)), np.float32)
         for k in range(0, len(words), 1024):
-            c = _codes(words[k : k + 1024])
-            code = (c[:, at[:, 0]] * LETTERS + c[:, at[:, 1]]) * LETTERS + c[:, at[:, 2]]
-            sums = np.zeros((len(c), len(self.landmarks)), np.float32)
+            row = self.row[self._triple(_codes(words[k : k + 1024]), at)]
+            sums = np.zeros((len(row), len(self.landmarks)), np.float32)
             for t, w in enumerate(weight / np.linalg.norm(weight)):
-                sums += w * self.table[code[:, t]]
+                sums += w * self.table[row[:, t]]
             out[k : k + 1024] = sums
         return out**POWER
 

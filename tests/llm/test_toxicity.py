@@ -93,3 +93,29 @@ def test_kernel_is_the_sum_over_common_subsequences():
     kernel = T.Kernel(["idiot", "abcabc"])
     for word in ("idiot", "idxiot", "abcabc", "zzz", "cab"):
         assert np.allclose(kernel.values([word])[0], [plain(word, m) ** T.POWER for m in kernel.landmarks], rtol=1e-4)
+
+
+def test_kernel_keeps_rows_for_the_triples_of_its_landmarks_only():
+    """The table grows with the landmarks, not with all triples of letters, and gives the kernel's sums."""
+    from itertools import combinations
+
+    words = ["idiotic", "abcdefgh", "aaaa", "x1y2z3"]
+    kernel = T.Kernel(words)
+    assert kernel.table.nbytes < 10_000
+
+    def triples(word):
+        found = {}
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i < T.SPAN:
+                code = tuple(T._codes([word])[0][[i, j, k]])
+                found.setdefault(code, []).append(T.GAP ** (k - i - 2))
+        return found
+
+    def norm(word):
+        return np.sqrt(sum(w * w for ws in triples(word).values() for w in ws))
+
+    for probe in ["idiotxc", "hgfedcba", "zzzzzzz", "aaa"]:
+        a = triples(probe)
+        want = [sum(sum(a[c]) * sum(b[c]) for c in a if c in b) / norm(probe) / norm(w) for w in words for b in [triples(w)]]
+        assert np.allclose(kernel.values([probe])[0], np.array(want) ** T.POWER, rtol=1e-4, atol=1e-6)
+    assert T.Kernel([]).values(["abc"]).shape == (1, 0)
