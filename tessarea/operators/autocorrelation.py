@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ KEY_DIGITS = 15
 # the graph has, and how many units a slot of the cluster gets.
 BLOCK, PART_EDGES, UNITS_PER_SLOT = 16, 1_000_000, 4
 # Values or edges that travel in one row, and that are permuted at once (they stay in cache).
-PIECE, AT_ONCE = 2048, 16_384
+PIECE, AT_ONCE = 2048, 65_536
+# Partners of an area that are met without a lookup of the area itself.
+PARTNERS = 8
 # Graphs of at most so many areas and edges, all tests together, go to every task.
 PACKED = 1_000_000
 # Rounds of the keyed bijection (an even number) and hex digits of a round's key.
@@ -211,32 +214,87 @@ def _remainder(x: np.ndarray, m: int) -> np.ndarray:
     return x - x // np.uint64(m) * np.uint64(m)
 
 
-def _walk(x: np.ndarray, a: int, b: int, keys: Sequence[int]) -> np.ndarray:
-    """One pass of the rounds over cells of the a x b grid."""
+def _round_shifts(seed: int, sims: Sequence[int], a: int, b: int) -> Iterator[list[pa.Array]]:
+    """Per permutation: by how much each round moves a half, for every value of the other half.
 
-    def mixed(half: np.ndarray, key: int) -> np.ndarray:
-        t = _remainder(half * np.uint64(FACTORS[0]) + np.uint64(key), PRIME)
-        t = _remainder((t ^ (t >> np.uint64(15))) * np.uint64(FACTORS[1]), PRIME)
-        return _remainder((t ^ (t >> np.uint64(13))) * np.uint64(FACTORS[2]), PRIME)
-
-    left = x // np.uint64(b)
-    right = x - left * np.uint64(b)
-    for k in range(0, ROUNDS, 2):
-        left = _remainder(left + mixed(right, keys[k]), a)
-        right = _remainder(right + mixed(left, keys[k + 1]), b)
-    return left * np.uint64(b) + right
-
-
-def _bijection(number: np.ndarray, n: int, a: int, b: int, keys: Sequence[int]) -> np.ndarray:
-    """Where a permutation sends ``number``: a Feistel network on the cells of the a x b grid.
-
-    Rounds add a keyed function of one half to the other in turn. A cell beyond n is
-    walked on along its cycle.
+    A round adds a keyed function of one half to the other in turn. Halves are not brought back below
+    ``a`` and ``b`` after a round, so a table repeats as often as the half it is looked up by may have grown.
+    """
+    narrow = np.uint16 if (ROUNDS // 2 + 1) * max(a, b) <= 1 << 16 else np.uint32
+    at_once = max(1, AT_ONCE // max(a, b))
+    for first in range(0, len(sims), at_once):
+        keys = np.array([_round_keys(seed, sim) for sim in sims[first : first + at_once]], np.uint64)
+        tables = []
+        for k in range(ROUNDS):
+            half, side = (b, a) if k % 2 == 0 else (a, b)
+            t = np.arange(half, dtype=np.uint64) * np.uint64(FACTORS[0]) + keys[:, k : k + 1]
+            t = _remainder(t, PRIME)
+            t = _remainder((t ^ (t >> np.uint64(15))) * np.uint64(FACTORS[1]), PRIME)
+            t = _remainder((t ^ (t >> np.uint64(13))) * np.uint64(FACTORS[2]), PRIME)
+            tables.append(_remainder(t, side).astype(narrow))
+        for i in range(len(keys)):
+            yield [pa.array(np.tile(table[i], (k + 1) // 2 + 1)) for k, table in enumerate(tables)]
+
+
+def _taken(values: pa.Array, at: np.ndarray) -> np.ndarray:
+    """``values[at]``; Arrow takes narrow positions as they are, NumPy would widen them first."""
+    return pc.call_function("take", [values, pa.array(at)], _UNCHECKED).to_numpy(zero_copy_only=False)
+
+
+_UNCHECKED = pc.TakeOptions(boundscheck=False)
+
+
+class _Grid:
+    """The cells of the a x b grid on which ``n`` numbers are permuted."""
+
+    def __init__(self, n: int, a: int, b: int):
+        self.n, self.b, self.full = n, b, a * b == n
+        self.narrow = np.uint16 if (ROUNDS // 2 + 1) * max(a, b) <= 1 << 16 else np.uint32
+        cell = np.uint32 if a * b <= 1 << 32 else np.uint64
+        # Where a row starts and where a column lies, for halves that have grown.
+        self.rows = pa.array(np.tile(np.arange(a, dtype=cell) * cell(b), ROUNDS // 2 + 1))
+        self.columns = pa.array(np.tile(np.arange(b, dtype=cell), ROUNDS // 2 + 1))
+
+    def halves(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (number // self.b).astype(self.narrow), (number % self.b).astype(self.narrow)
+
+    def _walked(self, left: np.ndarray, right: np.ndarray, shifts: Sequence[pa.Array]) -> np.ndarray:
+        """One pass of the rounds."""
+        left, right = left.copy(), right.copy()
+        for k in range(0, ROUNDS, 2):
+            left += _taken(shifts[k], right)
+            right += _taken(shifts[k + 1], left)
+        return _taken(self.rows, left) + _taken(self.columns, right)
+
+    def permuted(self, left: np.ndarray, right: np.ndarray, shifts: Sequence[pa.Array]) -> np.ndarray:
+        """Where a permutation sends the numbers with these halves: a Feistel network on the cells.
+
+        A cell beyond n is walked on along its cycle.
+        """
+        x = self._walked(left, right, shifts)
+        while not self.full and len(beyond := np.flatnonzero(x >= self.n)):
+            x[beyond] = self._walked(*self.halves(x[beyond]), shifts)
+        return x
+
+
+def _by_rank(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The ends of edges, their partners' places rank by rank, and the edges that are left as pairs of places.
+
+    Ends with more partners come first, else they keep the order in which the edges name them. So the k-th
+    partners belong to the first ends, in their order.
     """
-    x = _walk(number, a, b, keys)
-    while len(beyond := np.flatnonzero(x >= np.uint64(n))):
-        x[beyond] = _walk(x[beyond], a, b, keys)
-    return x
+    ends, first, places = np.unique(np.stack([src, dst], 1).ravel(), return_index=True, return_inverse=True)
+    places = places.reshape(-1, 2)
+    order = np.lexsort((first, -np.bincount(places[:, 0], minlength=len(ends))))
+    moved = np.empty(len(ends), np.int64)
+    moved[order] = np.arange(len(ends))
+    src, dst = moved[places[:, 0]], moved[places[:, 1]]
+    sort = np.argsort(src, kind="stable")
+    src, dst = src[sort], dst[sort].astype(np.uint32)
+    rank = np.arange(len(src)) - np.searchsorted(src, src)
+    left = rank >= PARTNERS
+    ranks = [dst[rank == k] for k in range(min(PARTNERS, rank.max(initial=-1) + 1))]
+    return ends[order], ranks, (src[left].astype(np.uint32), dst[left])
 
 
 def _cross_sums(
@@ -244,20 +302,30 @@ def _cross_sums(
 ) -> list[float | None]:
     """Per permutation: twice the sum over the edges of the products of the permuted values.
 
-    None where an edge meets a missing value.
+    None where an edge meets a missing value. Edges that name near areas one after the other are summed faster.
     """
-    missing = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
-    values = values.to_numpy(zero_copy_only=False)
-    ends, places = np.unique(np.concatenate([src, dst]).astype(np.uint64), return_inverse=True)
-    src, dst = places[: len(src)], places[len(src) :]
+    missing = pa.array(values.is_null().to_numpy(zero_copy_only=False).view(np.uint8)) if values.null_count else None
+    values = pa.array(values.to_numpy(zero_copy_only=False))
+    ends, ranks, pairs = _by_rank(src, dst)
+    grid = _Grid(n, a, b)
+    left, right = grid.halves(ends)
+    y = np.empty(len(ends))
+    permuted = pa.Array.from_buffers(pa.float64(), len(y), [None, pa.py_buffer(y)])  # the same memory
     out = []
-    for sim in sims:
-        keys = _round_keys(seed, sim)
-        places = [_bijection(ends[k : k + AT_ONCE], n, a, b, keys) for k in range(0, len(ends), AT_ONCE)]
-        y = np.concatenate([values[at] for at in places]) if places else np.zeros(0)
-        # Every end has an edge.
-        gap = missing is not None and any(missing[at].any() for at in places)
-        out.append(None if gap else 2.0 * float(y[src] @ y[dst]))
+    for shifts in _round_shifts(seed, sims, a, b):
+        gap = False
+        for k in range(0, len(ends), AT_ONCE):
+            at = grid.permuted(left[k : k + AT_ONCE], right[k : k + AT_ONCE], shifts)
+            y[k : k + AT_ONCE] = _taken(values, at)
+            gap = gap or (missing is not None and bool(_taken(missing, at).any()))  # every end has an edge
+        total = 0.0
+        for partners in ranks:
+            for k in range(0, len(partners), AT_ONCE):
+                z = _taken(permuted, partners[k : k + AT_ONCE])
+                total += float(y[k : k + len(z)] @ z)
+        for k in range(0, len(pairs[0]), AT_ONCE):
+            total += float(_taken(permuted, pairs[0][k : k + AT_ONCE]) @ _taken(permuted, pairs[1][k : k + AT_ONCE]))
+        out.append(None if gap else 2.0 * total)
     return out
 
 
@@ -281,7 +349,8 @@ def _packed_crosses(z: DataFrame, half: DataFrame, by: Sequence[str], nsim: int,
     for end in ("src", "dst"):
         named = numbers.select(*key, F.col("_area").alias(end), F.col("_number").alias(f"_{end}"))
         edges = edges.join(named, [*key, end])
-    pairs = edges.groupBy(*key).agg(F.collect_list(F.struct("_src", "_dst")).alias("_pairs"))
+    # In the order of the areas: near ones lie together.
+    pairs = edges.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "_src", "_dst"))).alias("_pairs"))
     n = F.size("_values").cast("bigint")
     graphs = cut_lineage(
         values.join(pairs, key).select(
@@ -333,16 +402,20 @@ def _streamed_crosses(
     edges = half
     for end in ("src", "dst"):
         edges = edges.join(numbered.select(*by, F.col("_area").alias(end), F.col("_number").alias(f"_{end}")), [*by, end])
-    parts = half.count() // PART_EDGES + 1
-    edges = edges.repartitionByRange(parts, *by, "src", "dst").select(*by, "_src", "_dst", F.spark_partition_id().alias("_part"))
+    total = half.count()
+    # A row's place in its partition: the edges of a part stay in the order of the areas.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    edges = edges.repartitionByRange(total // PART_EDGES + 1, *by, "src", "dst").sortWithinPartitions(*by, "src", "dst")
+    edges = edges.select(*by, "_src", "_dst", F.spark_partition_id().alias("_part"), place.alias("_place"))
     edges = cut_lineage(edges, "numbered-edges")
 
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_grid", _grid(F.col("_n")))
     sizes = cut_lineage(sizes, "sizes")
-    shares = edges.select(*by, "_part").distinct()
-    wanted = -(-spark.sparkContext.defaultParallelism * UNITS_PER_SLOT // max(1, shares.count()))
-    width = max(block, -(-nsim // wanted))
-    units = _attach(shares, sizes, by).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(nsim), F.lit(width))))
+    # Units of about equal work: a part with few edges takes more permutations at once.
+    work = nsim * total / (spark.sparkContext.defaultParallelism * UNITS_PER_SLOT)
+    width = F.least(F.lit(nsim), F.greatest(F.lit(block), F.ceil(F.lit(work) / F.count(F.lit(1))))).cast("int")
+    shares = edges.groupBy(*by, "_part").agg(width.alias("_width"))
+    units = _attach(shares, sizes, by).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(nsim), F.col("_width"))))
     # One row per unit: a few for each slot of the cluster, or one for each test.
     units = cut_lineage(
         units.withColumn("_unit", F.row_number().over(W.orderBy(*by, "_part", "_first")) - 1), "units"
@@ -356,20 +429,22 @@ def _streamed_crosses(
     values = pieces.select(
         *by, "_piece", F.transform("_packed", lambda p: p["_z"]).alias("_values"), nothing.alias("_src"), nothing.alias("_dst")
     )
-    bundle = F.pmod(F.xxhash64("_src", "_dst"), F.lit(PART_EDGES // PIECE + 1))
-    packed = edges.groupBy(*by, "_part", bundle.alias("_bundle")).agg(F.collect_list(F.struct("_src", "_dst")).alias("_pairs"))
+    bundle = F.floor(F.col("_place") / PIECE) - F.lit(1 << 33)  # before all values
+    packed = edges.groupBy(*by, "_part", bundle.alias("_piece")).agg(
+        F.array_sort(F.collect_list(F.struct("_place", "_src", "_dst"))).alias("_pairs")
+    )
     pairs = packed.select(
         *by,
         "_part",
-        F.lit(None).cast("bigint").alias("_piece"),
+        "_piece",
         F.array().cast("array<double>").alias("_values"),
         F.transform("_pairs", lambda e: e["_src"]).alias("_src"),
         F.transform("_pairs", lambda e: e["_dst"]).alias("_dst"),
     )
-    plan = units.select(*by, "_part", "_unit", "_first", "_n", F.col("_grid.a").alias("_a"), F.col("_grid.b").alias("_b"))
+    plan = units.select(*by, "_part", "_unit", "_first", "_width", "_n", F.col("_grid.a").alias("_a"), F.col("_grid.b").alias("_b"))
     to_all = values.join(F.broadcast(plan), list(by)) if by else values.crossJoin(F.broadcast(plan))
     sent = to_all.drop("_part").unionByName(pairs.join(F.broadcast(plan), [*by, "_part"]).drop("_part"))
-    columns = ["_unit", "_first", "_n", "_a", "_b", "_piece", "_values", "_src", "_dst"]
+    columns = ["_unit", "_first", "_width", "_n", "_a", "_b", "_piece", "_values", "_src", "_dst"]
     dealt = sent.select(*columns).repartitionById(max(1, count), F.col("_unit").cast("int")).sortWithinPartitions("_unit", "_piece")
     ship(spark)
 
@@ -377,7 +452,7 @@ def _streamed_crosses(
         unit, held = None, {"_values": [], "_src": [], "_dst": []}
 
         def summed() -> pa.RecordBatch:
-            number, first, n, a, b = unit
+            number, first, width, n, a, b = unit
             arrays = [pa.array(np.concatenate(held["_values"])), *(np.concatenate(held[c]) for c in ("_src", "_dst"))]
             at = range(first, min(first + width, nsim + 1))
             sums = _cross_sums(*arrays, n, a, b, seed, at)
@@ -394,7 +469,7 @@ def _streamed_crosses(
                 if unit is not None and unit[0] != numbers[lo]:
                     yield summed()
                     held = {c: [] for c in held}
-                unit = tuple(rows.column(c)[0].as_py() for c in ("_unit", "_first", "_n", "_a", "_b"))
+                unit = tuple(rows.column(c)[0].as_py() for c in ("_unit", "_first", "_width", "_n", "_a", "_b"))
                 for c in held:  # products with a missing value do not count
                     held[c].append(rows.column(c).flatten().fill_null(0).to_numpy().copy())
         if unit is not None:

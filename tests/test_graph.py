@@ -5,6 +5,7 @@ import math
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,37 @@ def test_bijections_are_permutations_and_look_random():
             assert together / 400 == pytest.approx(2 * (n - 1) / n, abs=0.3)
 
 
+def sides(n):
+    a = min(range(max(2, (math.isqrt(n) + 1) // 2), max(2, math.isqrt(n)) + 1), key=lambda s: (s * -(-n // s) - n, -s))
+    return a, -(-n // a)
+
+
+@pytest.mark.parametrize("n", [2, 23, 1_009])
+@pytest.mark.parametrize("gaps", [(), (5,)])
+def test_sums_along_edges_against_plain_bijections(n, gaps):
+    """A hub, repeated edges and loops, a grid with cells too many, and missing values."""
+    rng = np.random.default_rng(n)
+    x = [None if k in gaps else float(v) for k, v in enumerate(rng.normal(size=n))]
+    src = np.r_[rng.integers(0, n, 3 * n), np.zeros(40, int), [1, 1]]
+    dst = np.r_[rng.integers(0, n, 3 * n), rng.integers(0, n, 40), [0, 0]]
+    found = ac._cross_sums(pa.array(x, pa.float64()), src, dst, n, *sides(n), 3, range(2, 9))
+    for sim, got in zip(range(2, 9), found, strict=True):
+        p = np.array(plain_bijection(n, 3, sim))
+        met = [(x[i], x[j]) for i, j in zip(p[src], p[dst])]
+        want = None if any(None in pair for pair in met) else 2 * sum(u * v for u, v in met)
+        assert got == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9))
+
+
+def test_rounds_are_computed_for_the_sides_of_the_grid(monkeypatch):
+    """The keyed function of a round costs the root of the areas, not each of them."""
+    n, computed, remainder = 40_000, [], ac._remainder
+    monkeypatch.setattr(ac, "_remainder", lambda x, m: computed.append(x.size) or remainder(x, m))
+    ends = np.arange(n - 1)
+    values = pa.array(np.random.default_rng(2).normal(size=n))
+    assert len(ac._cross_sums(values, ends, ends + 1, n, *sides(n), 1, range(1, 4))) == 3
+    assert sum(computed) <= 3 * ac.ROUNDS * 4 * max(sides(n))
+
+
 @pytest.mark.parametrize("packed, block, bits", [(1_000_000, 256, 12), (0, 256, 12), (0, 7, 2)])
 def test_moran_mc_against_brute_force(measured, packed, block, bits):
     """Both ways, of small and of large graphs, give the numbers of plain Python."""
